@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from pulse.functions import params
 from pulse.functions.columns import mood_label
+from pulse.functions.filters import latest
 from pulse.operators import derived, posts, trending
 from pulse.sources.tables import read_table
 
 
 class Engine:
-    """One method per analytic call; each returns a DataFrame and runs nothing but a look-up of `as_of`."""
+    """One method per analytic call, each a DataFrame. "Now" is `as_of`, else the newest post."""
 
     def __init__(self, posts: DataFrame, trending: DataFrame, as_of=None):
-        self.posts, self.trending, self.as_of = posts, trending, as_of
+        self.posts, self.trending = posts, trending
+        self.as_of = latest(posts) if as_of is None else as_of
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, as_of=None) -> "Engine":
@@ -79,7 +81,7 @@ class Engine:
     def insights_summary(self, platform=None, hours=None, timeframe=None) -> DataFrame:
         span = params.resolve_hours(hours, timeframe)
         return derived.insights(
-            self.posts, self.trending, self._platform(platform), span, self.as_of, self.as_of
+            self.posts, self.trending, self._platform(platform), span, self.as_of
         )
 
 
@@ -92,7 +94,7 @@ def register_functions(spark: SparkSession) -> None:
     """SQL functions `get_trending_topics` and `get_sentiment_distribution` with default arguments.
 
     They read the temporary views `trending_topics` and `social_posts`; "now"
-    is the newest row of each.
+    is the newest post.
     """
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION get_trending_topics(
@@ -102,7 +104,7 @@ def register_functions(spark: SparkSession) -> None:
         RETURN
             WITH recent AS (
                 SELECT * FROM trending_topics
-                WHERE time_window >= (SELECT max(time_window) FROM trending_topics)
+                WHERE time_window >= (SELECT max(timestamp) FROM social_posts)
                                      - make_interval(0, 0, 0, 0, get_trending_topics.hours)
                   AND (get_trending_topics.for_platform IS NULL
                        OR platform = get_trending_topics.for_platform)

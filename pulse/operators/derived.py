@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import engagement, hour_floor, mean, pct, preview, sentiment_sign, zero_if_null
+from pulse.functions.filters import latest
 from pulse.operators import posts as P
 from pulse.operators import trending as G
 from pulse.operators.ranking import arg_top
@@ -98,9 +99,10 @@ def mention_degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def insights(posts, trending, platform=None, hours=24, as_of=None, trending_as_of=None) -> DataFrame:
+def insights(posts, trending, platform=None, hours=24, as_of=None) -> DataFrame:
     """Up to three sentences with the number of source rows behind each."""
-    topics = G.trending_topics(trending, platform, hours, 5, trending_as_of)
+    as_of = latest(posts) if as_of is None else as_of
+    topics = G.trending_topics(trending, platform, hours, 5, as_of)
     shares = P.sentiment_distribution(posts, platform, hours, as_of)
     platforms = P.platform_metrics(posts, 24, as_of)
 

@@ -81,20 +81,29 @@ _HIT = "struct<phrase:string,label:string,description:string,weight:double>"
 
 
 def _located(text: Column, pattern: Column, label, description, weight) -> Column:
-    """Every match of `pattern` as an entity with its offsets, counted in characters."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    """Every match of `pattern` as an entity with its offsets, counted in characters.
+
+    The text is split once; an offset is the length of all pieces and matches before it.
+    """
+    split = F.struct(
+        F.split(text, pattern, -1).alias("pieces"),
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"),
+    )
 
     def total(parts, n):
         return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda sum_, part: sum_ + F.length(part))
 
-    def entity(match, i):
-        start = total(pieces, i + 1) + total(found, i)
+    def entity(match, i, at):
+        start = total(at["pieces"], i + 1) + total(at["found"], i)
         return F.struct(
             match.alias("text"), label.alias("label"), description.alias("description"),
             start.alias("start"), (start + F.length(match)).alias("end"), weight.alias("confidence"),
         )
 
-    return F.transform(found, entity)
+    def entities(at):
+        return F.transform(at["found"], lambda match, i: entity(match, i, at))
+
+    return F.flatten(F.transform(F.array(split), entities))
 
 
 def _phrase_pattern(phrase: Column) -> Column:

@@ -1,7 +1,9 @@
 """TF-IDF features, topic model, topic clusters and the combined text job."""
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -75,7 +77,7 @@ class Topics:
 
 def extract_topics(
     df: DataFrame, num_topics=5, text="content", key="post_id", max_terms=1000, min_df=2, max_df=0.8,
-    top_terms=10, sample_texts=3, starts=STARTS,
+    top_terms=10, sample_texts=3, starts=STARTS, parallel=4,
 ) -> Topics:
     """Cluster texts by tf-idf; of several starts the tightest clustering is kept."""
     n = df.count()
@@ -87,8 +89,14 @@ def extract_topics(
         raise ValueError("no terms left to tell texts apart")
     features = tfidf_features(texts, vocabulary).select(key, "features").persist()
     k = min(num_topics, n // 2)
-    fits = [KMeans(k=k, seed=SEED + i).fit(features) for i in range(starts)]
-    best = min(fits, key=lambda model: model.summary.trainingCost)
+    spark = df.sparkSession
+
+    def fit(i):
+        model = KMeans(k=k, seed=SEED + i).fit(features)
+        return model.summary.trainingCost, i, model
+
+    with ThreadPool(parallel) as pool:
+        best = min(pool.map(inheritable_thread_target(spark)(fit), range(starts)), key=lambda f: f[:2])[2]
     features.unpersist()
 
     rows = []
@@ -98,7 +106,7 @@ def extract_topics(
             (topic, rank + 1, vocabulary[j]["term"], float(centre[j]))
             for rank, j in enumerate(heaviest[:top_terms])
         ]
-    terms = df.sparkSession.createDataFrame(rows, "topic_id int, rank int, term string, weight double")
+    terms = spark.createDataFrame(rows, "topic_id int, rank int, term string, weight double")
     assigned = best.setPredictionCol("topic_id").transform(features).select(key, "topic_id")
     first = F.row_number().over(Window.partitionBy("topic_id").orderBy(key))
     samples = (

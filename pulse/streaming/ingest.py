@@ -12,7 +12,7 @@ from pulse.functions.columns import fill_unscored
 from pulse.functions.filters import TIME, latest
 from pulse.operators import scoring
 from pulse.operators.posts import today_stats
-from pulse.operators.tables import new_rows, publish_snapshot, upsert
+from pulse.operators.tables import first_per_key, publish_snapshot, upsert
 from pulse.operators.text import ingest_tags
 from pulse.operators.trending import detect_trending
 from pulse.session import cut_lineage
@@ -121,7 +121,7 @@ def ingest_stream(
     spark = posts.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        fresh = new_rows(batch.limit(0), batch, ["post_id"])
+        fresh = first_per_key(batch, ["post_id"], [TIME])
         store(enrich(fresh, scorers) if scorers else fresh, batch_id, folder)
         stored = stored_posts(spark, folder)
         as_of = latest(stored)
