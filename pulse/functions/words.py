@@ -39,8 +39,9 @@ def words(c="content", shortest: int = 1) -> Column:
     return all_matches(F.lower(_col(c)), f"{WORD}{{{shortest},}}")
 
 
-def without_stop_words(tokens: Column, stop_words=STOP_WORDS) -> Column:
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(*stop_words))
+def without_stop_words(tokens: Column, stop_words=STOP_WORDS, lower: bool = True) -> Column:
+    """Drop stop words; `lower=False` if the tokens are lower-case already."""
+    return F.filter(tokens, lambda t: ~(F.lower(t) if lower else t).isin(*stop_words))
 
 
 def pairs(tokens: Column) -> Column:

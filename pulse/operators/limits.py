@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pulse.functions.filters import TIME
 from pulse.functions.lookups import sized
 from pulse.operators.activity import WINDOWS
+from pulse.session import cut_lineage
 
 # Workers need not have this package: the function they run is sent whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -163,10 +164,8 @@ def _replay_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     current, kept, seen_risk = None, None, False
     for pdf in batches:
         segment = list(zip(pdf["client_id"], pdf["endpoint"], pdf["segment"]))
-        us = pdf["_us"].to_numpy()
-        risk = pdf["at_risk"].to_numpy()
-        before = pdf["before_minute"].to_numpy()
-        limit = [pdf[f"limit_{name}"].to_numpy() for name in names]
+        us, risk, before = (pdf[c].tolist() for c in ("_us", "at_risk", "before_minute"))
+        limit = [pdf[f"limit_{name}"].tolist() for name in names]
         size = len(pdf)
         allowed = np.zeros(size, dtype=bool)
         denied = np.full(size, None, dtype=object)
@@ -177,7 +176,7 @@ def _replay_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if segment[i] != current:
                 current, kept, seen_risk = segment[i], [deque() for _ in names], False
             t = us[i]
-            seen_risk = seen_risk or bool(risk[i])
+            seen_risk = seen_risk or risk[i]
             stop = None
             for w, times in enumerate(kept):
                 while times and times[0] <= t - spans[w]:
@@ -232,19 +231,9 @@ def replay_limits(log: DataFrame, limits: DataFrame, bin_seconds: int = 3600) ->
             ),
         }
     ).withColumn("_bin", F.floor(F.col("_us") / F.lit(bin_seconds * MICROS)).cast("long"))
+    rows = cut_lineage(rows)  # read three times below
 
-    reach = -(-DAY // bin_seconds) + 1
-    scope = (
-        rows.filter("at_risk")
-        .select(*KEY, "_bin")
-        .distinct()
-        .select(*KEY, F.explode(F.sequence(F.col("_bin") - reach, F.col("_bin"))).alias("_bin"))
-        .distinct()
-        .withColumn(
-            "segment", F.col("_bin") - F.row_number().over(Window.partitionBy(*KEY).orderBy("_bin"))
-        )
-    )
-    placed = rows.join(scope, [*KEY, "_bin"], "left")
+    placed = rows.join(_segments(rows, -(-DAY // bin_seconds) + 1), [*KEY, "_bin"])
 
     used = F.col("before_minute") + 1
     calm = placed.filter(F.col("segment").isNull()).select(
@@ -266,6 +255,28 @@ def replay_limits(log: DataFrame, limits: DataFrame, bin_seconds: int = 3600) ->
     ).drop("reset_us")
 
 
+def _segments(rows: DataFrame, reach: int) -> DataFrame:
+    """(client, endpoint, bin, segment): bins at risk and the `reach` bins before each share a segment
+    as long as no longer gap parts them; `segment` is NULL for all other bins.
+
+    Works on one row per bin, so it grows with time and not with requests.
+    """
+    bins = rows.groupBy(*KEY, "_bin").agg(F.max("at_risk").alias("risky"))
+    risky_bin = F.when(F.col("risky"), F.col("_bin"))
+    forward = Window.partitionBy(*KEY).orderBy("_bin")
+    backward = Window.partitionBy(*KEY).orderBy(F.desc("_bin"))
+    before = F.last(risky_bin, ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(risky_bin, ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, 0))
+    parted = F.col("before").isNull() | (F.col("after") - F.col("before") > reach)
+    started = F.count_if(F.col("risky") & parted).over(forward)
+    segment = started + F.when(~F.col("risky") & parted, 1).otherwise(0)
+    return (
+        bins.withColumns({"before": before, "after": after})
+        .withColumn("segment", F.when(F.col("after") - F.col("_bin") <= reach, segment))
+        .select(*KEY, "_bin", "segment")
+    )
+
+
 def _out_layout(log: DataFrame) -> str:
     kept = ", ".join(f"`{c}` {log.schema[c].dataType.simpleString()}" for c in [*KEY, "id", TIME])
     return f"{kept}, {_REPLAY_OUT}"

@@ -18,62 +18,76 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ANCHORS = 64
 
 
-def _lexicon_sums(df: DataFrame, lexicon: DataFrame, group: str, names, text: str, key: str) -> DataFrame:
-    """Per text, the weight of its words in each group of the lexicon.
-
-    Only words of the lexicon survive the join. Each text also carries one
-    anchor word with weight zero, so that texts without any hit stay, and only
-    (key, sums) is shuffled. Anchors are spread over several words to keep
-    them from being one hot join key.
+def _lexicon_sums(df: DataFrame, lexicons: dict, text: str, key: str) -> DataFrame:
+    """Per text, the weight of its words in each group of each lexicon.
+
+    `lexicons` maps a group column to its lexicon and the groups to sum; the
+    texts are read once for all. Only words of a lexicon survive the join.
+    Each text also carries one anchor word with weight zero, so that texts
+    without any hit stay, and only (key, sums) is shuffled. Anchors are spread
+    over several words to keep them from being one hot join key.
     """
-    spark = df.sparkSession
     anchor = F.concat(F.lit(" "), F.pmod(F.xxhash64(key), F.lit(ANCHORS)).cast("string"))
     tokens = df.select(
         key, F.explode(F.concat(W.words(W.cleaned(text)), F.array(anchor))).alias("word")
     )
-    anchors = spark.range(ANCHORS).select(
+    entries = df.sparkSession.range(ANCHORS).select(
         F.concat(F.lit(" "), F.col("id").cast("string")).alias("word"),
-        F.lit(None).cast("string").alias(group),
+        F.lit(None).cast("string").alias("group"),
         F.lit(0.0).alias("weight"),
     )
-    weighted = sized(lexicon.select("word", group, "weight").unionByName(anchors))
-    return (
-        tokens.join(weighted, "word")
-        .groupBy(key)
-        .agg(
-            *[
-                F.sum(F.when(F.col(group) == name, F.col("weight")).otherwise(0.0)).alias(name)
-                for name in names
-            ]
-        )
-    )
+    for column, (lexicon, _) in lexicons.items():
+        entries = entries.unionByName(lexicon.select("word", F.col(column).alias("group"), "weight"))
+    groups = [name for _, names in lexicons.values() for name in names]
+    sums = [F.sum(F.when(F.col("group") == name, F.col("weight")).otherwise(0.0)).alias(name) for name in groups]
+    return tokens.join(sized(entries), "word").groupBy(key).agg(*sums)
 
 
-def score_sentiment(df: DataFrame, lexicon: DataFrame, text="content", key="post_id") -> DataFrame:
-    """Shares of positive, negative and neutral; p/(p+n+1), n/(p+n+1), 1/(p+n+1). Ties are neutral."""
-    sums = _lexicon_sums(df, lexicon, "sentiment", params.SENTIMENTS[:2], text, key)
+def _sentiment_columns() -> dict[str, Column]:
     p, n = F.col("positive"), F.col("negative")
     total = p + n + 1.0
-    label = (
-        F.when((p > n) & (p > 1.0), "positive").when((n > p) & (n > 1.0), "negative").otherwise("neutral")
-    )
-    return sums.select(
-        key,
-        label.alias("sentiment"),
-        (F.greatest(p, n, F.lit(1.0)) / total).alias("sentiment_confidence"),
-        (p / total).alias("positive"),
-        (n / total).alias("negative"),
-        (1.0 / total).alias("neutral"),
-    )
+    label = F.when((p > n) & (p > 1.0), "positive").when((n > p) & (n > 1.0), "negative").otherwise("neutral")
+    return {
+        "sentiment": label,
+        "sentiment_confidence": F.greatest(p, n, F.lit(1.0)) / total,
+        "positive": p / total,
+        "negative": n / total,
+        "neutral": 1.0 / total,
+    }
 
 
-def score_emotions(df: DataFrame, lexicon: DataFrame, text="content", key="post_id") -> DataFrame:
-    """Map of emotion to share, summing to 1; empty for texts without any emotion word."""
+def _emotion_columns() -> dict[str, Column]:
     names = params.EMOTIONS
-    sums = _lexicon_sums(df, lexicon, "emotion", names, text, key)
     total = sum((F.col(name) for name in names[1:]), F.col(names[0]))
     shares = F.array(*[F.struct(F.lit(name).alias("key"), F.try_divide(name, total).alias("value")) for name in names])
-    return sums.select(key, F.map_from_entries(F.filter(shares, lambda e: e["value"] > 0)).alias("emotions"))
+    return {"emotions": F.map_from_entries(F.filter(shares, lambda e: e["value"] > 0))}
+
+
+def _scored(df, text, key, lexicon=None, emotions=None) -> DataFrame:
+    lexicons, columns = {}, {}
+    if lexicon is not None:
+        lexicons["sentiment"] = (lexicon, params.SENTIMENTS[:2])
+        columns.update(_sentiment_columns())
+    if emotions is not None:
+        lexicons["emotion"] = (emotions, params.EMOTIONS)
+        columns.update(_emotion_columns())
+    sums = _lexicon_sums(df, lexicons, text, key)
+    return sums.select(key, *[column.alias(name) for name, column in columns.items()])
+
+
+def score_sentiment(df: DataFrame, lexicon: DataFrame, text="content", key="post_id") -> DataFrame:
+    """Shares of positive, negative and neutral; p/(p+n+1), n/(p+n+1), 1/(p+n+1). Ties are neutral."""
+    return _scored(df, text, key, lexicon=lexicon)
+
+
+def score_emotions(df: DataFrame, lexicon: DataFrame, text="content", key="post_id") -> DataFrame:
+    """Map of emotion to share, summing to 1; empty for texts without any emotion word."""
+    return _scored(df, text, key, emotions=lexicon)
+
+
+def score_mood(df, lexicon: DataFrame, emotions: DataFrame, text="content", key="post_id") -> DataFrame:
+    """`score_sentiment` and `score_emotions` in one pass over the texts."""
+    return _scored(df, text, key, lexicon, emotions)
 
 
 MAX_INLINE_PHRASES = 2000
@@ -103,7 +117,8 @@ def _located(text: Column, pattern: Column, label, description, weight) -> Colum
     def entities(at):
         return F.transform(at["found"], lambda match, i: entity(match, i, at))
 
-    return F.flatten(F.transform(F.array(split), entities))
+    hit = F.when(F.regexp_like(text, pattern), F.array(split)).otherwise(F.array())
+    return F.flatten(F.transform(hit, entities))
 
 
 def _phrase_pattern(phrase: Column) -> Column:
@@ -117,17 +132,12 @@ def _phrases(text: str) -> Column:
 
 
 def _with_hits(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> DataFrame:
-    """Add `_hits`, the dictionary entries whose words follow each other in the text."""
+    """Add `_hits`, the dictionary entries the text may hold; `_located` then finds the exact places."""
     entries = dictionary.select("phrase", "label", "description", "weight")
     few = entries.limit(MAX_INLINE_PHRASES + 1).collect()
     if len(few) <= MAX_INLINE_PHRASES:
         # A short dictionary travels in the plan: no join, nothing is shuffled.
-        rows = [F.struct(*[F.lit(v).alias(n) for n, v in row.asDict().items()]) for row in few]
-        known = F.array(*rows).cast(f"array<{_HIT}>")
-        by_phrase = F.map_from_entries(F.transform(known, lambda e: F.struct(e["phrase"], e)))
-        names = F.array(*[F.lit(row["phrase"]) for row in few]).cast("array<string>")
-        used = F.array_intersect(_phrases(text), names)
-        return df.withColumn("_hits", F.transform(used, lambda p: by_phrase[p]))
+        return df.withColumn("_hits", _inline_hits(W.words(text), few))
     candidates = df.select(key, F.explode(F.array_distinct(_phrases(text))).alias("phrase"))
     hits = (
         candidates.join(sized(entries), "phrase")
@@ -139,6 +149,31 @@ def _with_hits(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> Dat
     )
 
 
+def _inline_hits(tokens: Column, entries: list) -> Column:
+    """Entries all of whose words occur in `tokens`, looked up by their first word."""
+    by_first: dict[str, list] = {}
+    for row in entries:
+        by_first.setdefault(row["phrase"].split()[0], []).append(row)
+    known = sorted({word for row in entries for word in row["phrase"].split()})
+    if not known:
+        return F.array().cast(f"array<{_HIT}>")
+
+    def entry(row):
+        fields = [F.lit(row[name]).alias(name) for name in ("phrase", "label", "description", "weight")]
+        return F.struct(*fields)
+
+    starts = F.create_map(
+        *[part for first, rows in by_first.items() for part in (F.lit(first), F.array(*map(entry, rows)))]
+    ).cast(f"map<string,array<{_HIT}>>")
+
+    def complete(used):
+        found = F.flatten(F.filter(F.transform(used, lambda word: starts[word]), lambda e: e.isNotNull()))
+        return F.filter(found, lambda e: F.size(F.array_except(F.split(e["phrase"], " "), used)) == 0)
+
+    used = F.array_intersect(tokens, F.array(*map(F.lit, known)))
+    return F.flatten(F.transform(F.array(used), complete))
+
+
 def extract_entities(df: DataFrame, dictionary: DataFrame, text="content", key="post_id") -> DataFrame:
     """Add `entities` (by start) and `entity_count`: dictionary phrases, amounts of money and dates."""
     body = F.col(text)

@@ -14,7 +14,7 @@ from pulse.functions import params
 from pulse.functions import words as W
 from pulse.functions.columns import mean, preview, sentiment_sign
 from pulse.functions.lexicons import STOP_WORDS
-from pulse.operators.scoring import extract_entities, score_emotions, score_sentiment
+from pulse.operators.scoring import extract_entities, score_emotions, score_mood, score_sentiment
 
 SEED = 42
 STARTS = 10
@@ -22,7 +22,7 @@ STARTS = 10
 
 def with_terms(df: DataFrame, text: str = "content", stop_words=STOP_WORDS) -> DataFrame:
     """Add `terms`: words of two or more characters without stop words, then neighbouring pairs."""
-    tokens = W.without_stop_words(W.words(W.cleaned(text), 2), stop_words)
+    tokens = W.without_stop_words(W.words(W.cleaned(text), 2), stop_words, lower=False)
     return df.withColumn("_tokens", tokens).withColumn(
         "terms", F.concat("_tokens", W.pairs(F.col("_tokens")))
     ).drop("_tokens")
@@ -143,9 +143,11 @@ def batch_process(
     marked = df.select(key, text).withColumn("error", F.when(blank, "blank text"))
     good = marked.filter(F.col("error").isNull())
     out = marked.select(key, preview(text).alias("original_text"), "error")
-    if "sentiment" in operations:
+    if "sentiment" in operations and "emotions" in operations:
+        out = out.join(score_mood(good, lexicon, emotions, text, key), key, "left")
+    elif "sentiment" in operations:
         out = out.join(score_sentiment(good, lexicon, text, key), key, "left")
-    if "emotions" in operations:
+    elif "emotions" in operations:
         out = out.join(score_emotions(good, emotions, text, key), key, "left")
     if "entities" in operations:
         found = extract_entities(good, dictionary, text, key)

@@ -12,6 +12,16 @@ def _load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the scan has fewer tasks than cores.
+
+    A Parquet row group is never split, so a small table is one task, however
+    costly its texts are. A scan with enough tasks is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _payload() -> Column:
     return F.get_json_object("props", "$.k").try_cast("int")
 
@@ -96,11 +106,11 @@ def add_text(bare: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def posts_with_text(spark: SparkSession, folder: str) -> DataFrame:
-    return add_text(posts_of_events(_load(spark, folder, "events")), documents(spark, folder))
+    return add_text(posts_of_events(spread(_load(spark, folder, "events"))), documents(spark, folder))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _load(spark, folder, "documents")
+    return spread(_load(spark, folder, "documents"))
 
 
 def events_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:

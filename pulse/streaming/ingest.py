@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pulse import schemas
 from pulse.functions.columns import fill_unscored
 from pulse.functions.filters import TIME, latest
+from pulse.functions.lookups import sized
 from pulse.operators import scoring
 from pulse.operators.posts import today_stats
 from pulse.operators.tables import first_per_key, publish_snapshot, upsert
@@ -18,7 +19,7 @@ from pulse.operators.trending import detect_trending
 from pulse.session import cut_lineage
 from pulse.sources.tables import read_table, shape, write_table
 
-POSTS, TRENDING = "social_posts", "trending_topics"
+POSTS, TRENDING, STATS = "social_posts", "trending_topics", "realtime_stats"
 STATS_LAYOUT = (
     "struct<posts_today:bigint,active_users:bigint,positive_count:bigint,negative_count:bigint,"
     "neutral_count:bigint,trending_topics:bigint,last_updated:timestamp>"
@@ -39,14 +40,14 @@ def enrich(posts: DataFrame, scorers: Scorers) -> DataFrame:
     if "hashtags" not in posts.columns:
         posts = ingest_tags(posts)
     found = scoring.entity_topics(scoring.extract_entities(posts, scorers.dictionary)).drop("entity_count")
-    mood = scoring.score_sentiment(posts, scorers.lexicon)
+    mood = scoring.score_mood(posts, scorers.lexicon, scorers.emotions)
     names = ("positive", "negative", "neutral")
     scores = F.create_map(*[part for name in names for part in (F.lit(name), F.col(name))])
     mood = mood.withColumn("sentiment_scores", scores).drop(*names)
-    emotions = scoring.score_emotions(posts, scorers.emotions)
     known = ("sentiment", "sentiment_confidence", "sentiment_scores", "emotions", "processed_at")
     joined = (
-        found.drop(*known).join(mood, "post_id", "left").join(emotions, "post_id", "left")
+        found.drop(*known)
+        .join(mood, "post_id", "left")
         .withColumn("processed_at", F.current_timestamp())
     )
     return fill_unscored(shape(joined, POSTS))
@@ -67,12 +68,22 @@ def _exists(read) -> bool:
         return False
 
 
+def unseen(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
+    """Posts of `batch` that no other batch stored.
+
+    Stored ids are matched against the batch, which is the small side, so the
+    stored table is scanned by its id column and not shuffled.
+    """
+    spark = batch.sparkSession
+    if not _exists(lambda: stored_posts(spark, folder)):
+        return batch
+    others = stored_posts(spark, folder).filter(F.col("batch_id") != batch_id).select("post_id")
+    seen = others.join(sized(batch.select("post_id")), "post_id", "left_semi")
+    return batch.join(seen, "post_id", "left_anti")
+
+
 def store(posts: DataFrame, batch_id: int, folder: str) -> None:
-    """Write the posts the table lacks under the batch's own folders, so a repeated batch replaces itself."""
-    spark = posts.sparkSession
-    if _exists(lambda: stored_posts(spark, folder)):
-        before = stored_posts(spark, folder).filter(F.col("batch_id") != batch_id)
-        posts = posts.join(before.select("post_id"), "post_id", "left_anti")
+    """Write posts under the batch's own folders, so a repeated batch replaces itself."""
     (
         shape(posts, POSTS)
         .withColumn("ts_date", F.to_date(TIME))
@@ -85,6 +96,17 @@ def store(posts: DataFrame, batch_id: int, folder: str) -> None:
     )
 
 
+def _newest(batch: DataFrame, folder: str) -> str | None:
+    """Newest time of the batch and of the last published stats; the stored posts are not read for it."""
+    spark, path = batch.sparkSession, f"{folder}/{STATS}"
+    times = batch.select(F.col(TIME).alias("t"))
+    if _exists(lambda: spark.read.parquet(path)):
+        record = spark.read.schema("record string").parquet(path)
+        known = F.from_json("record", STATS_LAYOUT)["last_updated"]
+        times = times.unionByName(record.select(known.alias("t")))
+    return latest(times, "t")
+
+
 def refresh_trending(posts: DataFrame, folder: str, as_of: str, hours: int = 1, min_mentions: int = 3) -> None:
     """Upsert the topics of the last hours; only that day of the trending table is rewritten."""
     spark = posts.sparkSession
@@ -121,17 +143,20 @@ def ingest_stream(
     spark = posts.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_per_key(batch, ["post_id"], [TIME])
-        store(enrich(fresh, scorers) if scorers else fresh, batch_id, folder)
-        stored = stored_posts(spark, folder)
-        as_of = latest(stored)
-        if as_of is None:
-            return
-        day = F.col("ts_date") >= F.to_date(F.lit(as_of)) - F.expr("INTERVAL 1 DAY")
-        recent = stored.filter(day)
+        batch.persist()
+        try:
+            as_of = _newest(batch, folder)
+            if as_of is None:
+                return
+            fresh = unseen(first_per_key(batch, ["post_id"], [TIME]), batch_id, folder)
+            store(enrich(fresh, scorers) if scorers else fresh, batch_id, folder)
+        finally:
+            batch.unpersist()
+        yesterday = F.lit(as_of).cast("date") - F.expr("INTERVAL 1 DAY")
+        recent = stored_posts(spark, folder).filter(F.col("ts_date") >= yesterday)
         if trending is not None:
             refresh_trending(recent, folder, as_of, **trending)
-        publish_snapshot(today_stats(recent, as_of), f"{folder}/realtime_stats", as_of)
+        publish_snapshot(today_stats(recent, as_of), f"{folder}/{STATS}", as_of)
 
     return (
         posts.withWatermark(TIME, late)
