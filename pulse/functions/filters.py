@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIME = "timestamp"
+DATE = "ts_date"
 
 
 def latest(df: DataFrame, column: str = TIME) -> str | None:
@@ -24,9 +25,16 @@ def as_of_literal(df: DataFrame, as_of: datetime | str | None = None, column: st
     return F.lit(as_of).cast(df.schema[column].dataType)
 
 
+def not_before(df: DataFrame, bound: Column, column: str = TIME) -> DataFrame:
+    """Rows at or after `bound`. Stored tables are also filtered by their day folders."""
+    if DATE in df.columns:
+        df = df.filter(F.col(DATE) >= bound.cast("date"))
+    return df.filter(F.col(column) >= bound)
+
+
 def since(df: DataFrame, as_of, span: str, column: str = TIME) -> DataFrame:
     """Rows no older than `span` before `as_of`; the bound itself is kept."""
-    return df.filter(F.col(column) >= as_of_literal(df, as_of, column) - F.expr(f"INTERVAL {span}"))
+    return not_before(df, as_of_literal(df, as_of, column) - F.expr(f"INTERVAL {span}"), column)
 
 
 def last_hours(df: DataFrame, hours: int = 24, as_of=None, column: str = TIME) -> DataFrame:
@@ -35,7 +43,7 @@ def last_hours(df: DataFrame, hours: int = 24, as_of=None, column: str = TIME) -
 
 def today(df: DataFrame, as_of=None, column: str = TIME) -> DataFrame:
     midnight = as_of_literal(df, as_of, column).cast("date").cast(df.schema[column].dataType)
-    return df.filter(F.col(column) >= midnight)
+    return not_before(df, midnight, column)
 
 
 def for_platform(df: DataFrame, platform: str | None = None) -> DataFrame:

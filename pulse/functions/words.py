@@ -32,7 +32,8 @@ def collapse(c) -> Column:
 def cleaned(c="content") -> Column:
     """Text without URLs and extra whitespace; a fixed phrase if fewer than 3 characters are left."""
     text = collapse(F.regexp_replace(_col(c), URL, ""))
-    return F.when(F.length(text) < 3, F.lit(SHORT_TEXT)).otherwise(text)
+    # a pattern instead of a condition, so that the text is cleaned once
+    return F.regexp_replace(text, r"(?s)\A.{0,2}\z", SHORT_TEXT)
 
 
 def words(c="content", shortest: int = 1) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import bucket, mean
-from pulse.functions.filters import TIME, as_of_literal
+from pulse.functions.filters import TIME, as_of_literal, not_before
 
 # The windows requests are counted in, in seconds.
 WINDOWS = {"minute": 60, "hour": 3600, "day": 86400}
@@ -41,9 +41,7 @@ def client_stats(log: DataFrame, as_of=None) -> DataFrame:
     """Requests per client and endpoint in the last minute, hour and day; both ends count."""
     now = as_of_literal(log, as_of)
     longest = max(WINDOWS.values())
-    recent = log.filter(
-        (F.col(TIME) >= now - F.expr(f"INTERVAL {longest} SECONDS")) & (F.col(TIME) <= now)
-    )
+    recent = not_before(log, now - F.expr(f"INTERVAL {longest} SECONDS")).filter(F.col(TIME) <= now)
     return recent.groupBy("client_id", "endpoint").agg(
         *[
             F.count_if(F.col(TIME) >= now - F.expr(f"INTERVAL {seconds} SECONDS")).alias(

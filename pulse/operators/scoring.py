@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions import params
 from pulse.functions import words as W
-from pulse.functions.lookups import sized
+from pulse.functions.lookups import join_hot, sized
 from pulse.schemas import ENTITIES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -126,11 +126,6 @@ def _phrase_pattern(phrase: Column) -> Column:
     return F.concat(F.lit(f"(?iu)(?<!{W.WORD})"), body, F.lit(f"(?!{W.WORD})"))
 
 
-def _phrases(text: str) -> Column:
-    tokens = W.words(text)
-    return F.concat(tokens, W.pairs(tokens), W.triples(tokens))
-
-
 def _with_hits(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> DataFrame:
     """Add `_hits`, the dictionary entries the text may hold; `_located` then finds the exact places."""
     entries = dictionary.select("phrase", "label", "description", "weight")
@@ -138,7 +133,9 @@ def _with_hits(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> Dat
     if len(few) <= MAX_INLINE_PHRASES:
         # A short dictionary travels in the plan: no join, nothing is shuffled.
         return df.withColumn("_hits", _inline_hits(W.words(text), few))
-    candidates = df.select(key, F.explode(F.array_distinct(_phrases(text))).alias("phrase"))
+    tokens = F.col("_tokens")
+    phrases = F.array_distinct(F.concat(tokens, W.pairs(tokens), W.triples(tokens)))
+    candidates = df.select(key, W.words(text).alias("_tokens")).select(key, F.explode(phrases).alias("phrase"))
     hits = (
         candidates.join(sized(entries), "phrase")
         .groupBy(key)
@@ -217,18 +214,17 @@ def entity_topics(df: DataFrame) -> DataFrame:
 
 
 def score_distinct(
-    df: DataFrame, scorer: Callable[[DataFrame, str, str], DataFrame], text="content"
+    df: DataFrame, scorer: Callable[[DataFrame, str, str], DataFrame], text="content", key="post_id"
 ) -> DataFrame:
-    """Score each distinct text once and give the result to all its copies.
+    """Score each distinct text once and give (key, scores) to all rows that hold a copy.
 
-    Texts are joined by their SHA-256. A text with very many copies is one
-    key of the final join; adaptive execution splits its task.
+    Texts are matched by their SHA-256, so the rows meet the scores without
+    their text, and a text that very many rows share is spread over tasks.
     """
     keyed = df.withColumn("_text_key", F.sha2(text, 256))
     once = keyed.select("_text_key", text).distinct()
     scores = scorer(once, text, "_text_key")
-    clash = [c for c in scores.columns if c in df.columns]
-    return keyed.drop(*clash).join(scores, "_text_key", "left").drop("_text_key")
+    return join_hot(keyed.select(key, "_text_key"), scores, "_text_key", key).drop("_text_key")
 
 
 def apply_scorer(

@@ -1,5 +1,6 @@
 """Changes to stored tables: insert, upsert, retention, cascade, JSON columns, snapshots."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +69,8 @@ def apply_retention(df: DataFrame, table: str, as_of=None, days: int | None = No
 
 def cascade_delete(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows of `child` whose parent is left, and those that name no parent."""
-    left = parent.select(key).distinct().withColumn("_left", F.lit(True))
-    kept = child.join(left, key, "left").filter(F.col(key).isNull() | F.col("_left"))
-    return kept.select(*child.columns)
+    kept = child.join(parent.select(key), key, "left_semi").select(*child.columns)
+    return kept.unionByName(child.filter(F.col(key).isNull()))
 
 
 def encode_json(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,12 +93,15 @@ def publish_snapshot(stats: DataFrame, path: str, as_of, ttl_seconds: int = 60)
 
 
 def read_snapshot(spark: SparkSession, path: str, as_of, layout: str) -> DataFrame:
-    """The stored record if it has not expired, else one row of zeros."""
+    """The stored record if there is one and it has not expired, else one row of zeros."""
     now = F.lit(str(as_of)).cast("timestamp")
+    saved = "record string, expires_at timestamp"
+    try:
+        records = spark.read.schema(saved).parquet(path)
+    except AnalysisException:  # nothing published yet
+        records = spark.createDataFrame([], saved)
     stored = (
-        spark.read.schema("record string, expires_at timestamp")
-        .parquet(path)
-        .filter(F.col("expires_at") > now)
+        records.filter(F.col("expires_at") > now)
         .select(F.from_json("record", layout).alias("stored"), F.lit(1).alias("one"))
     )
     row = spark.range(1).select(F.lit(1).alias("one")).join(stored, "one", "left")

@@ -30,13 +30,13 @@ def extract_urls(df: DataFrame, text: str = "content") -> DataFrame:
 
 def ingest_tags(df: DataFrame, text: str = "content") -> DataFrame:
     """Tags as ingestion reads them: words that start with the mark, without it, punctuation kept."""
-    tokens = F.split(W.collapse(text), " ")
+    split = df.withColumn("_tokens", F.split(W.collapse(text), " "))
 
     def marked(mark):
-        found = F.filter(tokens, lambda t: t.startswith(mark))
+        found = F.filter("_tokens", lambda t: t.startswith(mark))
         return F.transform(found, lambda t: F.substring(t, 2, 2**31 - 1))
 
-    return df.withColumns({"hashtags": marked("#"), "mentions": marked("@")})
+    return split.withColumns({"hashtags": marked("#"), "mentions": marked("@")}).drop("_tokens")
 
 
 def preprocess(

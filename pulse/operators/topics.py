@@ -28,13 +28,13 @@ def with_terms(df: DataFrame, text: str = "content", stop_words=STOP_WORDS) -> D
     ).drop("_tokens")
 
 
-def tfidf_vocabulary(df: DataFrame, max_terms=1000, min_df=2, max_df=0.8) -> DataFrame:
+def tfidf_vocabulary(df: DataFrame, max_terms=1000, min_df=2, max_df=0.8, n: int | None = None) -> DataFrame:
     """The most used terms with corpus count, document count and smoothed idf.
 
-    Every text adds its terms once with their count and once as distinct, so
-    both counts come from one aggregate.
+    Every text adds all its terms and, apart, its distinct terms, so both
+    counts come from one aggregate. `n` is the number of texts if known.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     entries = F.concat(
         F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(
@@ -84,7 +84,7 @@ def extract_topics(
     if n < 2:
         raise ValueError("need at least 2 texts")
     texts = with_terms(df.select(key, text), text)
-    vocabulary = tfidf_vocabulary(texts, max_terms, min_df, max_df).orderBy("term").collect()
+    vocabulary = tfidf_vocabulary(texts, max_terms, min_df, max_df, n).orderBy("term").collect()
     if not vocabulary:
         raise ValueError("no terms left to tell texts apart")
     features = tfidf_features(texts, vocabulary).select(key, "features").persist()
@@ -109,11 +109,9 @@ def extract_topics(
     terms = spark.createDataFrame(rows, "topic_id int, rank int, term string, weight double")
     assigned = best.setPredictionCol("topic_id").transform(features).select(key, "topic_id")
     first = F.row_number().over(Window.partitionBy("topic_id").orderBy(key))
-    samples = (
-        assigned.withColumn("rank", first)
-        .filter(F.col("rank") <= sample_texts)
-        .join(df.select(key, F.col(text).alias("text")), key)
-    )
+    chosen = assigned.withColumn("rank", first).filter(F.col("rank") <= sample_texts)
+    # k times sample_texts rows, so the texts need no shuffle
+    samples = df.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
     sizes = assigned.groupBy("topic_id").agg(F.count("*").alias("document_count"))
     return Topics(terms, sizes, samples, assigned)
 

@@ -79,16 +79,16 @@ def _(spark, folder):
 
 @query(
     "K05_stream_last_hour",
-    f"""SELECT window_end, count(*) AS posts, {_COUNTS}
+    f"""SELECT window_end, count(*) AS posts, coalesce(avg(processing_time_ms), 0.0) AS avg_processing_time_ms, {_COUNTS}
         FROM (SELECT *, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE * unnest(range(1, 61)) AS window_end
               FROM posts) GROUP BY 1""",
 )
 def _(spark, folder):
     """Authors are counted approximately, so that column is left out here."""
-    target = new_folder(spark, "sliding")
+    target = new_folder(spark, "minutes")
     W.update_to(W.stream_last_hour(_posts(spark, folder)), target, new_folder(spark, "offsets")).awaitTermination()
-    rows = W.current_rows(spark, target, ["window_end"])
-    return _ntz(rows.drop("active_users", "avg_processing_time_ms"), "window_end")
+    rows = W.last_hour_stats(W.current_rows(spark, target, ["minute"])).drop("active_users")
+    return _ntz(rows, "window_end")
 
 
 @query("K06_stream_today", TODAY_SQL, "tags")

@@ -236,10 +236,12 @@ def _(spark, folder):
 @query("E13_score_distinct", sentiment("documents", "doc_id", "text"), "lexicon")
 def _(spark, folder):
     lexicon = LX.sentiment_lexicon(spark)
-    scored = S.score_distinct(
-        A.documents(spark, folder), lambda texts, text, key: S.score_sentiment(texts, lexicon, text, key), "text"
+    return S.score_distinct(
+        A.documents(spark, folder),
+        lambda texts, text, key: S.score_sentiment(texts, lexicon, text, key),
+        "text",
+        "doc_id",
     )
-    return scored.select("doc_id", "sentiment", "sentiment_confidence", "positive", "negative", "neutral")
 
 
 @query("E14_apply_scorer", "SELECT doc_id, length(text) AS score FROM documents", "")

@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pulse.functions.columns import count_sentiments, mean, zero_if_null
+from pulse.functions.columns import count_sentiments, zero_if_null
 from pulse.functions.filters import TIME
+from pulse.functions.params import SENTIMENTS
 from pulse.operators.tables import first_per_key
 
 
@@ -34,20 +35,39 @@ def stream_ppm(posts: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
-def stream_last_hour(posts: DataFrame, late: str = "10 minutes", slide: str = "1 minute") -> DataFrame:
-    """Stats of the hour before each slide (update mode); authors are counted approximately."""
+def stream_last_hour(posts: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Per-minute parts of the last-hour stats (update mode), authors as a mergeable sketch.
+
+    A sliding window would count each post in 60 windows; here it is counted
+    once, and `last_hour_stats` adds up minutes.
+    """
     return (
         posts.withWatermark(TIME, late)
-        .groupBy(F.window(TIME, "1 hour", slide))
+        .groupBy(F.window(TIME, "1 minute"))
         .agg(
             F.count("*").alias("posts"),
-            F.approx_count_distinct("author").alias("active_users"),
-            zero_if_null(mean("processing_time_ms")).alias("avg_processing_time_ms"),
+            F.hll_sketch_agg("author").alias("authors"),
+            F.sum("processing_time_ms").alias("ms"),
+            F.count("processing_time_ms").alias("timed"),
             *count_sentiments(),
         )
-        .select(
-            F.col("window.end").alias("window_end"), "posts", "active_users", "avg_processing_time_ms",
-            *[f"{s}_count" for s in ("positive", "negative", "neutral")],
+        .withColumn("window", F.col("window.start"))
+        .withColumnRenamed("window", "minute")
+    )
+
+
+def last_hour_stats(minutes: DataFrame, span: int = 60) -> DataFrame:
+    """Stats of the `span` minutes before each minute's end; authors are counted approximately."""
+    ends = F.expr(f"sequence(minute + INTERVAL 1 MINUTE, minute + INTERVAL {span} MINUTES, INTERVAL 1 MINUTE)")
+    counts = [f"{s}_count" for s in SENTIMENTS]
+    return (
+        minutes.withColumn("window_end", F.explode(ends))
+        .groupBy("window_end")
+        .agg(
+            F.sum("posts").alias("posts"),
+            F.hll_sketch_estimate(F.hll_union_agg("authors")).alias("active_users"),
+            zero_if_null(F.try_divide(F.sum("ms").cast("double"), F.sum("timed"))).alias("avg_processing_time_ms"),
+            *[F.sum(c).alias(c) for c in counts],
         )
     )
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulse import schemas
+from pulse.functions.filters import last_hours, today
 from pulse.operators import quality as Q
 from pulse.operators import tables as T
 from pulse.session import new_folder
@@ -33,6 +34,22 @@ def test_unknown_table(spark):
         read_table(spark, "nothing", "/nowhere")
 
 
+def test_time_filters_prune_folders(spark):
+    folder = new_folder(spark, "tables")
+    layout = "service_name string, timestamp timestamp"
+    write_table(spark.createDataFrame([("a", T0), ("b", T1)], layout), "system_metrics", folder)
+    table = read_table(spark, "system_metrics", folder)
+    for recent in (last_hours(table, 1), today(table, T1), T.apply_retention(table, "system_metrics", T1, days=0)):
+        plan = recent._jdf.queryExecution().executedPlan().toString()
+        assert "ts_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert rows(recent.select("service_name")) == [("b",)]
+
+
+def test_missing_snapshot_is_zero(spark):
+    layout = "struct<posts:bigint,last_updated:timestamp>"
+    assert T.read_snapshot(spark, new_folder(spark, "none"), "2024-01-01", layout).first()["posts"] == 0
+
+
 def test_overwrite_replaces_only_the_days_it_brings(spark):
     folder = new_folder(spark, "tables")
     layout = "service_name string, timestamp timestamp"

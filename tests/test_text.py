@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions import lexicons as LX
 from pulse.functions import words as W
+from pulse.functions.lookups import join_hot
 from pulse.operators import scoring as S
 from pulse.operators import text as X
 from pulse.operators import topics as K
@@ -107,6 +108,16 @@ def test_distinct_scoring_serves_all_copies(spark):
     assert counts == {"negative": 167, "positive": 333} and seen == [334]
 
 
+@pytest.mark.parametrize("share, rows_per_task", [(0.001, 20), (0.5, 20), (0.001, 10**6)])
+def test_hot_keys_join_like_others(spark, share, rows_per_task):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    table = rows.select("k").distinct().filter("k <> 1").withColumn("v", F.col("k") * 2)
+    joined = join_hot(rows, table, "k", "id", share, rows_per_task).orderBy("id").collect()
+    assert [(r["id"], r["k"], r["v"]) for r in joined] == [
+        (i, k, None if k == 1 else 2 * k) for i in range(1000) for k in [-1 if i % 3 == 0 else i]
+    ]
+
+
 def test_scorer_gets_small_batches(spark):
     sizes = S.apply_scorer(
         spark.range(100).coalesce(1).select(F.col("id").alias("n")), lambda pdf: pdf.assign(size=len(pdf)), "n long, size long"
