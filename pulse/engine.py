@@ -70,13 +70,13 @@ class Engine:
 
     def realtime_stats(self) -> DataFrame:
         """Last-hour counts with the posting rate and the number of trending topics, as one row."""
-        one = F.lit(1).alias("one")
         parts = [
             posts.realtime_stats(self.posts, 1, self.as_of),
             posts.posts_per_minute_summary(posts.posts_per_minute(self.posts, self.as_of)),
             trending.trending_count(self.trending, 1, self.as_of),
         ]
-        return reduce(lambda a, b: a.join(b, "one"), [p.select("*", one) for p in parts]).drop("one")
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
     def insights_summary(self, platform=None, hours=None, timeframe=None) -> DataFrame:
         span = params.resolve_hours(hours, timeframe)

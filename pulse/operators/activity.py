@@ -20,19 +20,19 @@ def user_stats(activity: DataFrame, users: DataFrame, as_of=None, top: int = 10)
         F.count("*").alias("requests"), F.count_if(F.col(TIME) >= midnight).alias("today")
     )
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("requests"), "endpoint"))
-    totals = per_endpoint.groupBy("user_id").agg(
-        F.sum("requests").alias("total_requests"), F.sum("today").alias("requests_today")
-    )
-    favourites = (
+    best = F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "endpoint")))
+    per_user = (
         per_endpoint.withColumn("rank", rank)
-        .filter(F.col("rank") <= top)
         .groupBy("user_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "endpoint")))["endpoint"].alias("favorite_endpoints"))
+        .agg(
+            F.sum("requests").alias("total_requests"),
+            F.sum("today").alias("requests_today"),
+            F.sort_array(best)["endpoint"].alias("favorite_endpoints"),
+        )
     )
     return (
         users.select("user_id", "username")
-        .join(totals, "user_id", "left")
-        .join(favourites, "user_id", "left")
+        .join(per_user, "user_id", "left")
         .na.fill(0, subset=["total_requests", "requests_today"])
     )
 

@@ -9,7 +9,6 @@ from pulse.functions.columns import engagement, hour_floor, mean, pct, preview,
 from pulse.functions.filters import latest
 from pulse.operators import posts as P
 from pulse.operators import trending as G
-from pulse.operators.ranking import arg_top
 
 SALTS = 64
 
@@ -107,32 +106,29 @@ def insights(posts, trending, platform=None, hours=24, as_of=None) -> DataFrame:
     platforms = P.platform_metrics(posts, 24, as_of)
 
     def line(position, df, order, text, source, rows):
-        counts = df.agg(rows.cast("long").alias("source_rows")).withColumn("one", F.lit(1))
-        best = arg_top(df, order).select(F.lit(1).alias("one"), text.alias("insight"))
-        return best.join(counts, "one").select(
+        """The sentence of the first row in `order`, none if `df` is empty."""
+        best = df.agg(F.min_by(text, F.struct(*order)).alias("insight"), rows.cast("long").alias("source_rows"))
+        return best.filter(F.col("insight").isNotNull()).select(
             F.lit(position).alias("position"), "insight", F.lit(source).alias("source"), "source_rows"
         )
 
+    share = F.col("percentage").cast("decimal(5,1)").cast("string")
     return reduce(
         DataFrame.unionByName,
         [
             line(
-                1, topics, [F.desc("mentions"), F.desc("sentiment_score"), "topic"],
+                1, topics, [-F.col("mentions"), -F.col("sentiment_score"), F.col("topic")],
                 F.format_string("'%s' is trending with %d mentions", "topic", "mentions"),
                 "trending_topics", F.count("*"),
             ),
             line(
-                2, shares, [F.desc("count"), "sentiment"],
-                F.format_string(
-                    "%s%% of posts are %s", F.col("percentage").cast("decimal(5,1)").cast("string"), "sentiment"
-                ),
+                2, shares, [-F.col("count"), F.col("sentiment")],
+                F.format_string("%s%% of posts are %s", share, "sentiment"),
                 "sentiment_posts", F.sum("count"),
             ),
             line(
-                3, platforms, [F.desc("total_posts"), "platform"],
-                F.format_string(
-                    "%s is the most active platform with %d posts", "platform", "total_posts"
-                ),
+                3, platforms, [-F.col("total_posts"), F.col("platform")],
+                F.format_string("%s is the most active platform with %d posts", "platform", "total_posts"),
                 "active_platforms", F.count("*"),
             ),
         ],

@@ -160,19 +160,32 @@ def posts_per_minute_summary(per_minute: DataFrame) -> DataFrame:
 
 
 def today_stats(posts: DataFrame, as_of=None) -> DataFrame:
-    """Day-so-far counts.
+    """Day-so-far counts with distinct authors and hashtags, in one scan.
 
-    One row per (author, hashtag) pair kind would multiply counts, so authors
-    and hashtags are counted apart and joined as two one-row results.
+    Each post gives one entry for its author, with the counts, and one per
+    hashtag. Entries are first added up per author and per hashtag.
     """
-    day = today(posts, as_of)
-    counts = day.agg(
-        F.count("*").alias("posts_today"),
-        F.countDistinct("author").alias("active_users"),
-        *count_sentiments(),
+    counts = [f"{name}_count" for name in params.SENTIMENTS]
+    flags = [(F.col("sentiment") == name).cast("int").alias(c) for name, c in zip(params.SENTIMENTS, counts)]
+    blank = [F.lit(0).alias(c) for c in counts]
+    author = F.struct(F.lit("author").alias("kind"), F.col("author").alias("name"), F.lit(1).alias("posts"), *flags)
+    tags = F.transform(
+        F.coalesce("hashtags", F.array()),
+        lambda tag: F.struct(F.lit("tag").alias("kind"), tag.alias("name"), F.lit(0).alias("posts"), *blank),
+    )
+    entries = today(posts, as_of).select(F.inline(F.concat(F.array(author), tags)))
+    per_name = entries.groupBy("kind", "name").agg(*[F.sum(c).alias(c) for c in ("posts", *counts)])
+
+    def total(column):
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    named = F.col("name").isNotNull()
+    return per_name.agg(
+        total("posts").alias("posts_today"),
+        F.count_if((F.col("kind") == "author") & named).alias("active_users"),
+        *[total(c).alias(c) for c in counts],
+        F.count_if((F.col("kind") == "tag") & named).alias("trending_topics"),
     )
-    tags = _tags(day).agg(F.countDistinct("hashtag").alias("trending_topics"))
-    return counts.withColumn("one", F.lit(1)).join(tags.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def user_engagement(users: DataFrame, activity: DataFrame) -> DataFrame:
