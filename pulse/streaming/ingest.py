@@ -96,15 +96,13 @@ def store(posts: DataFrame, batch_id: int, folder: str) -> None:
     )
 
 
-def _newest(batch: DataFrame, folder: str) -> str | None:
-    """Newest time of the batch and of the last published stats; the stored posts are not read for it."""
-    spark, path = batch.sparkSession, f"{folder}/{STATS}"
-    times = batch.select(F.col(TIME).alias("t"))
-    if _exists(lambda: spark.read.parquet(path)):
-        record = spark.read.schema("record string").parquet(path)
-        known = F.from_json("record", STATS_LAYOUT)["last_updated"]
-        times = times.unionByName(record.select(known.alias("t")))
-    return latest(times, "t")
+def _published(spark: SparkSession, folder: str) -> str | None:
+    """Time of the last published stats."""
+    path = f"{folder}/{STATS}"
+    if not _exists(lambda: spark.read.parquet(path)):
+        return None
+    record = spark.read.schema("record string").parquet(path)
+    return latest(record.select(F.from_json("record", STATS_LAYOUT)["last_updated"].alias("t")), "t")
 
 
 def refresh_trending(posts: DataFrame, folder: str, as_of: str, hours: int = 1, min_mentions: int = 3) -> None:
@@ -145,9 +143,10 @@ def ingest_stream(
     def process(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            as_of = _newest(batch, folder)
-            if as_of is None:
+            newest = latest(batch)
+            if newest is None:
                 return
+            as_of = max(newest, _published(spark, folder) or newest)
             fresh = unseen(first_per_key(batch, ["post_id"], [TIME]), batch_id, folder)
             store(enrich(fresh, scorers) if scorers else fresh, batch_id, folder)
         finally:
