@@ -89,7 +89,7 @@ def publish_snapshot(stats: DataFrame, path: str, as_of, ttl_seconds: int = 60)
         F.to_json(F.struct(*stats.columns, now.alias("last_updated"))).alias("record"),
         (now + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")).alias("expires_at"),
     )
-    record.coalesce(1).write.mode("overwrite").parquet(path)
+    record.write.mode("overwrite").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, as_of, layout: str) -> DataFrame:

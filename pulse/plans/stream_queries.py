@@ -55,11 +55,12 @@ def _(spark, folder):
     return _ntz(stored, "timestamp")
 
 
-@query(
-    "K03_stream_posts_per_hour",
-    f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, platform, count(*) AS post_count, {_COUNTS}
-        FROM posts GROUP BY 1, 2 HAVING bucket + INTERVAL 1 HOUR <= {{now}} - INTERVAL 1 HOUR""",
-)
+_CLOSED_HOURS = f"""
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, platform, count(*) AS post_count, {_COUNTS}
+    FROM posts GROUP BY 1, 2 HAVING bucket + INTERVAL 1 HOUR <= {{now}} - INTERVAL 1 HOUR"""
+
+
+@query("K03_stream_posts_per_hour", _CLOSED_HOURS)
 def _(spark, folder):
     target = new_folder(spark, "hours")
     hours = W.stream_posts_per_hour(_posts(spark, folder))
@@ -67,6 +68,21 @@ def _(spark, folder):
     return _ntz(spark.read.schema(hours.schema).parquet(target), "bucket")
 
 
+@query("K09_late_posts", _CLOSED_HOURS)
+def _(spark, folder):
+    """All events arrive once in time and, after the stream resumes, once more a day late."""
+    feed, target, offsets = (new_folder(spark, name) for name in ("feed", "hours", "offsets"))
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    late = events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY"))
+    for arriving in (events, late):
+        arriving.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(events.schema).parquet(feed)
+        posts = A.posts_of_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+        hours = W.stream_posts_per_hour(posts)
+        W.append_to(hours, target, offsets).awaitTermination()
+    return _ntz(spark.read.schema(hours.schema).parquet(target), "bucket")
+
+
 @query(
     "K04_stream_ppm",
     "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute, count(*) AS posts FROM posts GROUP BY 1",

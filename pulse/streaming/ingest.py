@@ -9,17 +9,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulse import schemas
 from pulse.functions.columns import fill_unscored
-from pulse.functions.filters import TIME, latest
+from pulse.functions.filters import TIME, as_of_literal, last_hours, latest
 from pulse.functions.lookups import sized
 from pulse.operators import scoring
 from pulse.operators.posts import today_stats
 from pulse.operators.tables import first_per_key, publish_snapshot, upsert
 from pulse.operators.text import ingest_tags
-from pulse.operators.trending import detect_trending
+from pulse.operators.trending import detect_trending, with_growth, with_related
 from pulse.session import cut_lineage
 from pulse.sources.tables import read_table, shape, write_table
 
 POSTS, TRENDING, STATS = "social_posts", "trending_topics", "realtime_stats"
+MAX_BROADCAST_IDS = 2_000_000
 STATS_LAYOUT = (
     "struct<posts_today:bigint,active_users:bigint,positive_count:bigint,negative_count:bigint,"
     "neutral_count:bigint,trending_topics:bigint,last_updated:timestamp>"
@@ -78,7 +79,7 @@ def unseen(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
     if not _exists(lambda: stored_posts(spark, folder)):
         return batch
     others = stored_posts(spark, folder).filter(F.col("batch_id") != batch_id).select("post_id")
-    seen = others.join(sized(batch.select("post_id")), "post_id", "left_semi")
+    seen = others.join(sized(batch.select("post_id"), MAX_BROADCAST_IDS), "post_id", "left_semi")
     return batch.join(seen, "post_id", "left_anti")
 
 
@@ -106,21 +107,26 @@ def _published(spark: SparkSession, folder: str) -> str | None:
 
 
 def refresh_trending(posts: DataFrame, folder: str, as_of: str, hours: int = 1, min_mentions: int = 3) -> None:
-    """Upsert the topics of the last hours; only that day of the trending table is rewritten."""
+    """Upsert the topics of the last hours with their growth and related keywords.
+
+    Only two days of the trending table are read and only one is rewritten.
+    """
     spark = posts.sparkSession
-    fresh = detect_trending(posts, as_of, hours, min_mentions)
-    fresh = shape(
-        fresh.withColumn("created_at", F.lit(as_of).cast("timestamp")), TRENDING
-    )
-    if _exists(lambda: read_table(spark, TRENDING, folder)):
-        day = F.lit(as_of).cast("timestamp").cast("date")
-        old = shape(read_table(spark, TRENDING, folder).filter(F.col("ts_date") == day), TRENDING)
-        fresh = upsert(
-            old, fresh, schemas.KEYS[TRENDING], ["mentions_count", "sentiment_score", "growth_rate"]
-        )
-        # The day being replaced is also read, so the new rows are written out first.
-        fresh = cut_lineage(fresh)
-    write_table(fresh, TRENDING, folder, mode="overwrite")
+    now = as_of_literal(posts, as_of)
+    found = detect_trending(posts, now, hours, min_mentions).withColumn("created_at", now)
+    fresh = shape(with_related(found, last_hours(posts, hours, now)), TRENDING)
+    if not _exists(lambda: read_table(spark, TRENDING, folder)):
+        write_table(fresh, TRENDING, folder, mode="overwrite")
+        return
+    today = now.cast("date")
+    stored = read_table(spark, TRENDING, folder).filter(F.col("ts_date") >= today - F.expr("INTERVAL 1 DAY"))
+    earlier = shape(stored.filter(F.col("time_window") < F.date_trunc("hour", now)), TRENDING)
+    grown = with_growth(earlier.unionByName(fresh)).filter(F.col("time_window") == F.date_trunc("hour", now))
+    changed = ["mentions_count", "sentiment_score", "growth_rate"]
+    old = shape(stored.filter(F.col("ts_date") == today), TRENDING)
+    # The day being replaced is also read, so the new rows are written out first.
+    merged = cut_lineage(upsert(old, shape(grown, TRENDING), schemas.KEYS[TRENDING], changed))
+    write_table(merged, TRENDING, folder, mode="overwrite")
 
 
 def ingest_stream(

@@ -112,3 +112,18 @@ def test_a_repeated_batch_replaces_itself(spark):
     assert S.stored_posts(spark, out).count() == 2
     S.store(S.unseen(batch, 1, out), 1, out)
     assert S.stored_posts(spark, out).count() == 2
+
+
+def test_trending_refresh_knows_growth_and_keywords(spark):
+    out = new_folder(spark, "out")
+    posts = lambda n, minutes: [
+        (f"p{minutes}-{i}", "twitter", T0 + timedelta(minutes=minutes), "positive", ["ai", "ml"]) for i in range(n)
+    ]
+    layout = "post_id string, platform string, timestamp timestamp, sentiment string, hashtags array<string>"
+    for rows in (posts(3, 1410), posts(3, 1410) + posts(6, 1470), posts(3, 1410) + posts(6, 1470) + posts(3, 1480)):
+        df = spark.createDataFrame(rows, layout)
+        S.refresh_trending(df, out, str(df.agg(F.max("timestamp")).first()[0]))
+    found = read_table(spark, "trending_topics", out).orderBy("time_window", "topic").collect()
+    assert [(r["topic"], r["mentions_count"], r["growth_rate"], r["related_keywords"]) for r in found] == [
+        ("ai", 3, None, ["ml"]), ("ml", 3, None, ["ai"]), ("ai", 9, 3, ["ml"]), ("ml", 9, 3, ["ai"]),
+    ]
