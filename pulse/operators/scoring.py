@@ -90,120 +90,142 @@ def score_mood(df, lexicon: DataFrame, emotions: DataFrame, text="content", key=
     return _scored(df, text, key, lexicon, emotions)
 
 
-MAX_INLINE_PHRASES = 2000
-_HIT = "struct<phrase:string,label:string,description:string,weight:double>"
+MAX_INLINE_PHRASES, MAX_INLINE_GROUPS = 200, 8
+MARK, OTHER_MARK = "\uffff", "\ufffe"
+_INFO = "struct<label:string,description:string,weight:double>"
 
+# Regex, label, description, weight.
+ENTITY_PATTERNS = [
+    (W.MONEY, "MONEY", "Monetary values, including unit", 0.7),
+    (W.DATE, "DATE", "Absolute or relative dates or periods", 0.7),
+]
 
-def _located(text: Column, pattern: Column, label, description, weight) -> Column:
+
+def _info(label, description, weight) -> Column:
+    return F.struct(
+        F.lit(label).alias("label"), F.lit(description).alias("description"), F.lit(weight).alias("weight")
+    )
+
+
+def _located(text: Column, pattern, info: Callable[[Column], Column]) -> Column:
     """Every match of `pattern` as an entity with its offsets, counted in characters.
 
-    The text is split once; an offset is the length of all pieces and matches before it.
+    Matches are replaced by a mark that is no character and the text is split
+    there; an offset is the length of all pieces and matches before it.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), pattern, F.lit(MARK))
     split = F.struct(
-        F.split(text, pattern, -1).alias("pieces"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"),
+        F.split(marked, MARK, -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")
     )
 
     def total(parts, n):
         return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda sum_, part: sum_ + F.length(part))
 
     def entity(match, i, at):
-        start = total(at["pieces"], i + 1) + total(at["found"], i)
+        start, about = total(at["pieces"], i + 1) + total(at["found"], i), info(match)
         return F.struct(
-            match.alias("text"), label.alias("label"), description.alias("description"),
-            start.alias("start"), (start + F.length(match)).alias("end"), weight.alias("confidence"),
+            match.alias("text"), about["label"].alias("label"), about["description"].alias("description"),
+            start.alias("start"), (start + F.length(match)).alias("end"), about["weight"].alias("confidence"),
         )
 
     def entities(at):
         return F.transform(at["found"], lambda match, i: entity(match, i, at))
 
     hit = F.when(F.regexp_like(text, pattern), F.array(split)).otherwise(F.array())
-    return F.flatten(F.transform(hit, entities))
+    return F.flatten(F.transform(hit, entities)).cast(ENTITIES)
 
 
-def _phrase_pattern(phrase: Column) -> Column:
-    body = F.replace(phrase, F.lit(" "), F.lit(f"{W.SPACE}+"))
-    return F.concat(F.lit(f"(?iu)(?<!{W.WORD})"), body, F.lit(f"(?!{W.WORD})"))
+def _bounded(body):
+    """Regex for `body` as whole words in any case."""
+    start, end = f"(?iu)(?<!{W.WORD})(?:", f")(?!{W.WORD})"
+    return start + body + end if isinstance(body, str) else F.concat(F.lit(start), body, F.lit(end))
 
 
-def _with_hits(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> DataFrame:
-    """Add `_hits`, the dictionary entries the text may hold; `_located` then finds the exact places."""
-    entries = dictionary.select("phrase", "label", "description", "weight")
-    few = entries.limit(MAX_INLINE_PHRASES + 1).collect()
-    if len(few) <= MAX_INLINE_PHRASES:
-        # A short dictionary travels in the plan: no join, nothing is shuffled.
-        return df.withColumn("_hits", _inline_hits(W.words(text), few))
+def _groups(entries: list) -> list[list]:
+    """Entries in as few groups as the greedy order gives, such that no word occurs twice in a group.
+
+    Matches in a group cannot overlap, so one regex finds all of them.
+    """
+    groups: list[tuple[set, list]] = []
+    for row in entries:
+        words = row["phrase"].split()
+        for used, rows in groups:
+            if used.isdisjoint(words):
+                break
+        else:
+            used, rows = set(), []
+            groups.append((used, rows))
+        used.update(words)
+        rows.append(row)
+    return [rows for _, rows in groups]
+
+
+def _inline_entities(text: Column, groups: list[list]) -> list[Column]:
+    """Entities of a short dictionary: it travels in the plan and nothing is shuffled."""
+    found = []
+    for rows in groups:
+        pattern = "|".join(f"{W.SPACE}+".join(row["phrase"].split()) for row in rows)
+        about = F.create_map(
+            *[
+                part
+                for row in rows
+                for part in (F.lit(row["phrase"]), _info(row["label"], row["description"], row["weight"]))
+            ]
+        ).cast(f"map<string,{_INFO}>")
+
+        def info(match, about=about):
+            return about[F.lower(F.regexp_replace(match, f"{W.SPACE}+", " "))]
+
+        matches = _located(text, _bounded(pattern), info)
+        found.append(F.filter(matches, lambda e: e["label"].isNotNull()))
+    return found
+
+
+def _joined_entities(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> DataFrame:
+    """Add `_found`, the entities of a long dictionary: its phrases are joined to one-, two- and
+    three-word sequences, then each phrase a text holds is located in it."""
     tokens = F.col("_tokens")
     phrases = F.array_distinct(F.concat(tokens, W.pairs(tokens), W.triples(tokens)))
     candidates = df.select(key, W.words(text).alias("_tokens")).select(key, F.explode(phrases).alias("phrase"))
     hits = (
-        candidates.join(sized(entries), "phrase")
+        candidates.join(sized(dictionary), "phrase")
         .groupBy(key)
         .agg(F.collect_list(F.struct("phrase", "label", "description", "weight")).alias("_hits"))
     )
-    return df.join(hits, key, "left").withColumn(
-        "_hits", F.coalesce("_hits", F.array().cast(f"array<{_HIT}>"))
-    )
 
+    def located(hit):
+        pattern = _bounded(F.replace(hit["phrase"], F.lit(" "), F.lit(f"{W.SPACE}+")))
+        return _located(F.col(text), pattern, lambda match: hit)
 
-def _inline_hits(tokens: Column, entries: list) -> Column:
-    """Entries all of whose words occur in `tokens`, looked up by their first word."""
-    by_first: dict[str, list] = {}
-    for row in entries:
-        by_first.setdefault(row["phrase"].split()[0], []).append(row)
-    known = sorted({word for row in entries for word in row["phrase"].split()})
-    if not known:
-        return F.array().cast(f"array<{_HIT}>")
-
-    def entry(row):
-        fields = [F.lit(row[name]).alias(name) for name in ("phrase", "label", "description", "weight")]
-        return F.struct(*fields)
-
-    starts = F.create_map(
-        *[part for first, rows in by_first.items() for part in (F.lit(first), F.array(*map(entry, rows)))]
-    ).cast(f"map<string,array<{_HIT}>>")
-
-    def complete(used):
-        found = F.flatten(F.filter(F.transform(used, lambda word: starts[word]), lambda e: e.isNotNull()))
-        return F.filter(found, lambda e: F.size(F.array_except(F.split(e["phrase"], " "), used)) == 0)
-
-    used = F.array_intersect(tokens, F.array(*map(F.lit, known)))
-    return F.flatten(F.transform(F.array(used), complete))
+    none = F.array().cast("array<struct<phrase:string,label:string,description:string,weight:double>>")
+    joined = df.join(hits, key, "left").withColumn("_hits", F.coalesce("_hits", none))
+    return joined.withColumn("_found", F.flatten(F.transform("_hits", located))).drop("_hits")
 
 
 def extract_entities(df: DataFrame, dictionary: DataFrame, text="content", key="post_id") -> DataFrame:
     """Add `entities` (by start) and `entity_count`: dictionary phrases, amounts of money and dates."""
     body = F.col(text)
-    # Fixed values
-    patterns = [
-        (W.MONEY, "MONEY", "Monetary values, including unit", 0.7),
-        (W.DATE, "DATE", "Absolute or relative dates or periods", 0.7),
-    ]
-    by_phrase = F.flatten(
-        F.transform(
-            "_hits",
-            lambda h: _located(body, _phrase_pattern(h["phrase"]), h["label"], h["description"], h["weight"]),
-        )
-    )
-    by_pattern = [
-        _located(body, F.lit(pattern), F.lit(label), F.lit(description), F.lit(weight))
-        for pattern, label, description, weight in patterns
+    entries = dictionary.select("phrase", "label", "description", "weight")
+    few = entries.limit(MAX_INLINE_PHRASES + 1).collect()
+    groups = _groups(few) if len(few) <= MAX_INLINE_PHRASES else []
+    parts = [
+        _located(body, pattern, lambda match, about=about: _info(*about)) for pattern, *about in ENTITY_PATTERNS
     ]
-    found = F.concat(*[part.cast(ENTITIES) for part in (by_phrase, *by_pattern)])
+    if len(few) <= MAX_INLINE_PHRASES and len(groups) <= MAX_INLINE_GROUPS:
+        parts += _inline_entities(body, groups)
+    else:
+        df = _joined_entities(df, entries, text, key)
+        parts.append(F.col("_found"))
     order = F.array_sort(
-        found,
+        F.concat(*parts),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
         .when(a["end"] != b["end"], a["end"] - b["end"])
         .when(a["label"] < b["label"], -1)
         .when(a["label"] > b["label"], 1)
         .otherwise(0),
     )
-    return (
-        _with_hits(df, dictionary, text, key)
-        .withColumn("entities", order)
-        .drop("_hits")
-        .withColumn("entity_count", F.size("entities"))
-    )
+    return df.withColumn("entities", order).drop("_found").withColumn("entity_count", F.size("entities"))
 
 
 def entity_topics(df: DataFrame) -> DataFrame:

@@ -81,10 +81,11 @@ def test_combined_scores_equal_single_scores(spark):
 TEXT = "Naïve: NEW  York, new york; newyork. Acme\nCorp paid $5 and $1250.50 on 2024-03-01! Acme, Corp"
 
 
-@pytest.mark.parametrize("inline", [2000, 0])
+@pytest.mark.parametrize("inline", [200, 0])
 def test_entities_point_at_their_text(spark, inline, monkeypatch):
     monkeypatch.setattr(S, "MAX_INLINE_PHRASES", inline)
-    row = S.extract_entities(texts(spark, TEXT, "none"), LX.entity_dictionary(spark)).orderBy("post_id").collect()
+    row = S.extract_entities(texts(spark, TEXT, "none", "\uffff new york"), LX.entity_dictionary(spark)).orderBy("post_id").collect()
+    assert [(e["start"], e["end"]) for e in row[2]["entities"]] == [(2, 10)]
     found = row[0]["entities"]
     assert [(e["text"], e["label"]) for e in found] == [
         ("NEW  York", "GPE"), ("new york", "GPE"), ("Acme\nCorp", "ORG"), ("$5", "MONEY"), ("$1250.50", "MONEY"), ("2024-03-01", "DATE"),
@@ -94,6 +95,22 @@ def test_entities_point_at_their_text(spark, inline, monkeypatch):
     assert S.entity_topics(spark.createDataFrame(row[:1])).first()["topics"] == ["acme\ncorp"]
 
 
+@pytest.mark.parametrize("groups", [8, 0])
+def test_overlapping_phrases_are_all_found(spark, groups, monkeypatch):
+    monkeypatch.setattr(S, "MAX_INLINE_GROUPS", groups)
+    rows = [("new york", "GPE", "", 0.9), ("york city hall", "ORG", "", 0.5), ("york", "PERSON", "", 0.1)]
+    dictionary = spark.createDataFrame(rows, "phrase string, label string, description string, weight double")
+    found = S.extract_entities(texts(spark, "New York City Hall on $2024-01-02"), dictionary).first()["entities"]
+    assert [(e["text"], e["label"]) for e in found] == [
+        ("New York", "GPE"), ("York", "PERSON"), ("York City Hall", "ORG"), ("$2024", "MONEY"), ("2024-01-02", "DATE"),
+    ]
+
+
+def test_empty_dictionary(spark):
+    dictionary = LX.entity_dictionary(spark).limit(0)
+    assert S.extract_entities(texts(spark, "New York"), dictionary).first()["entity_count"] == 0
+
+
 def test_distinct_scoring_serves_all_copies(spark):
     df = spark.range(500).select(
         F.col("id").cast("string").alias("post_id"), F.when(F.col("id") % 3 == 0, "broken").otherwise(F.concat(F.lit("great "), "id")).alias("content")
