@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import idfile, packing, tokens
+from pulse.llm import idfile, neardup, packing, tokens
 from pulse.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op8_bit_plane_files(spark, folder):
     files = new_folder(spark, "ids")
     idfile.write_ids(documents(spark, folder), files)
     return idfile.read_ids(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_minhash_near_dedup(spark, folder):
+    return neardup.near_duplicates(documents(spark, folder))

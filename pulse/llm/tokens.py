@@ -30,9 +30,9 @@ WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}
 LATIN_END = chr(0x250)
 LETTER_STOP = r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,])"
 #: Words that a worker remembers; with their ids about 200 bytes each.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 600_000
 MAX_CACHED_BYTES = 64
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 _cached: dict[tuple[type, str], dict] = {}
 
