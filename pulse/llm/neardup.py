@@ -35,9 +35,9 @@ SKETCH = 64
 RUN = 4
 CLASSES = 32
 LEVEL = 1.5
-#: An estimate from SKETCH values is this far below the true likeness in fewer than one of a million pairs.
-SLACK = 0.25
-BLOCK = 512
+#: An estimate from SKETCH values of a likeness of 0.8 falls this far short in about 1 of 100,000 pairs.
+SLACK = 0.2
+BLOCK = 256
 #: Ids of documents to compare are broadcast up to this many (8 MB); beyond, they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -89,12 +89,6 @@ def signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n long, set_key binary, sketch array<long>, keys array<long>")
 
 
-def _estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Likeness of two sets from their sketches: the part of the least values of the union that both have."""
-    union = np.union1d(a, b)[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
-
-
 def promising(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     """Of the pairs (a, b) those whose sizes and sketches allow a likeness of `share`."""
     small = nodes.select("id", "n", "sketch")
@@ -103,7 +97,12 @@ def promising(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     both = F.array_intersect("sketch_a", "sketch_b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     estimate = F.size(F.array_intersect(both, union)) / F.size(union)
-    return joined.filter(estimate >= share - SLACK).select("a", "b").distinct()
+    return joined.filter(estimate >= share - SLACK).select("a", "b")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs with a < b."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def pairs_in_lists(members: DataFrame, share: float) -> DataFrame:
@@ -112,38 +111,45 @@ def pairs_in_lists(members: DataFrame, share: float) -> DataFrame:
     A long list is dealt in blocks of about BLOCK members; every two blocks meet in a group of their own.
     """
 
-    def compare(group):
-        group = group.drop_duplicates("id").reset_index(drop=True)
-        flat = np.concatenate(group["sketch"].to_list())
-        owner = np.repeat(np.arange(len(group)), group["sketch"].map(len))
-        values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count[place] > 1
-        column = np.cumsum(count > 1)[place[shared]] - 1
-        has = np.zeros((len(group), int((count > 1).sum())), np.float32)
-        has[owner[shared], column] = 1
-        n, component, block = (group[c].to_numpy() for c in ("n", "component", "block"))
-        out = []
-        for row in range(len(group)):
-            # Each pair once: in the group of two blocks those across them, in a block's own group those after the row.
-            others = np.arange(row + 1, len(group))
-            others = others[component[others] != component[row]]
-            if block.min() != block.max():
-                others = others[block[others] != block[row]]
-            small, large = np.minimum(n[others], n[row]), np.maximum(n[others], n[row])
-            common = has[others] @ has[row]
-            others = others[(small >= share * large - 1e-6) & (common >= (share - SLACK) * np.minimum(small, SKETCH) * 0.5)]
-            own = group["sketch"][row]
-            for other in others:
-                if _estimate(own, group["sketch"][other]) >= share - SLACK:
-                    out.append((group["id"][row], group["id"][other]))
-        return type(group)(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+    def compare(batches):
+        for batch in batches:
+            found = [np.empty((2, 0), np.int64)]
+            for group in batch.column("group"):
+                rows = group.values
+                id_, component, n, block = (
+                    rows.field(c).to_numpy() for c in ("id", "component", "n", "block")
+                )
+                if component.min() == component.max():
+                    continue
+                sketch = rows.field("sketch")
+                owner = np.repeat(np.arange(len(rows)), sketch.value_lengths().to_numpy())
+                _, place, count = np.unique(sketch.flatten().to_numpy(), return_inverse=True, return_counts=True)
+                shared = count[place] > 1
+                has = np.zeros((len(rows), int((count > 1).sum())), np.float32)
+                has[owner[shared], (np.cumsum(count > 1) - 1)[place[shared]]] = 1
+                small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
+                # An estimate of x needs x times as many common values as the union's sketch has.
+                alike = has @ has.T >= (share - SLACK) * np.minimum(large, SKETCH) - 1e-3
+                alike &= small >= share * large - 1e-6
+                alike &= component[:, None] != component
+                if block.min() != block.max():  # pairs inside a block are compared in its own group
+                    alike &= block[:, None] != block
+                found.append(id_[np.array(np.nonzero(np.triu(alike, 1)))])
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Block i meets block j as (min, max); with one block only, that is itself.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return dealt.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    return (
+        dealt.groupBy("key", "low", "high")
+        .agg(F.collect_list(F.struct("id", "component", "n", "block", "sketch")).alias("group"))
+        .select("group")
+        .mapInArrow(compare, "a long, b long")
+        .transform(ordered)
+    )
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, words: int, share: float) -> DataFrame:
@@ -204,7 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
     posted = stored(posted.join(lists, "key"), "lists")
     company = posted.groupBy("id").agg(F.sum("members").alias("company"))
     pivots = posted.join(company, "id").groupBy("key").agg(F.max(F.struct("company", "id")).getField("id").alias("a"))
-    pairs = posted.join(pivots, "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
+    pairs = posted.join(pivots, "key").filter("a != id").select("a", F.col("id").alias("b")).transform(ordered)
     pairs = stored(promising(pairs, classes, share), "pairs")
     links = stored(exact_links(pairs, docs, words, share).union(same), "links")
     components = connected_components(links)
@@ -213,8 +219,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
     mixed_lists = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left = placed.join(mixed_lists.filter("low != high").select("key"), "key", "left_semi")
     left = left.join(classes.select("id", "n", "sketch"), "id")
-    more = stored(pairs_in_lists(left, share), "more-pairs")
-    more = more.join(pairs, ((more.a == pairs.a) & (more.b == pairs.b)), "left_anti")
+    more = pairs_in_lists(left, share).join(pairs, ["a", "b"], "left_anti")
+    more = stored(promising(more, classes, share), "more-pairs")
     links = links.union(exact_links(more, docs, words, share))
     components = connected_components(links)
 
