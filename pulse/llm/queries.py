@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import idfile, neardup, packing, tokens
+from pulse.llm import idfile, language, neardup, packing, quality, tokens
+from pulse.llm.learning import fold
 from pulse.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """doc_id and label of all rows that have the label `name`."""
+    rows = spark.read.parquet(f"{folder}/labels.parquet")
+    return rows.select("doc_id", F.col(name).cast("int").alias("label")).filter("label is not null")
+
+
 @query
 def op1_hierarchical_packing(spark, folder):
     pieces = packing.pack(documents(spark, folder))
@@ -30,6 +37,14 @@ def op1_hierarchical_packing(spark, folder):
     )
 
 
+@query
+def op2_language_id(spark, folder):
+    docs = documents(spark, folder)
+    model = language.train(docs.filter(fold("doc_id", 4) != 2))
+    held_out = (fold("doc_id", 4) == 2).alias("held_out")
+    return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 @query
 def op4_token_counts(spark, folder):
     return tokens.count_tokens(documents(spark, folder))
@@ -42,6 +57,15 @@ def op8_bit_plane_files(spark, folder):
     return idfile.read_ids(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op9_quality_gam(spark, folder):
+    docs = documents(spark, folder)
+    given = labels(spark, folder, "quality").filter(fold("doc_id", 4) != 2)
+    scored = quality.score(docs, quality.train(docs, given))
+    held_out = (fold("doc_id", 4) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op10_minhash_near_dedup(spark, folder):
     return neardup.near_duplicates(documents(spark, folder))
