@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import idfile, language, neardup, packing, quality, tokens
+from pulse.llm import fingerprints, idfile, language, neardup, packing, quality, rules, tokens, toxicity
 from pulse.llm.learning import fold
 from pulse.session import new_folder
 
@@ -50,6 +50,25 @@ def op4_token_counts(spark, folder):
     return tokens.count_tokens(documents(spark, folder))
 
 
+@query
+def op5_line_rules(spark, folder):
+    return rules.clean_documents(documents(spark, folder), with_text=False)
+
+
+@query
+def op6_counterfactual_toxicity(spark, folder):
+    docs = documents(spark, folder)
+    given = labels(spark, folder, "toxic").filter(fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, given))
+    held_out = (fold("doc_id", 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_bottom_k_fingerprints(spark, folder):
+    return fingerprints.fingerprint_edits(documents(spark, folder))
+
+
 @query
 def op8_bit_plane_files(spark, folder):
     files = new_folder(spark, "ids")
