@@ -1,26 +1,90 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences.
 
+Each stage takes what the one before kept. The first two models learn from the labelled
+rows, and the languages, of the tables in `sf_dir`.
+"""
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulse.llm import packing
+from pulse.llm import language, mixing, neardup, packing, quality
+from pulse.llm.learning import fold
+from pulse.llm.queries import documents, labels
+from pulse.llm.tokens import token_ids
 from pulse.session import new_folder
 
-PACKED = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_id", "ids"]
+#: A document below this chance of good quality goes.
+MIN_QUALITY = 0.5
+#: A document whose language is not at least this sure goes.
+MIN_LANGUAGE = 0.5
+#: Greatest number of times that mixing shows a document, on average over its source.
+MAX_REPEATS = 1.5
+
+
+def rejected(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select("doc_id").filter("doc_id is not null").distinct()
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier accepts. A row with a null id is judged with the others of a null id: it stays."""
+    given = labels(spark, sf_dir, "quality").filter(fold("doc_id", 4) != 2)
+    model = quality.train(documents(spark, sf_dir), given)
+    bad = quality.score(docs, model).filter(F.col("score") < MIN_QUALITY)
+    return docs.join(rejected(bad), "doc_id", "left_anti")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a language; texts without a letter, or of no sure language, go."""
+    model = language.train(documents(spark, sf_dir).filter(fold("doc_id", 4) != 2))
+    found = language.identify(docs, model)
+    bad = found.filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < MIN_LANGUAGE))
+    return docs.join(rejected(bad), "doc_id", "left_anti")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, a likeness of 0.8 or more."""
+    return neardup.drop_near_duplicates(docs, words=5, share=0.8)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row at least once, rows of small sources again up to the repetition limit, in mixed order."""
+
+    def count(batches):
+        for batch in batches:
+            _, ends = token_ids(batch.column("text"), "word_bpe_49k.json", 1)
+            sizes = pa.array(ends[1:] - ends[:-1], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, "_tokens"])
+
+    folder = new_folder(spark, "counted")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_tokens", T.LongType())])
+    docs.mapInArrow(count, schema).write.parquet(folder)
+    mixed = mixing.mix(spark.read.parquet(folder), "_tokens", max_repeats=MAX_REPEATS)
+    return mixed.repartitionByRange("_slot").sortWithinPartitions("_slot").select(docs.columns)
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs).select(PACKED)
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids, with their ids."""
+    return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language identification", language_stage),
+    ("near-duplicate removal", near_dedup_stage),
+    ("source mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
+#: Trained models, token ids and sequences have no SQL form; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order, each to the Parquet files of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
         folder = new_folder(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
