@@ -121,19 +121,19 @@ def sample_vectors(texts: DataFrame) -> list:
                 if len(flat):
                     found, n = np.unique(flat, return_counts=True)
                     labels.append(label)
-                    indices.append(found)
-                    shares.append((n / len(flat)).astype(np.float32))
+                    indices.append(found.astype(np.int32).tobytes())
+                    shares.append((n / len(flat)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(labels, pa.string()),
-                    pa.array(indices, pa.list_(pa.int32())),
-                    pa.array(shares, pa.list_(pa.float32())),
+                    pa.array(indices, pa.binary()),
+                    pa.array(shares, pa.binary()),
                 ],
                 ["label", "indices", "shares"],
             )
 
-    rows = texts.mapInArrow(vectors, "label string, indices array<int>, shares array<float>").collect()
-    return [(r[0], np.array(r[1], np.int64), np.array(r[2], np.float64)) for r in rows]
+    rows = texts.mapInArrow(vectors, "label string, indices binary, shares binary").collect()
+    return [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows]
 
 
 def follow_the_leader(
@@ -175,7 +175,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(
     docs: DataFrame,
-    bound: int = 2048,
+    bound: int = 1536,
     epochs: int = 2,
     alpha: float = 0.3,
     beta: float = 1.0,

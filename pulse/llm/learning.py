@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pulse.llm.tokens import text_runs
 
 
+#: Bytes of text whose words are worked on at once; tables of their n-grams take up to 100 times as much.
+RUN_BYTES = 1 << 20
+
+
 def fold(doc_id: str, folds: int):
     """The fold of a document: crc32 of its id as text, modulo `folds`. A null id is in fold -1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(-1))
@@ -38,7 +42,7 @@ def word_tables(texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.nda
 
     Words are parted by white space; empty ones stand where it begins or ends a text.
     """
-    for run in text_runs(texts):
+    for run in text_runs(texts, RUN_BYTES):
         lists = pc.utf8_split_whitespace(pc.utf8_lower(run))
         coded = lists.flatten().dictionary_encode()
         ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()

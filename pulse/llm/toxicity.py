@@ -131,27 +131,27 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> ToxicityMode
                 of_word = [word_features(word) for word in words]
                 for begin, stop in zip(ends[:-1].tolist(), ends[1:].tolist()):
                     own = set(which[begin:stop].tolist())
-                    buckets.append(np.unique(np.array([b for w in own for b in of_word[w]], np.int32)))
+                    buckets.append(np.unique(np.array([b for w in own for b in of_word[w]], np.int32)).tobytes())
                     terms.append([words[w] for w in own if words[w].strip(MARKS) in GROUP_OF])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("label").cast(pa.int32()),
-                    pa.array(buckets, pa.list_(pa.int32())),
+                    pa.array(buckets, pa.binary()),
                     pa.array(terms, pa.list_(pa.string())),
                 ],
                 ["doc_id", "label", "buckets", "terms"],
             )
 
     texts = sampled_texts(docs, bounded_sample(labels, bound), ["label"])
-    rows = texts.mapInArrow(rows_of, "doc_id long, label int, buckets array<int>, terms array<string>").collect()
+    rows = texts.mapInArrow(rows_of, "doc_id long, label int, buckets binary, terms array<string>").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.label, len(r.buckets)))
     swaps = [change for row in rows for change in counterfactuals(set(row.terms))]
     none = np.empty(0, np.int64)
     swaps += [(np.array(word_features(term)), none) for term in GROUP_OF]  # a mention where there was none
-    return fit([np.array(r.buckets, np.int64) for r in rows], swaps, np.array([r.label for r in rows], float))
+    return fit([np.frombuffer(r.buckets, np.int32) for r in rows], swaps, np.array([r.label for r in rows], float))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
