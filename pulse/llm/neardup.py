@@ -13,9 +13,9 @@ class, so inverted lists of these runs of retained values hold every pair:
   0.8 ^ 4 or more; all 32 differ with a chance of 5e-8 at a likeness of just 0.8.
 * In each list the member with the most company is the pivot. Pairs of pivot and
   member that pass the estimate are compared on whole sets. This joins nearly all.
-* Lists whose members still belong to several components are taken again: all their
-  pairs across components are estimated, in blocks of bounded size, and only those
-  that pass leave the task, to be compared on whole sets.
+* Lists whose members still belong to several components are taken again, in blocks of
+  bounded size: pairs across components are estimated from sketches and compared on
+  whole sets inside the task, which hands on links only.
 
 Pairs inside a component need no comparison, since only components are asked for.
 """
@@ -105,38 +105,71 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def pairs_in_lists(members: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, b) of a list's members (key, id, component, n, sketch, members) of unlike components that look alike.
+def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, values) of the documents that the column `id` of `ids` names: their sets as sorted 8-byte values."""
 
-    A long list is dealt in blocks of about BLOCK members; every two blocks meet in a group of their own.
+    def whole(batches):
+        for batch in batches:
+            sets = [values.tobytes() for values in shingle_sets(batch.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "values"])
+
+    ids = ids.select(F.col("id").alias("doc_id")).distinct()
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(whole, "id long, values binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def links_in_lists(members: DataFrame, share: float) -> DataFrame:
+    """Links (a, b) between members of a list (key, id, component, members, values) that are in unlike components.
+
+    A long list is dealt in blocks of about BLOCK members; every two blocks meet in a
+    group of their own. Pairs are estimated from sketches, then compared on whole sets;
+    only links leave the task, and none between members that others already join.
     """
+    percent = round(share * 100)
 
     def compare(batches):
         for batch in batches:
-            found = [np.empty((2, 0), np.int64)]
+            links = []
             for group in batch.column("group"):
                 rows = group.values
-                id_, component, n, block = (
-                    rows.field(c).to_numpy() for c in ("id", "component", "n", "block")
-                )
+                id_, component, block = (rows.field(c).to_numpy() for c in ("id", "component", "block"))
                 if component.min() == component.max():
                     continue
-                sketch = rows.field("sketch")
-                owner = np.repeat(np.arange(len(rows)), sketch.value_lengths().to_numpy())
-                _, place, count = np.unique(sketch.flatten().to_numpy(), return_inverse=True, return_counts=True)
+                sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.field("values")]
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                sketches = [v[:SKETCH] for v in sets]
+                owner = np.repeat(np.arange(len(sets)), np.minimum(n, SKETCH))
+                _, place, count = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
                 shared = count[place] > 1
-                has = np.zeros((len(rows), int((count > 1).sum())), np.float32)
+                has = np.zeros((len(sets), int((count > 1).sum())), np.float32)
                 has[owner[shared], (np.cumsum(count > 1) - 1)[place[shared]]] = 1
                 small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
                 # An estimate of x needs x times as many common values as the union's sketch has.
-                alike = has @ has.T >= (share - SLACK) * np.minimum(large, SKETCH) - 1e-3
-                alike &= small >= share * large - 1e-6
-                alike &= component[:, None] != component
+                likely = has @ has.T >= (share - SLACK) * np.minimum(large, SKETCH) - 1e-3
+                likely &= small >= share * large - 1e-6
                 if block.min() != block.max():  # pairs inside a block are compared in its own group
-                    alike &= block[:, None] != block
-                found.append(id_[np.array(np.nonzero(np.triu(alike, 1)))])
-            a, b = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    likely &= block[:, None] != block
+                own = dict.fromkeys(component.tolist())
+                joined = {c: c for c in own}  # components that links of this group have joined
+
+                def root(c):
+                    while joined[c] != c:
+                        c = joined[c]
+                    return c
+
+                for i, j in np.argwhere(np.triu(likely & (component[:, None] != component), 1)).tolist():
+                    one, other = root(int(component[i])), root(int(component[j]))
+                    if one != other and alike(sets[i], sets[j], percent):
+                        joined[max(one, other)] = min(one, other)
+                        links.append((int(id_[i]), int(id_[j])))
+            a, b = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -145,7 +178,7 @@ def pairs_in_lists(members: DataFrame, share: float) -> DataFrame:
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     return (
         dealt.groupBy("key", "low", "high")
-        .agg(F.collect_list(F.struct("id", "component", "n", "block", "sketch")).alias("group"))
+        .agg(F.collect_list(F.struct("id", "component", "block", "values")).alias("group"))
         .select("group")
         .mapInArrow(compare, "a long, b long")
         .transform(ordered)
@@ -156,24 +189,13 @@ def exact_links(pairs: DataFrame, docs: DataFrame, words: int, share: float) ->
     """Of the pairs (a, b) those whose whole sets have a likeness of at least `share`."""
     percent = round(share * 100)
 
-    def whole(batches):
-        for batch in batches:
-            sets = [values.tobytes() for values in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "values"])
-
     def link(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("values_a"), batch.column("values_b")):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+            sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("values_a", "values_b"))
+            keep = [alike(a, b, percent) for a, b in zip(*sets)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(whole, "id long, values binary")
+    sets = whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     joined = pairs.join(sets.toDF("b", "values_b"), "b").join(sets.toDF("a", "values_a"), "a")
     return joined.select("a", "b", "values_a", "values_b").mapInArrow(link, "a long, b long").distinct()
 
@@ -218,10 +240,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
     placed = posted.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_lists = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left = placed.join(mixed_lists.filter("low != high").select("key"), "key", "left_semi")
-    left = left.join(classes.select("id", "n", "sketch"), "id")
-    more = pairs_in_lists(left, share).join(pairs, ["a", "b"], "left_anti")
-    more = stored(promising(more, classes, share), "more-pairs")
-    links = links.union(exact_links(more, docs, words, share))
+    left = stored(left, "mixed-lists")
+    left = left.join(whole_sets(docs, left, words), "id")
+    links = links.union(stored(links_in_lists(left, share), "more-links"))
     components = connected_components(links)
 
     of_class = classes.select("set_key", "id").join(components, "id", "left")
