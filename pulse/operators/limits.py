@@ -49,6 +49,14 @@ def limits_table(spark: SparkSession, general=None, by_endpoint=None) -> DataFra
     )
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on `keys` where NULL equals NULL; every row of a log keeps its counts."""
+    left, right = left.alias("left"), right.alias("right")
+    same = [F.col(f"left.{key}").eqNullSafe(F.col(f"right.{key}")) for key in keys]
+    others = [F.col(f"right.{name}") for name in right.columns if name not in keys]
+    return left.join(right, same).select("left.*", *others)
+
+
 def effective_limits(log: DataFrame, limits: DataFrame) -> DataFrame:
     """Add `limit_minute`, `limit_hour`, `limit_day`: the endpoint's own value, else the general one."""
 
@@ -62,8 +70,12 @@ def effective_limits(log: DataFrame, limits: DataFrame) -> DataFrame:
 
     general = wide(limits.filter(F.col("endpoint").isNull()), ["user_type"], "_general_")
     special = wide(limits.filter(F.col("endpoint").isNotNull()), ["user_type", "endpoint"], "_special_")
-    joined = log.join(sized(general), "user_type", "left").join(
-        sized(special), ["user_type", "endpoint"], "left"
+    # A user type without limits of its own is held to those of anonymous users.
+    types = general.select(F.col("user_type").alias("_type"))
+    held = log.join(sized(types), F.col("user_type") == F.col("_type"), "left")
+    held = held.withColumn("_type", F.coalesce("_type", F.lit("anonymous")))
+    joined = held.join(sized(general.withColumnRenamed("user_type", "_type")), "_type", "left").join(
+        sized(special.withColumnRenamed("user_type", "_type")), ["_type", "endpoint"], "left"
     )
     found = {
         f"limit_{name}": F.coalesce(f"_special_{name}", f"_general_{name}") for name in WINDOWS
@@ -135,7 +147,7 @@ def window_counts(log: DataFrame, bin_seconds: int = 60) -> DataFrame:
     before = {
         name: F.col(f"whole_{name}") + F.col("_come") - 1 - F.col(f"_gone_{name}") for name in WINDOWS
     }
-    return counted.join(whole, [*KEY, "_bin"]).select(
+    return _join_null_safe(counted, whole, [*KEY, "_bin"]).select(
         *log.columns, *[c.alias(f"before_{name}") for name, c in before.items()]
     )
 
@@ -222,7 +234,7 @@ def replay_limits(log: DataFrame, limits: DataFrame, bin_seconds: int = 3600) ->
         *KEY, "id", TIME, *[f"limit_{name}" for name in WINDOWS]
     )
     ticks = window_counts(base.select(*KEY, TIME).distinct())
-    rows = base.join(ticks, [*KEY, TIME])
+    rows = _join_null_safe(base, ticks, [*KEY, TIME])
     rows = rows.withColumns(
         {
             "_us": F.unix_micros(F.col(TIME).cast("timestamp")),
@@ -233,7 +245,7 @@ def replay_limits(log: DataFrame, limits: DataFrame, bin_seconds: int = 3600) ->
     ).withColumn("_bin", F.floor(F.col("_us") / F.lit(bin_seconds * MICROS)).cast("long"))
     rows = cut_lineage(rows)  # read three times below
 
-    placed = rows.join(_segments(rows, -(-DAY // bin_seconds) + 1), [*KEY, "_bin"])
+    placed = _join_null_safe(rows, _segments(rows, -(-DAY // bin_seconds) + 1), [*KEY, "_bin"])
 
     used = F.col("before_minute") + 1
     calm = placed.filter(F.col("segment").isNull()).select(

@@ -23,6 +23,7 @@ def _checks(df: DataFrame, max_length: int):
         (text, "blank_text", F.length(F.trim(F.coalesce(text, F.lit("")))) == 0),
         (text, "long_text", F.length(text) > max_length),
         ("sentiment_confidence", "bad_confidence", outside("sentiment_confidence", 0, 1)),
+        ("platform", "missing_platform", F.col("platform").isNull()),
         ("platform", "bad_platform", ~F.col("platform").isin(*params.PLATFORMS)),
         ("sentiment", "bad_sentiment", ~F.col("sentiment").isin(*params.SENTIMENTS)),
         ("language", "bad_language", ~F.col("language").isin(*params.LANGUAGES)),

@@ -41,9 +41,11 @@ def upsert(
 
     With `stamp`, `stamp_col` is set on updated rows only.
     """
-    old, new = target.alias("old"), batch.alias("new")
+    # Markers tell which side a row has, even if its key is NULL.
+    old = target.withColumn("_known", F.lit(True)).alias("old")
+    new = batch.withColumn("_found", F.lit(True)).alias("new")
     both = old.join(new, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys], "full_outer")
-    found, known = (F.col(f"{side}.{keys[0]}").isNotNull() for side in ("new", "old"))
+    found, known = (F.col(name).isNotNull() for name in ("new._found", "old._known"))
 
     def value(name):
         if name in keys:

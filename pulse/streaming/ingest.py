@@ -134,29 +134,32 @@ def ingest_stream(
     folder: str,
     checkpoint: str,
     scorers: Scorers | None = None,
-    late: str = "1 hour",
     trending: dict | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start the ingest of a stream of posts into `folder`.
 
-    Copies inside the watermark are dropped by the stream; copies of stored
-    posts by an anti join on their ids. `scorers=None` stores posts as they
-    come. `trending` holds the arguments of `refresh_trending`, None to skip.
+    Every post is stored once, however late it comes: copies in a batch and copies
+    of stored posts are found by their ids, and no watermark drops a row. Posts dated
+    after the clock's time are stored too, but do not move the time that statistics
+    are made for. `scorers=None` stores posts as they come. `trending` holds the
+    arguments of `refresh_trending`, None to skip.
     """
     spark = posts.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            newest = latest(batch)
-            if newest is None:
+            if batch.isEmpty():
                 return
-            as_of = max(newest, _published(spark, folder) or newest)
+            known = [latest(batch.filter(F.col(TIME) <= F.current_timestamp())), _published(spark, folder)]
+            as_of = max((t for t in known if t is not None), default=None)
             fresh = unseen(first_per_key(batch, ["post_id"], [TIME]), batch_id, folder)
             store(enrich(fresh, scorers) if scorers else fresh, batch_id, folder)
         finally:
             batch.unpersist()
+        if as_of is None:  # only posts of the future so far
+            return
         yesterday = F.lit(as_of).cast("date") - F.expr("INTERVAL 1 DAY")
         recent = stored_posts(spark, folder).filter(F.col("ts_date") >= yesterday)
         if trending is not None:
@@ -164,9 +167,7 @@ def ingest_stream(
         publish_snapshot(today_stats(recent, as_of), f"{folder}/{STATS}", as_of)
 
     return (
-        posts.withWatermark(TIME, late)
-        .dropDuplicatesWithinWatermark(["post_id"])
-        .writeStream.foreachBatch(process)
+        posts.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -104,6 +104,17 @@ def test_ingest_in_batches(spark, scorers):
     assert '"posts_today":3' in stats
 
 
+def test_ingest_stores_late_and_future_posts(spark):
+    folder, out, offsets = (new_folder(spark, n) for n in ("in", "out", "offsets"))
+    ahead = 60 * 24 * 365 * 100  # minutes: a clock a century ahead
+    for rows in ([row(0, ahead)], [row(1, 60 * 48)], [row(2, 0), row(3, 1), row(1, 60 * 48)]):
+        write(spark, folder, rows)
+        S.ingest_stream(source(spark, folder), out, offsets).awaitTermination()
+    found = S.stored_posts(spark, out).select("post_id").collect()
+    assert sorted(r["post_id"] for r in found) == ["p0", "p1", "p2", "p3"]
+    assert '"posts_today":1' in spark.read.parquet(f"{out}/realtime_stats").first()["record"]
+
+
 def test_a_repeated_batch_replaces_itself(spark):
     out = new_folder(spark, "out")
     batch = spark.createDataFrame([row(0, 0), row(1, 1)], LAYOUT)
