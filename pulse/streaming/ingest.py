@@ -162,6 +162,7 @@ def ingest_stream(
             return
         yesterday = F.lit(as_of).cast("date") - F.expr("INTERVAL 1 DAY")
         recent = stored_posts(spark, folder).filter(F.col("ts_date") >= yesterday)
+        recent = recent.filter(F.col(TIME) <= F.lit(as_of))
         if trending is not None:
             refresh_trending(recent, folder, as_of, **trending)
         publish_snapshot(today_stats(recent, as_of), f"{folder}/{STATS}", as_of)
