@@ -41,28 +41,45 @@ def detect_trending(posts, as_of=None, hours=1, min_mentions=3, limit=20) -> Dat
 
 
 def build_trending(posts, min_mentions=3, per_hour=20) -> DataFrame:
-    """`detect_trending` for every hour of the posts."""
-    hourly = _mentions(posts.withColumn(WINDOW, hour_floor("timestamp")), WINDOW)
+    """`detect_trending` for every hour of the posts, with growth.
+
+    Growth is taken over all hashtags of the hour before, so a topic that rises
+    into the most used ones has it too. `per_hour=None` keeps every hashtag.
+    """
+    hourly = with_growth(_mentions(posts.withColumn(WINDOW, hour_floor("timestamp")), WINDOW))
+    hourly = hourly.filter(F.col("mentions_count") >= min_mentions)
+    if per_hour is None:
+        return hourly
     rank = F.row_number().over(Window.partitionBy(WINDOW).orderBy(*_by_mentions()))
     return (
-        hourly.filter(F.col("mentions_count") >= min_mentions)
-        .withColumn("rank", rank)
+        hourly.withColumn("rank", rank)
         .filter(F.col("rank") <= per_hour)
         .drop("rank")
     )
 
 
-def _previous(column: str, trending: DataFrame, hours: int):
-    """`column` one window earlier for the same topic and platform, NULL if that window is missing."""
+def _growth():
+    ratio = F.col("mentions_count") / F.col("mentions_before")
+    return F.round(ratio, 4).cast("decimal(18,4)")
+
+
+def with_growth(mentions: DataFrame, hours: int = 1) -> DataFrame:
+    """Add `mentions_before`, those of the window right before (NULL without one), and `growth_rate`, the ratio to them.
+
+    Only rows of the table count as a window before: pass all groups and cut afterwards.
+    """
     series = Window.partitionBy("topic", "platform").orderBy(WINDOW)
     adjacent = F.lag(WINDOW).over(series) == F.col(WINDOW) - F.expr(f"INTERVAL {hours} HOURS")
-    return F.when(adjacent, F.lag(column).over(series))
+    before = F.when(adjacent, F.lag("mentions_count").over(series))
+    return mentions.withColumn("mentions_before", before).withColumn("growth_rate", _growth())
 
 
-def with_growth(trending: DataFrame, hours: int = 1) -> DataFrame:
-    """Ratio of mentions to those of the window right before."""
-    ratio = F.col("mentions_count") / _previous("mentions_count", trending, hours)
-    return trending.withColumn("growth_rate", F.round(ratio, 4).cast("decimal(18,4)"))
+def with_growth_of(found: DataFrame, posts: DataFrame, as_of=None, hours: int = 1) -> DataFrame:
+    """`with_growth` for the few rows of `detect_trending`: posts of the same span right before are counted."""
+    now = as_of_literal(posts, as_of)
+    earlier = last_hours(posts, 2 * hours, now).filter(F.col("timestamp") < now - F.expr(f"INTERVAL {hours} HOURS"))
+    before = _mentions(earlier).select("topic", "platform", F.col("mentions_count").alias("mentions_before"))
+    return found.join(before, ["topic", "platform"], "left").withColumn("growth_rate", _growth())
 
 
 def trending_topics(trending, platform=None, hours=24, limit=10, as_of=None, min_mentions=0):
@@ -141,11 +158,12 @@ def with_related(trending: DataFrame, posts: DataFrame, k: int = 5) -> DataFrame
 
 
 def trend_analysis(trending: DataFrame, hours: int = 1) -> DataFrame:
-    """Direction from growth, velocity as change of mentions per hour; both need the window before."""
-    change = F.col("mentions_count") - _previous("mentions_count", trending, hours)
+    """Direction from growth, velocity as change of mentions per hour; both need the window before.
+
+    Takes rows of `build_trending` or `with_growth`.
+    """
     return (
-        with_growth(trending, hours)
-        .withColumn("velocity", change / hours)
+        trending.withColumn("velocity", (F.col("mentions_count") - F.col("mentions_before")) / hours)
         .filter(F.col("growth_rate").isNotNull())
         .select(
             "topic", "platform", WINDOW, "growth_rate", "velocity",

@@ -57,7 +57,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     posts = A.posts(spark, folder)
-    trending = G.with_growth(G.build_trending(posts, 1))
+    trending = G.build_trending(posts, 1)
     topics = G.trending_topics(trending, limit=50, as_of=B.latest(posts), min_mentions=25)
     return topics.select("topic", "mentions")
 
@@ -162,7 +162,7 @@ def _(spark, folder):
     "trending",
 )
 def _(spark, folder):
-    grown = G.with_growth(G.build_trending(A.posts(spark, folder), 1)).filter("growth_rate IS NOT NULL")
+    grown = G.build_trending(A.posts(spark, folder), 1).filter("growth_rate IS NOT NULL")
     return grown.select(
         "topic", "platform", "time_window", C.trend_direction().alias("direction"), C.growth_band().alias("band")
     )

@@ -13,7 +13,7 @@ from pulse.sources import adapters as A
 
 
 def trending(spark, folder):
-    return G.with_growth(G.build_trending(A.posts(spark, folder), 1))
+    return G.build_trending(A.posts(spark, folder), 1)
 
 
 def top_topics(spark, folder, **options):
@@ -64,7 +64,21 @@ def _(spark, folder):
     "trending",
 )
 def _(spark, folder):
-    return as_doubles(trending(spark, folder), "growth_rate").drop("sentiment_score")
+    rows = as_doubles(trending(spark, folder), "growth_rate")
+    return rows.select("topic", "platform", "time_window", "mentions_count", "growth_rate")
+
+
+@query(
+    "G04_growth_of_all",
+    """SELECT a.topic, a.platform, a.time_window, a.mentions_count, b.mentions_count AS mentions_before
+       FROM hourly a LEFT JOIN hourly b ON b.topic = a.topic AND b.platform = a.platform
+                                       AND b.time_window = a.time_window - INTERVAL 1 HOUR""",
+    "hourly",
+)
+def _(spark, folder):
+    """Every hashtag of every hour, none cut."""
+    rows = G.build_trending(A.posts(spark, folder), 1, per_hour=None)
+    return rows.select("topic", "platform", "time_window", "mentions_count", "mentions_before")
 
 
 @query(
@@ -86,7 +100,8 @@ def _(spark, folder):
     "trending",
 )
 def _(spark, folder):
-    return as_doubles(G.build_trending(A.posts(spark, folder), 1), "sentiment_score")
+    rows = as_doubles(trending(spark, folder), "sentiment_score")
+    return rows.select("topic", "platform", "time_window", "mentions_count", "sentiment_score")
 
 
 @query(
@@ -211,7 +226,7 @@ def _(spark, folder):
     "trending",
 )
 def _(spark, folder):
-    return as_doubles(G.trend_analysis(G.build_trending(A.posts(spark, folder), 1)), "growth_rate")
+    return as_doubles(G.trend_analysis(trending(spark, folder)), "growth_rate")
 
 
 @query(

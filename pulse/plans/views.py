@@ -76,22 +76,21 @@ VIEWS = {
                    ' #tag', k % 10, '! @user_', k, ' #über_', k % 3, ' http://example.org/', k, '?x=1#f') AS content
         FROM posts p LEFT JOIN documents d ON d.doc_id = p.event_id""",
     "tags": "SELECT * EXCLUDE (hashtags), unnest(hashtags) AS topic FROM posts",
+    "hourly": """
+        SELECT time_bucket(INTERVAL 1 HOUR, ts) AS time_window, topic, platform, count(*) AS mentions_count,
+               CAST(round(avg(sign), 4) AS DECIMAL(5,4)) AS sentiment_score
+        FROM tags GROUP BY ALL""",
     "trending": """
         SELECT time_window, topic, platform, mentions_count, sentiment_score,
                CAST(round(CASE WHEN before_window = time_window - INTERVAL 1 HOUR
                                THEN mentions_count / before_mentions END, 4) AS DECIMAL(18,4)) AS growth_rate,
                CASE WHEN before_window = time_window - INTERVAL 1 HOUR
                     THEN CAST(mentions_count - before_mentions AS DOUBLE) END AS velocity
-        FROM (SELECT *, lag(time_window) OVER w AS before_window, lag(mentions_count) OVER w AS before_mentions
-              FROM (SELECT * FROM
-                       (SELECT *, row_number() OVER (PARTITION BY time_window
-                                                     ORDER BY mentions_count DESC, topic, platform) AS place
-                        FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS time_window, topic, platform,
-                                     count(*) AS mentions_count,
-                                     CAST(round(avg(sign), 4) AS DECIMAL(5,4)) AS sentiment_score
-                              FROM tags GROUP BY ALL))
-                    WHERE place <= 20)
-              WINDOW w AS (PARTITION BY topic, platform ORDER BY time_window))""",
+        FROM (SELECT *, lag(time_window) OVER w AS before_window, lag(mentions_count) OVER w AS before_mentions,
+                     row_number() OVER (PARTITION BY time_window ORDER BY mentions_count DESC, topic, platform) AS place
+              FROM hourly
+              WINDOW w AS (PARTITION BY topic, platform ORDER BY time_window))
+        WHERE place <= 20""",
     "recent_trending": """
         SELECT * FROM trending
         WHERE time_window >= {now} - INTERVAL 24 HOUR""",
@@ -190,7 +189,8 @@ NEEDS = {
     "posts": ["base"],
     "posts_text": ["posts"],
     "tags": ["posts"],
-    "trending": ["tags"],
+    "hourly": ["tags"],
+    "trending": ["hourly"],
     "recent_trending": ["trending"],
     "top_topics": ["recent_trending"],
     "clients": ["activity"],

@@ -15,7 +15,7 @@ from pulse.operators import scoring
 from pulse.operators.posts import today_stats
 from pulse.operators.tables import first_per_key, publish_snapshot, upsert
 from pulse.operators.text import ingest_tags
-from pulse.operators.trending import detect_trending, with_growth, with_related
+from pulse.operators.trending import detect_trending, with_growth_of, with_related
 from pulse.session import cut_lineage
 from pulse.sources.tables import read_table, shape, write_table
 
@@ -109,23 +109,22 @@ def _published(spark: SparkSession, folder: str) -> str | None:
 def refresh_trending(posts: DataFrame, folder: str, as_of: str, hours: int = 1, min_mentions: int = 3) -> None:
     """Upsert the topics of the last hours with their growth and related keywords.
 
-    Only two days of the trending table are read and only one is rewritten.
+    Growth counts the posts of the hours right before, whether or not a topic was stored then.
+    Only one day of the trending table is read and rewritten.
     """
     spark = posts.sparkSession
     now = as_of_literal(posts, as_of)
     found = detect_trending(posts, now, hours, min_mentions).withColumn("created_at", now)
-    fresh = shape(with_related(found, last_hours(posts, hours, now)), TRENDING)
+    grown = with_growth_of(found, posts, now, hours)
+    fresh = shape(with_related(grown, last_hours(posts, hours, now)), TRENDING)
     if not _exists(lambda: read_table(spark, TRENDING, folder)):
         write_table(fresh, TRENDING, folder, mode="overwrite")
         return
-    today = now.cast("date")
-    stored = read_table(spark, TRENDING, folder).filter(F.col("ts_date") >= today - F.expr("INTERVAL 1 DAY"))
-    earlier = shape(stored.filter(F.col("time_window") < F.date_trunc("hour", now)), TRENDING)
-    grown = with_growth(earlier.unionByName(fresh)).filter(F.col("time_window") == F.date_trunc("hour", now))
+    stored = read_table(spark, TRENDING, folder).filter(F.col("ts_date") == now.cast("date"))
+    old = shape(stored, TRENDING)
     changed = ["mentions_count", "sentiment_score", "growth_rate"]
-    old = shape(stored.filter(F.col("ts_date") == today), TRENDING)
     # The day being replaced is also read, so the new rows are written out first.
-    merged = cut_lineage(upsert(old, shape(grown, TRENDING), schemas.KEYS[TRENDING], changed))
+    merged = cut_lineage(upsert(old, fresh, schemas.KEYS[TRENDING], changed))
     write_table(merged, TRENDING, folder, mode="overwrite")
 
 

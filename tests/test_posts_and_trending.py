@@ -36,7 +36,7 @@ def test_nothing_in_nothing_out(spark):
     assert P.platform_summary(P.platform_metrics(empty)).first()["total_posts"] == 0
     assert P.realtime_stats(empty).first()["posts"] == 0
     assert P.posts_per_minute_summary(P.posts_per_minute(empty)).first()["posts_per_minute"] == 0.0
-    assert G.trending_summary(G.trending_topics(G.with_growth(G.build_trending(empty)))).first()["topics"] == 0
+    assert G.trending_summary(G.trending_topics(G.build_trending(empty))).first()["topics"] == 0
 
 
 def test_no_known_sentiment(spark):
@@ -81,10 +81,20 @@ def test_rollup_rejects_sizes_that_do_not_nest(spark):
 def test_growth_needs_the_hour_before(spark):
     hours = [(0, 2), (1, 6), (3, 9)]
     rows = [dict(at=NOON + timedelta(hours=h), tags=["x"]) for h, n in hours for _ in range(n)]
-    grown = G.with_growth(G.build_trending(make(spark, *rows), 1)).orderBy("time_window").collect()
+    grown = G.build_trending(make(spark, *rows), 1).orderBy("time_window").collect()
     assert [None if r["growth_rate"] is None else float(r["growth_rate"]) for r in grown] == [None, 3.0, None]
 
 
+def test_growth_counts_topics_that_were_cut_the_hour_before(spark):
+    rows = [dict(at=NOON, tags=["a"])] * 3 + [dict(at=NOON, tags=["b"])]
+    rows += [dict(at=NOON + timedelta(hours=1), tags=["b"])] * 4
+    grown = G.build_trending(make(spark, *rows), 1, per_hour=1).orderBy("time_window").collect()
+    assert [(r["topic"], r["mentions_before"]) for r in grown] == [("a", None), ("b", 1)]
+    assert float(grown[1]["growth_rate"]) == 4.0
+    analysis = G.trend_analysis(G.build_trending(make(spark, *rows), 1, per_hour=1)).collect()
+    assert [(r["topic"], r["velocity"]) for r in analysis] == [("b", 3.0)]
+
+
 def test_detect_keeps_groups_of_three(spark):
     rows = [dict(tags=["x"], sentiment="positive")] * 3 + [dict(tags=["y"])] * 2
     found = G.detect_trending(make(spark, *rows)).collect()
@@ -127,7 +137,7 @@ def test_page_size_is_limited(spark):
 
 
 def test_engine_checks_its_arguments(spark):
-    engine = Engine(make(spark, {}), G.with_growth(G.build_trending(make(spark, {}))))
+    engine = Engine(make(spark, {}), G.build_trending(make(spark, {})))
     for call in (
         lambda: engine.trending_topics(limit=51),
         lambda: engine.trending_topics(platform="myspace"),

@@ -138,3 +138,12 @@ def test_trending_refresh_knows_growth_and_keywords(spark):
     assert [(r["topic"], r["mentions_count"], r["growth_rate"], r["related_keywords"]) for r in found] == [
         ("ai", 3, None, ["ml"]), ("ml", 3, None, ["ai"]), ("ai", 9, 3, ["ml"]), ("ml", 9, 3, ["ai"]),
     ]
+
+
+def test_trending_refresh_counts_the_hour_before_from_posts(spark):
+    out = new_folder(spark, "out")
+    rows = [("a", "twitter", T0, "positive", ["new"])] * 2  # too few to be stored
+    rows += [("b", "twitter", T0 + timedelta(minutes=70), "positive", ["new"])] * 5
+    layout = "post_id string, platform string, timestamp timestamp, sentiment string, hashtags array<string>"
+    S.refresh_trending(spark.createDataFrame(rows, layout), out, str(T0 + timedelta(minutes=75)))
+    assert [(r["topic"], float(r["growth_rate"])) for r in read_table(spark, "trending_topics", out).collect()] == [("new", 2.5)]
