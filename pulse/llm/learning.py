@@ -21,15 +21,25 @@ def fold(doc_id: str, folds: int):
 
 
 def bounded_sample(labelled: DataFrame, bound: int) -> DataFrame:
-    """Of the rows (doc_id, label) at most `bound` with every label in about equal part, by hash of the id.
+    """Of the rows (doc_id, label) at most `bound` with every label in about equal part: those of least hashes of the id.
 
-    An id with several labels counts with the greatest one.
+    An id with several labels counts with the greatest one. Labels are few, their ids are
+    not: a label's count tells below which hash about four times its part lies, and only
+    ids below are put in order.
     """
     labels = labelled.filter("doc_id is not null and label is not null")
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
-    kinds = max(1, labels.select("label").distinct().count())
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return labels.withColumn("place", place).filter(F.col("place") <= max(1, bound // kinds)).drop("place")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).collect()
+    part = max(1, bound // max(1, len(sizes)))
+    hashed = labels.withColumn("hash", F.xxhash64("doc_id"))
+    near = F.lit(False)
+    for label, n in sizes:
+        # At least 64, so that fewer than `part` are left with no chance worth naming.
+        share = min(1.0, max(64, 4 * part) / n)
+        below = min(2**63 - 1, int(-(2.0**63) + share * 2.0**64))
+        near = near | ((F.col("label") == F.lit(label)) & (F.col("hash") <= below))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("hash", "doc_id"))
+    return hashed.filter(near).withColumn("place", place).filter(F.col("place") <= part).drop("place", "hash")
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame, names: list[str]) -> DataFrame:
