@@ -111,7 +111,7 @@ def _located(text: Column, pattern, info: Callable[[Column], Column]) -> Column:
     """Every match of `pattern` as an entity with its offsets, counted in characters.
 
     Matches are replaced by a mark that is no character and the text is split
-    there; an offset is the length of all pieces and matches before it.
+    there; an offset is the length of all pieces and matches before it, summed up once.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), pattern, F.lit(MARK))
@@ -119,18 +119,30 @@ def _located(text: Column, pattern, info: Callable[[Column], Column]) -> Column:
         F.split(marked, MARK, -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")
     )
 
-    def total(parts, n):
-        return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda sum_, part: sum_ + F.length(part))
+    def starts(at):
+        spans = F.zip_with(
+            F.slice(at["pieces"], 1, F.size(at["found"])), at["found"],
+            lambda piece, match: F.struct(F.length(piece).alias("gap"), F.length(match).alias("size")),
+        )
+        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+
+        def add(sum_, span):
+            start = sum_["end"] + span["gap"]
+            return F.struct(
+                (start + span["size"]).alias("end"), F.concat(sum_["starts"], F.array(start)).alias("starts")
+            )
+
+        return F.aggregate(spans, none, add, lambda sum_: sum_["starts"])
 
-    def entity(match, i, at):
-        start, about = total(at["pieces"], i + 1) + total(at["found"], i), info(match)
+    def entity(match, start):
+        about = info(match)
         return F.struct(
             match.alias("text"), about["label"].alias("label"), about["description"].alias("description"),
             start.alias("start"), (start + F.length(match)).alias("end"), about["weight"].alias("confidence"),
         )
 
     def entities(at):
-        return F.transform(at["found"], lambda match, i: entity(match, i, at))
+        return F.zip_with(at["found"], starts(at), entity)
 
     hit = F.when(F.regexp_like(text, pattern), F.array(split)).otherwise(F.array())
     return F.flatten(F.transform(hit, entities)).cast(ENTITIES)
@@ -142,14 +154,32 @@ def _bounded(body):
     return start + body + end if isinstance(body, str) else F.concat(F.lit(start), body, F.lit(end))
 
 
+def _dictionary_entries(dictionary: DataFrame) -> DataFrame:
+    """Phrases in lower case with single blanks, their words, and the regex that finds them.
+
+    All but word characters and blanks stand for themselves. `plain` phrases begin and
+    end with a word character. A phrase needs a word; others are left out.
+    """
+    phrase = F.lower(W.collapse("phrase"))
+    quoted = F.regexp_replace("phrase", f"(?!{W.SPACE}|{W.WORD})(.)", r"\\$1")
+    entries = dictionary.select(phrase.alias("phrase"), "label", "description", "weight")
+    return entries.select(
+        "*",
+        W.words("phrase").alias("words"),
+        F.replace(quoted, F.lit(" "), F.lit(f"{W.SPACE}+")).alias("pattern"),
+        F.regexp_like("phrase", F.lit(f"^{W.WORD}(.*{W.WORD})?$")).alias("plain"),
+    ).filter(F.size("words") > 0)
+
+
 def _groups(entries: list) -> list[list]:
     """Entries in as few groups as the greedy order gives, such that no word occurs twice in a group.
 
-    Matches in a group cannot overlap, so one regex finds all of them.
+    Matches in a group cannot overlap, so one regex finds all of them. Two phrases with
+    punctuation at an end could overlap there, so a group has one of them at most.
     """
     groups: list[tuple[set, list]] = []
     for row in entries:
-        words = row["phrase"].split()
+        words = row["words"] if row["plain"] else [*row["words"], ""]
         for used, rows in groups:
             if used.isdisjoint(words):
                 break
@@ -165,7 +195,7 @@ def _inline_entities(text: Column, groups: list[list]) -> list[Column]:
     """Entities of a short dictionary: it travels in the plan and nothing is shuffled."""
     found = []
     for rows in groups:
-        pattern = "|".join(f"{W.SPACE}+".join(row["phrase"].split()) for row in rows)
+        pattern = "|".join(row["pattern"] for row in rows)
         about = F.create_map(
             *[
                 part
@@ -183,31 +213,42 @@ def _inline_entities(text: Column, groups: list[list]) -> list[Column]:
 
 
 def _joined_entities(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> DataFrame:
-    """Add `_found`, the entities of a long dictionary: its phrases are joined to one-, two- and
-    three-word sequences, then each phrase a text holds is located in it."""
+    """Add `_found`, the entities of a long dictionary: its phrases' words are joined to word sequences
+    of the same lengths, then each phrase whose words a text holds is located in it."""
     tokens = F.col("_tokens")
-    phrases = F.array_distinct(F.concat(tokens, W.pairs(tokens), W.triples(tokens)))
-    candidates = df.select(key, W.words(text).alias("_tokens")).select(key, F.explode(phrases).alias("phrase"))
+    lengths = [n for n, in dictionary.select(F.size("words")).distinct().collect()]  # few: numbers of words
+
+    def sequences(n):
+        first = F.sequence(F.lit(0), F.size(tokens) - n)
+        joined = F.transform(first, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    held = F.array_distinct(F.concat(*map(sequences, lengths)))
+    candidates = df.select(key, W.words(text).alias("_tokens")).select(key, F.explode(held).alias("_words"))
     hits = (
-        candidates.join(sized(dictionary), "phrase")
+        candidates.join(sized(dictionary.withColumn("_words", F.array_join("words", " "))), "_words")
         .groupBy(key)
-        .agg(F.collect_list(F.struct("phrase", "label", "description", "weight")).alias("_hits"))
+        .agg(F.collect_list(F.struct("pattern", "label", "description", "weight")).alias("_hits"))
     )
 
     def located(hit):
-        pattern = _bounded(F.replace(hit["phrase"], F.lit(" "), F.lit(f"{W.SPACE}+")))
-        return _located(F.col(text), pattern, lambda match: hit)
+        return _located(F.col(text), _bounded(hit["pattern"]), lambda match: hit)
 
-    none = F.array().cast("array<struct<phrase:string,label:string,description:string,weight:double>>")
+    none = F.array().cast("array<struct<pattern:string,label:string,description:string,weight:double>>")
     joined = df.join(hits, key, "left").withColumn("_hits", F.coalesce("_hits", none))
     return joined.withColumn("_found", F.flatten(F.transform("_hits", located))).drop("_hits")
 
 
 def extract_entities(df: DataFrame, dictionary: DataFrame, text="content", key="post_id") -> DataFrame:
-    """Add `entities` (by start) and `entity_count`: dictionary phrases, amounts of money and dates."""
+    """Add `entities` (by start) and `entity_count`: dictionary phrases, amounts of money and dates.
+
+    A phrase is found in any case, with any space between its words, where no word
+    character precedes or follows it. A short dictionary travels in the plan, a long
+    one is joined; both follow this rule.
+    """
     body = F.col(text)
-    entries = dictionary.select("phrase", "label", "description", "weight")
-    few = entries.limit(MAX_INLINE_PHRASES + 1).collect()
+    entries = _dictionary_entries(dictionary)
+    few =entries.limit(MAX_INLINE_PHRASES + 1).collect()
     groups = _groups(few) if len(few) <= MAX_INLINE_PHRASES else []
     parts = [
         _located(body, pattern, lambda match, about=about: _info(*about)) for pattern, *about in ENTITY_PATTERNS

@@ -106,6 +106,26 @@ def test_overlapping_phrases_are_all_found(spark, groups, monkeypatch):
     ]
 
 
+@pytest.mark.parametrize("inline", [200, 0])
+def test_phrases_of_any_length_with_punctuation_are_found(spark, inline, monkeypatch):
+    monkeypatch.setattr(S, "MAX_INLINE_PHRASES", inline)
+    phrases = ["Bank of New England", "at&t", "c++", "u.s.", "c", "+ d", "a(b", "++"]
+    rows = [(phrase, "ORG", "", 0.5) for phrase in phrases]
+    dictionary = spark.createDataFrame(rows, "phrase string, label string, description string, weight double")
+    text = "bank  of new\tEngland, AT&T and C++ d in the U.S.; uxs, att, A(B c"
+    row = S.extract_entities(texts(spark, text, None, ""), dictionary).orderBy("post_id").collect()
+    assert [(e["text"], e["start"]) for e in row[0]["entities"]] == [
+        (found, text.index(found)) for found in ("bank  of new\tEngland", "AT&T", "C", "C++", "+ d", "U.S.", "A(B")
+    ] + [("c", len(text) - 1)]
+    assert [not r["entities"] for r in row[1:]] == [True, True]
+
+
+def test_offsets_of_many_matches(spark):
+    text = "$1 x " * 4000
+    found = S.extract_entities(texts(spark, text), LX.entity_dictionary(spark)).first()["entities"]
+    assert [e["start"] for e in found] == list(range(0, 20000, 5))
+
+
 def test_empty_dictionary(spark):
     dictionary = LX.entity_dictionary(spark).limit(0)
     assert S.extract_entities(texts(spark, "New York"), dictionary).first()["entity_count"] == 0
