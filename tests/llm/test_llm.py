@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulse.llm import fingerprints, idfile, language, mixing, neardup, packing, quality, rules, tokens, toxicity
+from pulse.llm import fingerprints, idfile, language, learning, mixing, neardup, packing, quality, rules, tokens, toxicity
 from pulse.llm import queries as llm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, `sketch` int"
@@ -293,3 +293,13 @@ def test_pipeline_stages(spark, folder, docs, tmp_path):
             assert {r.doc_id for r in rows.collect()} == kept
     total = sum(len(ids_of(t, 1)) for _, t in texts_of(before))
     assert rows.agg(F.sum("length")).first()[0] == total
+
+
+@pytest.mark.parametrize("bound", [2, 90, 6000])
+def test_samples_are_the_least_hashes_of_each_label(spark, bound):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 == 0).cast("int").alias("label"))
+    found = learning.bounded_sample(rows, bound).collect()
+    hashed = sorted((r["hash"], r["doc_id"], r["label"]) for r in rows.withColumn("hash", F.xxhash64("doc_id")).collect())
+    expected = [[d for _, d, given in hashed if given == label][: bound // 2] for label in (0, 1)]
+    assert sorted(r["doc_id"] for r in found) == sorted(expected[0] + expected[1])
+    assert learning.bounded_sample(rows.limit(0), bound).count() == 0
