@@ -1,11 +1,15 @@
 """Changes to stored tables: insert, upsert, retention, cascade, JSON columns, snapshots."""
 
+from datetime import datetime, timedelta
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse import schemas
 from pulse.functions.filters import TIME, since
+from pulse.session import cut_lineage
+from pulse.sources.tables import read_table, shape, write_table
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -63,6 +67,58 @@ def upsert(
     return both.select(*[value(c).alias(c) for c in target.columns])
 
 
+def merge_into(batch: DataFrame, name: str, folder: str, update_cols: list[str]) -> None:
+    """Insert-or-update `batch` in a stored table; only the days of the batch are read and written.
+
+    A key must stay on its day, as it does if it holds the time column or rows keep their time.
+    Of several batch rows with one key the earliest counts.
+    """
+    keys, time = schemas.KEYS[name], schemas.TIME_COLUMN[name]
+    fresh = cut_lineage(first_per_key(shape(batch, name), keys, [time]))
+    spark = batch.sparkSession
+    if stored_yet(lambda: read_table(spark, name, folder)):
+        # One value per day of the batch: literals, so that other days are not listed.
+        days = [day for day, in fresh.select(F.to_date(time)).distinct().collect()]
+        same_day = F.col("ts_date").isin([day for day in days if day])
+        if None in days:
+            same_day = same_day | F.col("ts_date").isNull()
+        old = shape(read_table(spark, name, folder).filter(same_day), name)
+        # The days being replaced are also read, so the new rows are written out first.
+        fresh = cut_lineage(upsert(old, fresh, keys, update_cols))
+    write_table(fresh, name, folder, mode="overwrite")
+
+
+def stored_yet(read) -> bool:
+    """Whether the path that `read` scans is there; any other fault is raised."""
+    try:
+        read()
+        return True
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def drop_expired(spark: SparkSession, name: str, folder: str, as_of, days: int | None = None) -> list[str]:
+    """Delete the day folders of a stored table that lie wholly before its time of keeping; their days.
+
+    `apply_retention` leaves out the rest of the day that the limit cuts. Tables without a rule keep all.
+    """
+    days = schemas.RETENTION_DAYS.get(name) if days is None else days
+    if days is None:
+        return []
+    limit = (datetime.fromisoformat(str(as_of)) - timedelta(days=days)).date().isoformat()
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for entry in files.listStatus(table):  # one entry per day
+        column, _, day = entry.getPath().getName().partition("=")
+        if column == "ts_date" and day[:1].isdigit() and day < limit:
+            files.delete(entry.getPath(), True)
+            gone.append(day)
+    return sorted(gone)
+
+
 def apply_retention(df: DataFrame, table: str, as_of=None, days: int | None = None) -> DataFrame:
     """Rows the table still keeps; tables without a rule keep all."""
     days = schemas.RETENTION_DAYS.get(table) if days is None else days
@@ -98,9 +154,9 @@ def read_snapshot(spark: SparkSession, path: str, as_of, layout: str) -> DataFra
     """The stored record if there is one and it has not expired, else one row of zeros."""
     now = F.lit(str(as_of)).cast("timestamp")
     saved = "record string, expires_at timestamp"
-    try:
+    if stored_yet(lambda: spark.read.schema(saved).parquet(path)):
         records = spark.read.schema(saved).parquet(path)
-    except AnalysisException:  # nothing published yet
+    else:
         records = spark.createDataFrame([], saved)
     stored = (
         records.filter(F.col("expires_at") > now)

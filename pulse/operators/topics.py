@@ -15,6 +15,7 @@ from pulse.functions import words as W
 from pulse.functions.columns import mean, preview, sentiment_sign
 from pulse.functions.lexicons import STOP_WORDS
 from pulse.operators.scoring import extract_entities, score_emotions, score_mood, score_sentiment
+from pulse.session import cut_lineage
 
 SEED = 42
 STARTS = 10
@@ -95,9 +96,13 @@ def extract_topics(
         model = KMeans(k=k, seed=SEED + i).fit(features)
         return model.summary.trainingCost, i, model
 
-    with ThreadPool(parallel) as pool:
-        best = min(pool.map(inheritable_thread_target(spark)(fit), range(starts)), key=lambda f: f[:2])[2]
-    features.unpersist()
+    try:
+        with ThreadPool(parallel) as pool:
+            best = min(pool.map(inheritable_thread_target(spark)(fit), range(starts)), key=lambda f: f[:2])[2]
+        # Written while the features are held; sizes, samples and clusters read the small result.
+        assigned = cut_lineage(best.setPredictionCol("topic_id").transform(features).select(key, "topic_id"))
+    finally:
+        features.unpersist()
 
     rows = []
     for topic, centre in enumerate(best.clusterCenters()):
@@ -107,7 +112,6 @@ def extract_topics(
             for rank, j in enumerate(heaviest[:top_terms])
         ]
     terms = spark.createDataFrame(rows, "topic_id int, rank int, term string, weight double")
-    assigned = best.setPredictionCol("topic_id").transform(features).select(key, "topic_id")
     first = F.row_number().over(Window.partitionBy("topic_id").orderBy(key))
     chosen = assigned.withColumn("rank", first).filter(F.col("rank") <= sample_texts)
     # k times sample_texts rows, so the texts need no shuffle

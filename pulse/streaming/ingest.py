@@ -2,7 +2,6 @@
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,11 +12,10 @@ from pulse.functions.filters import TIME, as_of_literal, last_hours, latest
 from pulse.functions.lookups import sized
 from pulse.operators import scoring
 from pulse.operators.posts import today_stats
-from pulse.operators.tables import first_per_key, publish_snapshot, upsert
+from pulse.operators.tables import first_per_key, merge_into, publish_snapshot, stored_yet
 from pulse.operators.text import ingest_tags
 from pulse.operators.trending import detect_trending, with_growth_of, with_related
-from pulse.session import cut_lineage
-from pulse.sources.tables import read_table, shape, write_table
+from pulse.sources.tables import shape
 
 POSTS, TRENDING, STATS = "social_posts", "trending_topics", "realtime_stats"
 MAX_BROADCAST_IDS = 2_000_000
@@ -61,14 +59,6 @@ def stored_posts(spark: SparkSession, folder: str) -> DataFrame:
     ).parquet(f"{folder}/{POSTS}")
 
 
-def _exists(read) -> bool:
-    try:
-        read()
-        return True
-    except AnalysisException:
-        return False
-
-
 def unseen(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
     """Posts of `batch` that no other batch stored.
 
@@ -76,7 +66,7 @@ def unseen(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
     stored table is scanned by its id column and not shuffled.
     """
     spark = batch.sparkSession
-    if not _exists(lambda: stored_posts(spark, folder)):
+    if not stored_yet(lambda: stored_posts(spark, folder)):
         return batch
     others = stored_posts(spark, folder).filter(F.col("batch_id") != batch_id).select("post_id")
     seen = others.join(sized(batch.select("post_id"), MAX_BROADCAST_IDS), "post_id", "left_semi")
@@ -100,7 +90,7 @@ def store(posts: DataFrame, batch_id: int, folder: str) -> None:
 def _published(spark: SparkSession, folder: str) -> str | None:
     """Time of the last published stats."""
     path = f"{folder}/{STATS}"
-    if not _exists(lambda: spark.read.parquet(path)):
+    if not stored_yet(lambda: spark.read.parquet(path)):
         return None
     record = spark.read.schema("record string").parquet(path)
     return latest(record.select(F.from_json("record", STATS_LAYOUT)["last_updated"].alias("t")), "t")
@@ -110,22 +100,13 @@ def refresh_trending(posts: DataFrame, folder: str, as_of: str, hours: int = 1,
     """Upsert the topics of the last hours with their growth and related keywords.
 
     Growth counts the posts of the hours right before, whether or not a topic was stored then.
-    Only one day of the trending table is read and rewritten.
+    Only the days of these hours are read and rewritten in the trending table.
     """
-    spark = posts.sparkSession
     now = as_of_literal(posts, as_of)
     found = detect_trending(posts, now, hours, min_mentions).withColumn("created_at", now)
     grown = with_growth_of(found, posts, now, hours)
     fresh = shape(with_related(grown, last_hours(posts, hours, now)), TRENDING)
-    if not _exists(lambda: read_table(spark, TRENDING, folder)):
-        write_table(fresh, TRENDING, folder, mode="overwrite")
-        return
-    stored = read_table(spark, TRENDING, folder).filter(F.col("ts_date") == now.cast("date"))
-    old = shape(stored, TRENDING)
-    changed = ["mentions_count", "sentiment_score", "growth_rate"]
-    # The day being replaced is also read, so the new rows are written out first.
-    merged = cut_lineage(upsert(old, fresh, schemas.KEYS[TRENDING], changed))
-    write_table(merged, TRENDING, folder, mode="overwrite")
+    merge_into(fresh, TRENDING, folder, ["mentions_count", "sentiment_score", "growth_rate"])
 
 
 def ingest_stream(
