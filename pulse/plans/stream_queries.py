@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from pulse.engine import Engine, register_functions, to_json_document
 from pulse.functions import lexicons as LX
+from pulse.functions.filters import latest
 from pulse.operators import tables as T
 from pulse.plans.post_queries import METRICS_SQL, REALTIME_SQL, TODAY_SQL, _COUNTS
 from pulse.plans.registry import query
 from pulse.plans.trend_queries import INSIGHTS_SQL, detected, trending
 from pulse.session import new_folder
 from pulse.sources import adapters as A
-from pulse.sources.tables import read_table
+from pulse.sources.tables import read_table, write_table
 from pulse.streaming import ingest as S
 from pulse.streaming import windows as W
 
@@ -37,24 +38,83 @@ def _ingested(spark, posts, **options):
     return target
 
 
+def _out_of_order(spark, folder, posts_of, **options):
+    """Ingest the events in three batches: the newest ten days first, the oldest last.
+
+    The later batches bring copies of a tenth of what came before, and event 0 is dated ten years ahead.
+    """
+    feed, target, offsets = (new_folder(spark, name) for name in ("feed", "ingest", "offsets"))
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    layout, day = events.schema, F.dayofmonth("ts")
+    ahead = F.when(F.col("event_id") == 0, F.col("ts") + F.expr("INTERVAL 10 YEAR")).otherwise(F.col("ts"))
+    events = events.withColumn("ts", ahead)
+    for first, last in ((20, 31), (10, 20), (0, 10)):
+        again = (day > last) & (F.col("event_id") % 10 == 0)
+        events.filter(((day > first) & (day <= last)) | again).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(layout).parquet(feed)
+        posts = A.posts_of_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+        S.ingest_stream(posts_of(posts), target, offsets, **options).awaitTermination()
+    return target
+
+
+_AHEAD = "ts + CASE WHEN event_id = 0 THEN INTERVAL 10 YEAR ELSE INTERVAL 0 YEAR END AS timestamp"
+
+
 @query(
     "K01_ingest_stream",
-    """SELECT p.post_id, p.author, p.ts AS timestamp, s.sentiment FROM posts p JOIN scored s USING (post_id)""",
+    f"""SELECT p.post_id, p.author, {_AHEAD}, s.sentiment FROM posts p JOIN scored s USING (post_id)""",
     "posts scored",
 )
 def _(spark, folder):
-    target = _ingested(spark, _posts_with_text(spark, folder), scorers=_scorers(spark), trending={"min_mentions": 1})
+    documents = A.documents(spark, folder)
+    target = _out_of_order(
+        spark, folder, lambda posts: A.add_text(posts, documents),
+        scorers=_scorers(spark), trending={"min_mentions": 1},
+    )
     stored = S.stored_posts(spark, target).select("post_id", "author", "timestamp", "sentiment")
     return _ntz(stored, "timestamp")
 
 
-@query("K02_drop_copies", "SELECT post_id, ts AS timestamp, sentiment FROM posts")
+@query("K02_drop_copies", f"SELECT post_id, {_AHEAD}, sentiment FROM posts")
 def _(spark, folder):
-    twice = _posts(spark, folder).unionByName(_posts(spark, folder))
-    stored = S.stored_posts(spark, _ingested(spark, twice)).select("post_id", "timestamp", "sentiment")
+    def twice(posts):
+        bare = posts.drop("event_id", "value", "k")
+        return bare.unionByName(bare)
+
+    stored = S.stored_posts(spark, _out_of_order(spark, folder, twice)).select("post_id", "timestamp", "sentiment")
     return _ntz(stored, "timestamp")
 
 
+@query(
+    "A03_merge_into",
+    """SELECT post_id, likes_count + CASE WHEN changed THEN 1 ELSE 0 END AS likes_count
+       FROM (SELECT *, event_id % 10 = 0 AND dayofmonth(ts) <= 10 AS changed FROM posts)
+       UNION ALL
+       SELECT post_id || '_new', likes_count + 1 FROM posts WHERE event_id % 10 = 0 AND dayofmonth(ts) <= 10""",
+)
+def _(spark, folder):
+    """A batch of ten days, sent twice, with changed posts and new ones."""
+    posts, target = A.posts(spark, folder), new_folder(spark, "merged")
+    write_table(posts, S.POSTS, target, mode="overwrite")
+    chosen = posts.filter((F.split_part("post_id", F.lit("_"), F.lit(2)) % 10 == 0) & (F.dayofmonth("timestamp") <= 10))
+    changed = chosen.withColumn("likes_count", F.col("likes_count") + 1)
+    batch = changed.unionByName(changed.withColumn("post_id", F.concat("post_id", F.lit("_new"))))
+    for _ in range(2):
+        T.merge_into(batch, S.POSTS, target, ["likes_count"])
+    return read_table(spark, S.POSTS, target).select("post_id", "likes_count")
+
+
+@query(
+    "A06_drop_expired",
+    "SELECT post_id, ts AS timestamp FROM posts WHERE CAST(ts AS DATE) >= CAST({now} - INTERVAL 7 DAY AS DATE)",
+)
+def _(spark, folder):
+    posts, target = A.posts(spark, folder), new_folder(spark, "kept")
+    write_table(posts, S.POSTS, target, mode="overwrite")
+    T.drop_expired(spark, S.POSTS, target, latest(posts), days=7)
+    return _ntz(read_table(spark, S.POSTS, target).select("post_id", "timestamp"), "timestamp")
+
+
 _CLOSED_HOURS = f"""
     SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, platform, count(*) AS post_count, {_COUNTS}
     FROM posts GROUP BY 1, 2 HAVING bucket + INTERVAL 1 HOUR <= {{now}} - INTERVAL 1 HOUR"""

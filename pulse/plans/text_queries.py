@@ -164,6 +164,42 @@ def _(spark, folder):
     return _entities(spark, folder).select("post_id", "entity_count")
 
 
+def _endings(k) -> list[str]:
+    """Phrases of the line that ends a post's text, of two, four, four and six words, in odd capitals."""
+    return [
+        f"Tag{k % 10}!  @User_{k}", f"tag{k % 10}! @user_{k} #über_{k % 3} HTTP",
+        f"#über_{k % 3} http://Example.org/{k}", f"http://example.org/{k}?x=1",
+    ]
+
+
+@query(
+    "E09_long_dictionary",
+    """SELECT post_id, e.found AS text, 'PRODUCT' AS label, 'ending' AS description,
+              CAST(length(content) - length(e.ending) AS INT) AS start,
+              CAST(length(content) - length(e.ending) + length(e.found) AS INT) AS "end",
+              CAST(0.5 AS DOUBLE) AS confidence
+       FROM (SELECT post_id, content, unnest([
+                 {'found': tag, 'ending': concat(tag, ' ', mark, link, '?x=1#f')},
+                 {'found': concat(tag, ' ', mark, 'http'), 'ending': concat(tag, ' ', mark, link, '?x=1#f')},
+                 {'found': concat(mark, link), 'ending': concat(mark, link, '?x=1#f')},
+                 {'found': concat(link, '?x=1'), 'ending': concat(link, '?x=1#f')}]) AS e
+             FROM (SELECT post_id, content, concat('tag', k % 10, '! @user_', k) AS tag,
+                          concat('#über_', k % 3, ' ') AS mark, concat('http://example.org/', k) AS link
+                   FROM posts_text))
+       UNION ALL
+       SELECT post_id, found, label, description, start, start + CAST(length(found) AS INT), 0.7
+       FROM patterns WHERE matched""",
+    "posts_text patterns",
+)
+def _(spark, folder):
+    """400 phrases with `!`, `@`, `#`, `/`, `.` and `?`."""
+    phrases = [(phrase, "PRODUCT", "ending", 0.5) for k in range(100) for phrase in _endings(k)]
+    dictionary = spark.createDataFrame(phrases, "phrase string, label string, description string, weight double")
+    dictionary = dictionary.dropDuplicates(["phrase"])
+    found = S.extract_entities(A.posts_with_text(spark, folder), dictionary)
+    return found.select("post_id", F.inline("entities"))
+
+
 @query(
     "D06_entity_topics",
     """SELECT DISTINCT post_id, lower(text) AS topic FROM entities
@@ -208,17 +244,37 @@ def _(spark, folder):
     return found.terms.join(found.sizes, "topic_id")
 
 
-@query("E12_batch_process")
-def _(spark, folder):
+def _batch(spark, folder, operations):
     return K.batch_process(
-        A.posts_with_text(spark, folder), ["sentiment", "emotions", "entities", "topics"],
+        A.posts_with_text(spark, folder), operations,
         LX.sentiment_lexicon(spark), LX.emotion_lexicon(spark), LX.entity_dictionary(spark),
-    ).select(
+    )
+
+
+@query("E12_batch_process")
+def _(spark, folder):
+    return _batch(spark, folder, ["sentiment", "emotions", "entities", "topics"]).select(
         "post_id", "original_text", "error", "sentiment", "sentiment_confidence",
         F.size("emotions").alias("n_emotions"), "entity_count", "topic_id",
     )
 
 
+@query(
+    "E12_batch_scores",
+    """SELECT s.post_id, s.sentiment, s.sentiment_confidence, coalesce(m.n_emotions, 0) AS n_emotions, n.entity_count
+       FROM scored s
+       LEFT JOIN (SELECT post_id, CAST(count(*) AS INT) AS n_emotions FROM post_emotions GROUP BY 1) m USING (post_id)
+       JOIN (SELECT p.post_id, CAST(count(e.label) AS INT) AS entity_count
+             FROM posts p LEFT JOIN entities e ON e.post_id = p.post_id GROUP BY 1) n USING (post_id)""",
+    "posts scored post_emotions entities",
+)
+def _(spark, folder):
+    """All but the topics, whose clusters SQL cannot state."""
+    return _batch(spark, folder, ["sentiment", "emotions", "entities"]).select(
+        "post_id", "sentiment", "sentiment_confidence", F.size("emotions").alias("n_emotions"), "entity_count"
+    )
+
+
 @query(
     "E12_batch_summary",
     """SELECT count(*) AS total_texts, count(*) FILTER (length(trim(content)) > 0) AS success_count,

@@ -204,6 +204,7 @@ def _(spark, folder):
 @query(
     "J04_compare_platforms",
     f"""SELECT metric, max(platform) FILTER (rank = 1) AS winner,
+               string_agg(platform || '=' || CAST(round(value * 1000) AS BIGINT), ',' ORDER BY platform) AS platforms,
                (max(value) FILTER (rank = 1) - max(value) FILTER (rank = 2)) * 100.0
                    / nullif(max(value) FILTER (rank = 2), 0) AS difference_percentage
         FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, platform) AS rank
@@ -215,7 +216,12 @@ def _(spark, folder):
         GROUP BY metric""",
 )
 def _(spark, folder):
-    return D.compare_platforms(P.platform_metrics(A.posts(spark, folder))).drop("platforms")
+    compared = D.compare_platforms(P.platform_metrics(A.posts(spark, folder)))
+    thousandths = F.transform(
+        F.array_sort(F.map_entries("platforms")),
+        lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1000).cast("long").cast("string")),
+    )
+    return compared.withColumn("platforms", F.array_join(thousandths, ","))
 
 
 @query(
