@@ -93,6 +93,21 @@ def test_retention_bound_is_kept(spark):
     assert T.apply_retention(df, "rate_limits").count() == 2
 
 
+def test_merge_leaves_other_days_and_expired_days_go(spark):
+    folder, layout = new_folder(spark, "merged"), "topic string, platform string, time_window timestamp, mentions_count int"
+    late = datetime(2024, 2, 1)
+    T.merge_into(spark.createDataFrame([("a", "x", T0, 1), ("b", None, late, 2)], layout), "trending_topics", folder, [])
+    batch = [("b", None, late, 5), ("c", "x", late, 7), ("n", "x", None, 9)]
+    for _ in range(2):
+        T.merge_into(spark.createDataFrame(batch, layout), "trending_topics", folder, ["mentions_count"])
+    stored = read_table(spark, "trending_topics", folder).select("topic", "mentions_count")
+    assert rows(stored) == [("a", 1), ("b", 5), ("c", 7), ("n", 9)]
+    assert T.drop_expired(spark, "trending_topics", folder, late) == []
+    assert T.drop_expired(spark, "trending_topics", folder, late, days=7) == ["2024-01-01"]
+    stored = read_table(spark, "trending_topics", folder).select("topic")
+    assert rows(stored) == [("b",), ("c",), ("n",)]
+
+
 def test_json_round_trip(spark):
     kinds = {"m": "map<string,double>", "e": schemas.ENTITIES.simpleString()}
     df = spark.sql(
