@@ -3,14 +3,20 @@
 A document is the set of its hashed shingles. Documents with equal sets are one class,
 of which one goes on. From the hash values of a set two things are retained: the
 `SKETCH` least ones, whose union-sketch estimates the likeness of two sets, and the
-`RUN` least of each residue class. Sets that are alike enough agree in some residue
-class, so inverted lists of these runs of retained values hold every pair:
+`RUN` least of each residue class, or of a small set its least ones. Sets that are alike
+enough agree in some of these, so inverted lists of retained values hold the pairs:
 
 * A set of n values counts for size levels of n and 1.25 n, so that two sets of at
-  least 0.8 likeness have a level in common. A level that ends at size m has
-  min(32, m/4 + 1) residue classes. Sets of up to m = 124 differ in at most m/4 values,
-  hence agree in a whole class. Larger sets agree in each of 32 classes with a chance of
-  0.8 ^ 4 or more; all 32 differ with a chance of 5e-8 at a likeness of just 0.8.
+  least 0.8 likeness have in common the level of the larger one.
+* Levels that end up to `SMALL` are exact. Sets of up to 38 values, the larger of at least
+  s, have t = ceil(0.8 s) values or more in common, and the `PICK` least of these are among
+  the first n - t + `PICK` values of each set. The lists are those of all picks of so many
+  values from there.
+* A higher level that ends at size m has min(32, m/4 + 1) residue classes. Sets of up to
+  m = 124 differ in at most m/4 values, hence agree in a whole class, but no list tells so
+  if that class is empty in both: all agreeing classes are empty with a chance of at most
+  5e-8, at a likeness of just 0.8. Larger sets agree in each of 32 classes with a chance
+  of 0.8 ^ 4 or more; all 32 differ with a chance of 5e-8 at a likeness of just 0.8.
 * In each list the member with the most company is the pivot. Pairs of pivot and
   member that pass the estimate are compared on whole sets. This joins nearly all.
 * Lists whose members still belong to several components are taken again, in blocks of
@@ -21,6 +27,9 @@ Pairs inside a component need no comparison, since only components are asked for
 """
 
 import hashlib
+from functools import cache
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +44,9 @@ SKETCH = 64
 RUN = 4
 CLASSES = 32
 LEVEL = 1.5
+#: Levels that end up to this size are listed by picks of PICK values, without a miss.
+SMALL = 40
+PICK = 2
 #: An estimate from SKETCH values of a likeness of 0.8 falls this far short in about 1 of 100,000 pairs.
 SLACK = 0.2
 BLOCK = 256
@@ -42,12 +54,35 @@ BLOCK = 256
 MAX_BROADCAST_IDS = 1_000_000
 
 
+@cache
+def picks(n: int, k: int) -> np.ndarray:
+    """Places of all choices of k from n, a column each."""
+    return np.array(list(combinations(range(n), k)), np.int64).T
+
+
+def small_keys(values: np.ndarray, share: float, level: int) -> np.ndarray:
+    """Hashes of picks of least values: two sets that are alike, the larger one of this level, have one in common."""
+    least = ceil(LEVEL**level - 1e-9)
+    common = ceil(share * max(least, len(values)) - 1e-9)
+    if common > len(values):
+        return np.empty(0, np.uint64)
+    pick = min(PICK, ceil(share * least - 1e-9))
+    chosen = values[picks(len(values) - common + pick, pick)]
+    key = np.full(chosen.shape[1], mixed(np.array([level << 32], np.uint64))[0])
+    for column in chosen:
+        key = mixed(key * GOLDEN + column)
+    return key
+
+
 def list_keys(values: np.ndarray, share: float) -> np.ndarray:
-    """Hashes of the runs of retained values by which a set is listed."""
+    """Hashes of the picks or runs of retained values by which a set is listed."""
     keys = []
     n = len(values)
     for level in sorted({int(np.log(size) / np.log(LEVEL) + 1e-9) for size in (n, n / share)}):
         most = LEVEL ** (level + 1)
+        if most <= SMALL:
+            keys.append(small_keys(values, share, level))
+            continue
         classes = min(CLASSES, int(most * (1 / share - 1)) + 1)
         residue = (values % np.uint64(classes)).astype(np.int64)
         order = np.argsort(residue, kind="stable")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +177,33 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert found == {d: c for d, (_, c) in expected.items()}
 
 
+def test_small_sets_have_a_list_in_common():
+    """Random pairs of every size up to 38 and of just enough likeness: all share a list."""
+    rng, tried = np.random.default_rng(5), 0
+    for n in range(4, 39):
+        for other in range(ceil(0.8 * n - 1e-9), n + 1):
+            common = ceil(0.8 * (n + other) / 1.8 - 1e-9)
+            if common > other:
+                continue
+            for _ in range(60 if n > 15 else 600):
+                values = rng.integers(0, 2**63, n + other - common, dtype=np.uint64)
+                a, b = np.sort(values[:n]), np.sort(values[n - common :])
+                assert set(neardup.list_keys(a, 0.8).tolist()) & set(neardup.list_keys(b, 0.8).tolist()), (n, other)
+                tried += 1
+    assert tried > 10_000
+
+
+def test_short_texts_cut_at_the_end_are_linked(spark):
+    """Pairs of 5:4 and 10:8 shingles, each a likeness of 0.8."""
+    rows = []
+    for k in range(2000):
+        n, cut = ((6, 1), (11, 2))[k % 2]
+        text = [f"{k}x{i}" for i in range(n)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:-cut]))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 4000 and {r.component_id - r.doc_id // 2 * 2 for r in found} == {0}
+
+
 def test_near_duplicates_edges(edges, empty):
     rows = neardup.near_duplicates(edges).collect()
     assert len(rows) == edges.count() and neardup.near_duplicates(empty).count() == 0
