@@ -1,6 +1,6 @@
 """Windowed aggregates over a stream of posts. Event time must be a TIMESTAMP column."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,25 +25,30 @@ def stream_posts_per_hour(posts: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
-def stream_ppm(posts: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Running counts per minute (update mode)."""
-    return (
-        posts.withWatermark(TIME, late)
-        .groupBy(F.window(TIME, "1 minute"))
-        .agg(F.count("*").alias("posts"))
-        .select(F.col("window.start").alias("minute"), "posts")
-    )
+def _per_minute(posts: DataFrame, late: str | None) -> GroupedData:
+    if late is not None:
+        posts = posts.withWatermark(TIME, late)
+    return posts.groupBy(F.window(TIME, "1 minute"))
+
 
+def stream_ppm(posts: DataFrame, late: str | None = None) -> DataFrame:
+    """Running counts per minute (update mode).
 
-def stream_last_hour(posts: DataFrame, late: str = "10 minutes") -> DataFrame:
+    Every post counts, however late it comes; the state is one row per minute seen.
+    `late` bounds that state: posts more than `late` behind the newest post of earlier
+    batches are then dropped, and a run over all posts without it is the exact recount.
+    """
+    return _per_minute(posts, late).agg(F.count("*").alias("posts")).select(F.col("window.start").alias("minute"), "posts")
+
+
+def stream_last_hour(posts: DataFrame, late: str | None = None) -> DataFrame:
     """Per-minute parts of the last-hour stats (update mode), authors as a mergeable sketch.
 
     A sliding window would count each post in 60 windows; here it is counted
-    once, and `last_hour_stats` adds up minutes.
+    once, and `last_hour_stats` adds up minutes. `late` is that of `stream_ppm`.
     """
     return (
-        posts.withWatermark(TIME, late)
-        .groupBy(F.window(TIME, "1 minute"))
+        _per_minute(posts, late)
         .agg(
             F.count("*").alias("posts"),
             F.hll_sketch_agg("author").alias("authors"),

@@ -78,6 +78,19 @@ def test_update_streams_count_everything(spark):
     assert (best["posts"], best["active_users"], best["positive_count"]) == (5, 3, 5)
 
 
+def test_update_streams_count_late_posts(spark):
+    """The second batch is ten hours behind the first."""
+    folder, minutes, parts, *offsets = (new_folder(spark, n) for n in ("late", "ppm", "last", "offsets", "offsets"))
+    for rows in ([row(0, 600), row(1, 601)], [row(2, 0), row(3, 0), row(4, 1), row(5, 600)]):
+        write(spark, folder, rows)
+        W.update_to(W.stream_ppm(source(spark, folder)), minutes, offsets[0]).awaitTermination()
+        W.update_to(W.stream_last_hour(source(spark, folder)), parts, offsets[1]).awaitTermination()
+    expected = {0: 2, 1: 1, 600: 2, 601: 1}
+    for out in (minutes, parts):
+        found = W.current_rows(spark, out, ["minute"]).collect()
+        assert {int((r["minute"] - T0).total_seconds() // 60): r["posts"] for r in found} == expected
+
+
 def test_ingest_in_batches(spark, scorers):
     folder, out, offsets = (new_folder(spark, n) for n in ("in", "out", "offsets"))
 
