@@ -47,8 +47,9 @@ LEVEL = 1.5
 #: Levels that end up to this size are listed by picks of PICK values, without a miss.
 SMALL = 40
 PICK = 2
-#: An estimate from SKETCH values of a likeness of 0.8 falls this far short in about 1 of 100,000 pairs.
-SLACK = 0.2
+#: An estimate from SKETCH values of a likeness of 0.8 falls this far short (28 or fewer common values) in at
+#: most 2 of 10,000,000,000 pairs, and never if the union has up to SKETCH values. What it lets pass is compared whole.
+SLACK = 0.35
 BLOCK = 256
 #: Ids of documents to compare are broadcast up to this many (8 MB); beyond, they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000

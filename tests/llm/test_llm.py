@@ -204,6 +204,22 @@ def test_short_texts_cut_at_the_end_are_linked(spark):
     assert len(found) == 4000 and {r.component_id - r.doc_id // 2 * 2 for r in found} == {0}
 
 
+def test_near_duplicates_with_unlike_sketches(spark):
+    """A text and 0.8 of it, of whose 64 least values 28 went: the estimate is 36 / 64."""
+    words = {int(next(neardup.shingle_sets(pa.array([w]), 1))[0]): w for w in (f"w{i}" for i in range(500))}
+    order = sorted(words)
+    gone = [v for v in order[:64] if v % 32 >= 8][:28]
+    gone = set(gone + order[-72:])
+    texts = [" ".join(words.values()), " ".join(w for v, w in words.items() if v not in gone)]
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sets = [v.tobytes() for v in neardup.shingle_sets(pa.array(texts), 1)]
+    assert [len(v) // 8 for v in sets] == [500, 400]
+    assert {r.component_id for r in neardup.near_duplicates(table, 1).collect()} == {0}
+    members = [(7, i, i, 2, bytearray(v)) for i, v in enumerate(sets)]
+    members = spark.createDataFrame(members, "key long, id long, component long, members long, values binary")
+    assert [tuple(r) for r in neardup.links_in_lists(members, 0.8).collect()] == [(0, 1)]
+
+
 def test_near_duplicates_edges(edges, empty):
     rows = neardup.near_duplicates(edges).collect()
     assert len(rows) == edges.count() and neardup.near_duplicates(empty).count() == 0
