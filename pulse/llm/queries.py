@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import fingerprints, idfile, language, neardup, packing, quality, rules, tokens, toxicity
+from pulse.llm import fingerprints, idfile, language, neardup, packing, prefixes, quality, resampling, rules, sql, tokens, toxicity, transducer
 from pulse.llm.learning import fold
 from pulse.session import new_folder
 
@@ -88,3 +88,24 @@ def op9_quality_gam(spark, folder):
 @query
 def op10_minhash_near_dedup(spark, folder):
     return neardup.near_duplicates(documents(spark, folder))
+
+
+@query
+def op11_importance_resampling(spark, folder):
+    return resampling.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+SQL["op11_importance_resampling"] = sql.RESAMPLING
+
+
+@query
+def op12_bpe_transducer(spark, folder):
+    return transducer.round_trip(documents(spark, folder))
+
+
+@query
+def op13_prefix_trie(spark, folder):
+    return prefixes.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+SQL["op13_prefix_trie"] = sql.PREFIX_TRIE
