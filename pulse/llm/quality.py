@@ -196,6 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> QualityModel
     return model
 
 
+def text_scores(texts: pa.Array, model: QualityModel | None) -> np.ndarray:
+    """The score of each text, as score() gives it."""
+    x = np.array([features(text) for text in texts.to_pylist()]).reshape(-1, len(FEATURES))
+    return model.score(x) if model and len(x) else np.full(len(x), 0.5)
+
+
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """doc_id and score (chance of label 1) of each row of `docs` (doc_id, text).
 
@@ -205,8 +211,7 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 
     def of(batches):
         for batch in batches:
-            x = np.array([features(text) for text in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
-            found = model.score(x) if model and len(x) else np.full(len(x), 0.5)
+            found = text_scores(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

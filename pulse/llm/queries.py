@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import fingerprints, idfile, language, neardup, packing, prefixes, quality, resampling, rules, sql, tokens, toxicity, transducer
+from pulse.llm import fingerprints, idfile, language, mixing, neardup, packing, prefixes, quality, resampling, rules, sql, tokens, toxicity, transducer
 from pulse.llm.learning import fold
 from pulse.session import new_folder
 
@@ -45,6 +45,13 @@ def op2_language_id(spark, folder):
     return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+@query
+def op3_temperature_mixing(spark, folder):
+    sizes = mixing.counted(documents(spark, folder), "tokens", keep=["doc_id", "source"])
+    mixed = mixing.mix(sizes, "tokens", max_repeats=1.5, columns=("slot", "pass", "weight"))
+    return mixed.select("doc_id", "source", "pass", "slot", "tokens", "weight")
+
+
 @query
 def op4_token_counts(spark, folder):
     return tokens.count_tokens(documents(spark, folder))
