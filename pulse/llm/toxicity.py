@@ -18,6 +18,8 @@ from pulse.llm.learning import bounded_sample, sampled_texts, sigmoid, sums_betw
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5)
+#: What the toxic texts weigh together in training, of 1.
+TOXIC_PART = 0.4
 MARKS = ".,;:!?\"'()[]{}<>*_-…“”„«»"
 #: Identity terms by group; terms of a group can stand for each other in a sentence.
 IDENTITY_TERMS = {
@@ -48,13 +50,16 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = [np.empty(0)]
         for words, which, ends in word_tables(texts):
-            buckets = [word_features(word) for word in words]
-            effect = np.array([self.weights[b].sum() if b else 0.0 for b in buckets])
-            # A word counts once in a text; only words with an effect are looked at again.
+            # Buckets with a weight of each word; a bucket counts once in a text, as in training.
+            told = [[b for b in word_features(word) if self.weights[b]] for word in words]
+            size = np.fromiter(map(len, told), np.int64, len(told))
+            flat, begin = np.array([b for own in told for b in own], np.int64), np.cumsum(size) - size
             owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            told = np.flatnonzero(effect[which] != 0)
-            pairs = np.unique(owner[told].astype(np.int64) * max(1, len(words)) + which[told])
-            total = np.bincount(pairs // max(1, len(words)), effect[pairs % max(1, len(words))], len(ends) - 1)
+            at = np.flatnonzero(size[which])
+            word, n = which[at], size[which[at]]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs = np.unique(np.repeat(owner[at], n).astype(np.int64) * BUCKETS + flat[np.repeat(begin[word], n) + inner])
+            total = np.bincount(pairs // BUCKETS, self.weights[pairs % BUCKETS], len(ends) - 1)
             out.append(sigmoid(self.intercept + total))
         return np.concatenate(out)
 
@@ -67,9 +72,9 @@ def fit(
     present: list[np.ndarray],
     swaps: list[tuple[np.ndarray, np.ndarray]],
     y: np.ndarray,
-    l1: float = 0.0008,
+    l1: float = 0.0004,
     fairness: float = 1.0,
-    rounds: int = 150,
+    rounds: int = 400,
     rate: float = 0.3,
     least: int = 4,
 ) -> ToxicityModel:
@@ -92,7 +97,7 @@ def fit(
                 changes[row, at.get(int(bucket), width)] += sign
     owner = np.repeat(np.arange(len(y)), np.diff(ends))
     share = np.clip(y.mean(), 0.01, 0.99)
-    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    balance = np.where(y == 1, TOXIC_PART / share, (1 - TOXIC_PART) / (1 - share)) / len(y)
     w, b, squares, squares_b = np.zeros(width + 1), 0.0, np.full(width + 1, 1e-8), 1e-8
     for _ in range(rounds):
         error = (sigmoid(sums_between(w[column], ends) + b) - y) * balance
@@ -121,7 +126,7 @@ def counterfactuals(words: set[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return swaps
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 4000, fairness: float = 1.0) -> ToxicityModel | None:
     """Learn from at most `bound` labelled rows (labels: doc_id, label 0 or 1), in equal parts by label; None without any."""
 
     def rows_of(batches):
@@ -151,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> ToxicityMode
     swaps = [change for row in rows for change in counterfactuals(set(row.terms))]
     none = np.empty(0, np.int64)
     swaps += [(np.array(word_features(term)), none) for term in GROUP_OF]  # a mention where there was none
-    return fit([np.frombuffer(r.buckets, np.int32) for r in rows], swaps, np.array([r.label for r in rows], float))
+    labels_ = np.array([r.label for r in rows], float)
+    return fit([np.frombuffer(r.buckets, np.int32) for r in rows], swaps, labels_, fairness=fairness)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
