@@ -1,6 +1,5 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of character n-grams (operator 2)."""
 
-import re
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -14,7 +13,6 @@ from pulse.llm.shingles import GOLDEN, mixed
 
 BUCKETS = 1 << 15
 LONGEST = 4
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Features are shares of a text's n-grams times their idf; this makes them about as large as counts.
 SCALE = 100.0
@@ -29,7 +27,7 @@ def n_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     space = points == 32
     owner = np.cumsum(space) - 1
-    letters = np.fromiter((word.isalpha() or LETTER.search(word) is not None for word in words), bool, len(words))
+    letters = np.fromiter((word.isalpha() or any(map(str.isalpha, word)) for word in words), bool, len(words))
     usable = np.append(letters, False)[np.minimum(owner, len(words))]
     grams = np.zeros((len(points), LONGEST), np.uint64)
     valid = np.zeros((len(points), LONGEST), bool)
