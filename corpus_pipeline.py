@@ -4,15 +4,13 @@ Each stage takes what the one before kept. The first two models learn from the l
 rows, and the languages, of the tables in `sf_dir`.
 """
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulse.llm import language, mixing, neardup, packing, quality
 from pulse.llm.learning import fold
 from pulse.llm.queries import documents, labels
-from pulse.llm.tokens import token_ids
 from pulse.session import new_folder
 
 #: A document below this chance of good quality goes.
@@ -23,24 +21,33 @@ MIN_LANGUAGE = 0.5
 MAX_REPEATS = 1.5
 
 
-def rejected(verdicts: DataFrame) -> DataFrame:
-    return verdicts.select("doc_id").filter("doc_id is not null").distinct()
+def accepted(docs: DataFrame, verdicts) -> DataFrame:
+    """Rows of `docs` for which `verdicts`, a function from an array of texts to booleans, says yes."""
+
+    def judge(batches):
+        for batch in batches:
+            keep = np.broadcast_to(verdicts(batch.column("text")), batch.num_rows)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier accepts. A row with a null id is judged with the others of a null id: it stays."""
+    """Rows that the quality classifier accepts, each judged by its own text, whatever its id. A null text is an empty one."""
     given = labels(spark, sf_dir, "quality").filter(fold("doc_id", 4) != 2)
     model = quality.train(documents(spark, sf_dir), given)
-    bad = quality.score(docs, model).filter(F.col("score") < MIN_QUALITY)
-    return docs.join(rejected(bad), "doc_id", "left_anti")
+    return accepted(docs, lambda texts: quality.text_scores(texts, model) >= MIN_QUALITY)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a language; texts without a letter, or of no sure language, go."""
+    """Rows with a language, each judged by its own text; texts without a letter, or of no sure language, go."""
     model = language.train(documents(spark, sf_dir).filter(fold("doc_id", 4) != 2))
-    found = language.identify(docs, model)
-    bad = found.filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < MIN_LANGUAGE))
-    return docs.join(rejected(bad), "doc_id", "left_anti")
+
+    def sure(texts):
+        chances, letters = model.scores(texts)
+        return letters & (chances.max(axis=1, initial=0) >= MIN_LANGUAGE)
+
+    return accepted(docs, sure if model else lambda texts: False)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,18 +57,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row at least once, rows of small sources again up to the repetition limit, in mixed order."""
-
-    def count(batches):
-        for batch in batches:
-            _, ends = token_ids(batch.column("text"), "word_bpe_49k.json", 1)
-            sizes = pa.array(ends[1:] - ends[:-1], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, "_tokens"])
-
-    folder = new_folder(spark, "counted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_tokens", T.LongType())])
-    docs.mapInArrow(count, schema).write.parquet(folder)
-    mixed = mixing.mix(spark.read.parquet(folder), "_tokens", max_repeats=MAX_REPEATS)
-    return mixed.repartitionByRange("_slot").sortWithinPartitions("_slot").select(docs.columns)
+    size, slot, shown = (mixing.free_name(docs, name) for name in ("_tokens", "_slot", "_pass"))
+    mixed = mixing.mix(mixing.counted(docs, size), size, max_repeats=MAX_REPEATS, columns=(slot, shown))
+    return mixed.repartitionByRange(slot).sortWithinPartitions(slot).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
