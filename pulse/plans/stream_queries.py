@@ -50,7 +50,7 @@ def _out_of_order(spark, folder, posts_of, **options):
     events = events.withColumn("ts", ahead)
     for first, last in ((20, 31), (10, 20), (0, 10)):
         again = (day > last) & (F.col("event_id") % 10 == 0)
-        events.filter(((day > first) & (day <= last)) | again).coalesce(1).write.mode("append").parquet(feed)
+        events.filter(((day > first) & (day <= last)) | again).write.mode("append").parquet(feed)
         stream = spark.readStream.schema(layout).parquet(feed)
         posts = A.posts_of_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
         S.ingest_stream(posts_of(posts), target, offsets, **options).awaitTermination()
@@ -85,6 +85,20 @@ def _(spark, folder):
     return _ntz(stored, "timestamp")
 
 
+@query("K02_second_stream", f"SELECT post_id, {_AHEAD}, sentiment FROM posts")
+def _(spark, folder):
+    """Two streams with checkpoints of their own fill one store; the second one brings the first half again and the rest."""
+    events, target = spark.read.parquet(f"{folder}/events.parquet"), new_folder(spark, "ingest")
+    ahead = F.when(F.col("event_id") == 0, F.col("ts") + F.expr("INTERVAL 10 YEAR")).otherwise(F.col("ts"))
+    for part in (events.filter("event_id % 2 = 0"), events):
+        feed, offsets = new_folder(spark, "feed"), new_folder(spark, "offsets")
+        part.withColumn("ts", ahead).write.parquet(feed)
+        stream = spark.readStream.schema(events.schema).parquet(feed)
+        posts = A.posts_of_events(stream.withColumn("ts", F.col("ts").cast("timestamp"))).drop("event_id", "value", "k")
+        S.ingest_stream(posts, target, offsets).awaitTermination()
+    return _ntz(S.stored_posts(spark, target).select("post_id", "timestamp", "sentiment"), "timestamp")
+
+
 @query(
     "A03_merge_into",
     """SELECT post_id, likes_count + CASE WHEN changed THEN 1 ELSE 0 END AS likes_count

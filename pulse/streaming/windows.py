@@ -8,6 +8,7 @@ from pulse.functions.columns import count_sentiments, zero_if_null
 from pulse.functions.filters import TIME
 from pulse.functions.params import SENTIMENTS
 from pulse.operators.tables import first_per_key
+from pulse.streaming.ingest import batch_name
 
 
 def stream_posts_per_hour(posts: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -90,13 +91,16 @@ def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 
 def update_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Start an update-mode query; each batch writes its changed rows under its own `batch_id`.
+    """Start an update-mode query; each batch writes its changed rows under its stream's and its own number.
 
-    A batch that runs again after a failure replaces its own folder.
+    A batch that runs again after a failure replaces its own folder. A stream with a new
+    checkpoint leaves the rows of those before it in place; current_rows() takes the newest.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        stream = batch_name(batch.sparkSession, checkpoint, batch_id).rpartition("_")[0]
+        rows = batch.withColumn("written_at", F.current_timestamp())
+        rows.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
     return (
         df.writeStream.outputMode("update")
@@ -108,5 +112,6 @@ def update_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 
 def current_rows(spark, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of every row an update-mode query wrote."""
-    return first_per_key(spark.read.parquet(path), keys, [F.desc("batch_id")]).drop("batch_id")
+    """The newest version of every row that update-mode queries wrote to `path`."""
+    rows = first_per_key(spark.read.parquet(path), keys, [F.desc("written_at"), F.desc("batch_id")])
+    return rows.drop("stream", "batch_id", "written_at")

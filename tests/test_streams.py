@@ -132,10 +132,61 @@ def test_a_repeated_batch_replaces_itself(spark):
     out = new_folder(spark, "out")
     batch = spark.createDataFrame([row(0, 0), row(1, 1)], LAYOUT)
     for _ in range(2):
-        S.store(S.unseen(batch, 0, out), 0, out)
+        S.store(S.unseen(batch, "s_0", out), "s_0", out)
     assert S.stored_posts(spark, out).count() == 2
-    S.store(S.unseen(batch, 1, out), 1, out)
+    S.store(S.unseen(batch, "s_1", out), "s_1", out)
     assert S.stored_posts(spark, out).count() == 2
+    assert S.id_index(spark, out).count() == 2
+
+
+def test_a_second_stream_keeps_what_the_first_one_stored(spark):
+    """Batch numbers begin anew with a new checkpoint: no post is lost, replaced or stored twice."""
+    out, minutes = new_folder(spark, "out"), new_folder(spark, "minutes")
+    for rows in ([row(0, 0), row(1, 1), row(2, 2)], [row(3, 0), row(1, 1), row(4, 60 * 30)]):
+        folder, offsets, others = (new_folder(spark, n) for n in ("in", "offsets", "others"))
+        write(spark, folder, rows)
+        S.ingest_stream(source(spark, folder), out, offsets).awaitTermination()
+        W.update_to(W.stream_ppm(source(spark, folder)), minutes, others).awaitTermination()
+    assert sorted(r["post_id"] for r in S.stored_posts(spark, out).collect()) == ["p0", "p1", "p2", "p3", "p4"]
+    found = {(r["minute"] - T0).total_seconds() // 60: r["posts"] for r in W.current_rows(spark, minutes, ["minute"]).collect()}
+    assert found == {0: 1, 1: 1, 2: 1, 1800: 1}
+
+
+def test_only_hit_buckets_of_the_index_are_read(spark):
+    out = new_folder(spark, "out")
+    first = spark.createDataFrame([row(i, i) for i in range(200)], LAYOUT)
+    S.store(S.unseen(first, "s_0", out), "s_0", out)
+    batch = spark.createDataFrame([row(7, 7), row(900, 1)], LAYOUT)
+    seen = S.seen_ids(batch, "t_0", out)
+    assert [r["post_id"] for r in seen.collect()] == ["p7"]
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert S.stored_posts(spark, out).count() == 200
+    # A store from before it had an index gets one.
+    old = new_folder(spark, "old")
+    spark.read.parquet(f"{out}/{S.POSTS}").write.partitionBy("ts_date", "batch").parquet(f"{old}/{S.POSTS}")
+    assert [r["post_id"] for r in S.unseen(batch, "t_0", old).collect()] == ["p900"]
+    assert S.id_index(spark, old).count() == 200
+
+
+def test_day_state_equals_the_days_posts(spark):
+    """Batches that share authors, tags and minutes, one of them repeated; a post of the future does not count."""
+    out = new_folder(spark, "out")
+    layout = "post_id string, author string, sentiment string, hashtags array<string>, timestamp timestamp"
+    rows = [
+        (f"p{i}", f"u{i % 5}" if i % 7 else None, [None, "positive", "negative", "neutral", "odd"][i % 5], [f"t{i % 3}", f"t{i % 4}"] if i % 6 else None, T0 + timedelta(minutes=37 * i))
+        for i in range(90)
+    ]
+    for name, part in (("a_0", rows[:40]), ("a_1", rows[40:]), ("a_1", rows[40:])):
+        batch = spark.createDataFrame(part, layout)
+        S.store(S.unseen(batch, name, out), name, out)
+    for minutes in (37 * 89, 37 * 60, 37 * 39, 0, 60 * 24 * 5):
+        as_of = str(T0 + timedelta(minutes=minutes))
+        posts = spark.createDataFrame(rows, layout).filter(F.col("timestamp") <= as_of)
+        stats = S.day_stats(spark, out, as_of)
+        assert [r.asDict() for r in stats.collect()] == [r.asDict() for r in P.today_stats(posts, as_of).collect()]
+    assert S.POSTS not in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"/{S.DAYS}/" in f for f in stats.inputFiles())
 
 
 def test_trending_refresh_knows_growth_and_keywords(spark):
