@@ -19,9 +19,12 @@ enough agree in some of these, so inverted lists of retained values hold the pai
   of 0.8 ^ 4 or more; all 32 differ with a chance of 5e-8 at a likeness of just 0.8.
 * In each list the member with the most company is the pivot. Pairs of pivot and
   member that pass the estimate are compared on whole sets. This joins nearly all.
-* Lists whose members still belong to several components are taken again, in blocks of
-  bounded size: pairs across components are estimated from sketches and compared on
-  whole sets inside the task, which hands on links only.
+* Lists whose members still belong to several components are taken again, without their
+  texts: a sketch of a set of up to `SKETCH` values is that set, so pairs of such sets are
+  decided on the spot; other pairs that pass the estimate are compared on whole sets.
+* Lists that are longer than a block are first parted by further values, if that makes less work: two sketches that
+  are alike enough share one of their rarest values in the list, so members meet only
+  where they do. A passage that many texts share is frequent, and brings nobody together.
 
 Pairs inside a component need no comparison, since only components are asked for.
 """
@@ -126,19 +129,23 @@ def signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
 
 
 def promising(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
-    """Of the pairs (a, b) those whose sizes and sketches allow a likeness of `share`."""
+    """Of the pairs (a, b) those whose sizes and sketches allow a likeness of `share`; `sure` if the sketches are the sets."""
     small = nodes.select("id", "n", "sketch")
     joined = pairs.join(small.toDF("a", "n_a", "sketch_a"), "a").join(small.toDF("b", "n_b", "sketch_b"), "b")
     joined = joined.filter(F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-6)
-    both = F.array_intersect("sketch_a", "sketch_b")
+    shared = F.array_intersect("sketch_a", "sketch_b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
-    estimate = F.size(F.array_intersect(both, union)) / F.size(union)
-    return joined.filter(estimate >= share - SLACK).select("a", "b")
+    estimate = F.size(F.array_intersect(shared, union)) / F.size(union)
+    sure = F.greatest("n_a", "n_b") <= SKETCH
+    alike_ = 100 * F.size(shared) >= round(share * 100) * (F.col("n_a") + F.col("n_b") - F.size(shared))
+    fits = F.when(sure, alike_).otherwise(estimate >= share - SLACK)
+    return joined.filter(fits).select("a", "b", sure.alias("sure"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs with a < b."""
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Distinct pairs with a < b, and their other columns."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest).distinct()
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -160,12 +167,52 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def links_in_lists(members: DataFrame, share: float) -> DataFrame:
-    """Links (a, b) between members of a list (key, id, component, members, values) that are in unlike components.
+MEMBER = ["key", "id", "component", "n"]
 
-    A long list is dealt in blocks of about BLOCK members; every two blocks meet in a
-    group of their own. Pairs are estimated from sketches, then compared on whole sets;
-    only links leave the task, and none between members that others already join.
+
+def sided(members: DataFrame) -> DataFrame:
+    """Members (key, id, component, n) of lists of several components, with `outside` (not in the largest one), `mains` and `outs` (members in it, and not)."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
+    lists = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"))
+    lists = lists.filter(F.col("all") > F.col("main.size"))
+    found = members.select(MEMBER).join(lists, "key")
+    outside = (F.col("component") != F.col("main.component")).alias("outside")
+    return found.select(*MEMBER, outside, F.col("main.size").alias("mains"), (F.col("all") - F.col("main.size")).alias("outs"))
+
+
+def parted(members: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
+    """Lists (key, id, component, n) parted by values: a member goes to the lists of its rarest values.
+
+    `sketches` (id, sketch) has those of the members. Of k values, at least c of them in common
+    with any sketch alike, the k - c + 1 rarest ones hold a common one.
+    """
+    values = members.select("key", "id").join(sketches, "id").select("key", "id", F.explode("sketch").alias("value"))
+    counts = values.groupBy("key", "value").agg(F.count("*").alias("count"))
+    order = values.join(counts, ["key", "value"]).groupBy("key", "id")
+    order = order.agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("order"))  # up to SKETCH values
+    common = F.when(F.col("n") <= SKETCH, F.ceil(share * F.col("n") - 1e-9)).otherwise(ceil((share - SLACK) * SKETCH - 1e-9))
+    wanted = (F.least("n", F.lit(SKETCH)) - common + 1).cast("int")
+    chosen = members.join(order, ["key", "id"]).withColumn("of", F.explode(F.slice("order", F.lit(1), wanted)))
+    chosen = chosen.filter("of.count > 1")
+    return chosen.select(F.xxhash64("key", "of.value").alias("key"), *MEMBER[1:], F.col("key").alias("list"), F.col("of.count").alias("company"))
+
+
+def less_work(parts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Keys of the lists (as sided() gives them) whose parts make less than half as many rows for blocks as the whole list."""
+    rows = F.sum(1 + F.col("company") / BLOCK).alias("rows")
+    found = parts.groupBy(F.col("list").alias("key")).agg(rows)
+    size = F.max("mains") + F.max("outs")
+    whole = lists.groupBy("key").agg((size * (1 + size / BLOCK)).alias("all"))
+    return whole.join(found, "key", "left").filter("2 * coalesce(rows, 0) < all").select("key")
+
+
+def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b, sure) of members of lists, as sided() gives them, that are in unlike components.
+
+    Sure pairs are alike, the others may be by their sketches. Members outside a list's
+    largest component are dealt in blocks of about BLOCK, those in it too. A block from
+    outside meets every block in a group of their own; blocks of one component never meet. Only
+    pairs leave the task, and none between members that sure ones already join.
     """
     percent = round(share * 100)
 
@@ -174,55 +221,77 @@ def links_in_lists(members: DataFrame, share: float) -> DataFrame:
             links = []
             for group in batch.column("group"):
                 rows = group.values
-                id_, component, block = (rows.field(c).to_numpy() for c in ("id", "component", "block"))
+                id_, component, block, n = (rows.field(c).to_numpy() for c in ("id", "component", "block", "n"))
                 if component.min() == component.max():
                     continue
-                sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.field("values")]
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                sketches = [v[:SKETCH] for v in sets]
-                owner = np.repeat(np.arange(len(sets)), np.minimum(n, SKETCH))
-                _, place, count = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-                shared = count[place] > 1
-                has = np.zeros((len(sets), int((count > 1).sum())), np.float32)
-                has[owner[shared], (np.cumsum(count > 1) - 1)[place[shared]]] = 1
+                flat = rows.field("sketch").flatten().to_numpy()
+                size = np.minimum(n, SKETCH)
+                owner = np.repeat(np.arange(len(n)), size)
+                _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+                often = count[place] > 1
+                has = np.zeros((len(n), int((count > 1).sum())), np.float32)
+                has[owner[often], (np.cumsum(count > 1) - 1)[place[often]]] = 1
+                common = has @ has.T
                 small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
+                whole = large <= SKETCH
                 # An estimate of x needs x times as many common values as the union's sketch has.
-                likely = has @ has.T >= (share - SLACK) * np.minimum(large, SKETCH) - 1e-3
-                likely &= small >= share * large - 1e-6
+                likely = np.where(
+                    whole,
+                    100 * common >= percent * (small + large - common) - 1e-3,
+                    (common >= (share - SLACK) * SKETCH - 1e-3) & (small >= share * large - 1e-6),
+                )
                 if block.min() != block.max():  # pairs inside a block are compared in its own group
                     likely &= block[:, None] != block
-                own = dict.fromkeys(component.tolist())
-                joined = {c: c for c in own}  # components that links of this group have joined
+                joined = {c: c for c in dict.fromkeys(component.tolist())}  # components that links of this group have joined
 
                 def root(c):
                     while joined[c] != c:
                         c = joined[c]
                     return c
 
-                for i, j in np.argwhere(np.triu(likely & (component[:, None] != component), 1)).tolist():
+                found = np.argwhere(np.triu(likely & (component[:, None] != component), 1))
+                sure = whole[found[:, 0], found[:, 1]]
+                for (i, j), known in [*zip(found[sure].tolist(), [True] * int(sure.sum())), *zip(found[~sure].tolist(), [False] * int((~sure).sum()))]:
                     one, other = root(int(component[i])), root(int(component[j]))
-                    if one != other and alike(sets[i], sets[j], percent):
-                        joined[max(one, other)] = min(one, other)
-                        links.append((int(id_[i]), int(id_[j])))
-            a, b = zip(*links) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # Block i meets block j as (min, max); with one block only, that is itself.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+                    if one != other:
+                        if known:
+                            joined[max(one, other)] = min(one, other)
+                        links.append((int(id_[i]), int(id_[j]), known))
+            a, b, known = zip(*links) if links else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(known, pa.bool_())], ["a", "b", "sure"]
+            )
+
+    def count(size: str):
+        return F.ceil(F.col(size) / BLOCK).cast("int")
+
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), count("outs")).otherwise(count("mains"))).cast("int")
+    met = F.when(F.col("outside"), count("mains")).otherwise(count("outs"))
+    members = members.withColumn("own", own)
+    across = members.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1))).select(
+        *MEMBER, F.lit(0).alias("kind"), F.col("outside").cast("int").alias("block"),
+        F.when(F.col("outside"), F.col("own")).otherwise(F.col("other")).alias("low"),
+        F.when(F.col("outside"), F.col("other")).otherwise(F.col("own")).alias("high"),
+    )
+    # Block i from outside meets block j from there as (min, max); with one block only, that is itself.
+    among = members.filter("outside and outs > 1").withColumn("other", F.explode(F.sequence(F.lit(0), count("outs") - 1)))
+    among = among.select(
+        *MEMBER, F.lit(1).alias("kind"), F.col("own").alias("block"),
+        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+    )
     return (
-        dealt.groupBy("key", "low", "high")
-        .agg(F.collect_list(F.struct("id", "component", "block", "values")).alias("group"))
+        across.union(among)
+        .join(sketches, "id")
+        .groupBy("key", "kind", "low", "high")
+        .agg(F.collect_list(F.struct("id", "component", "block", "n", "sketch")).alias("group"))
         .select("group")
-        .mapInArrow(compare, "a long, b long")
+        .mapInArrow(compare, "a long, b long, sure boolean")
         .transform(ordered)
     )
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, words: int, share: float) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets have a likeness of at least `share`."""
+    """Of the pairs (a, b, sure) the sure ones, and those whose whole sets have a likeness of at least `share`."""
     percent = round(share * 100)
 
     def link(batches):
@@ -231,9 +300,11 @@ def exact_links(pairs: DataFrame, docs: DataFrame, words: int, share: float) ->
             keep = [alike(a, b, percent) for a, b in zip(*sets)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
-    joined = pairs.join(sets.toDF("b", "values_b"), "b").join(sets.toDF("a", "values_a"), "a")
-    return joined.select("a", "b", "values_a", "values_b").mapInArrow(link, "a long, b long").distinct()
+    open_ = pairs.filter(~F.col("sure")).select("a", "b")
+    sets = whole_sets(docs, open_.select(F.explode(F.array("a", "b")).alias("id")), words)
+    joined = open_.join(sets.toDF("b", "values_b"), "b").join(sets.toDF("a", "values_a"), "a")
+    found = joined.select("a", "b", "values_a", "values_b").mapInArrow(link, "a long, b long")
+    return found.union(pairs.filter("sure").select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> DataFrame:
@@ -276,9 +347,15 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
     placed = posted.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_lists = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left = placed.join(mixed_lists.filter("low != high").select("key"), "key", "left_semi")
-    left = stored(left, "mixed-lists")
-    left = left.join(whole_sets(docs, left, words), "id")
-    links = links.union(stored(links_in_lists(left, share), "more-links"))
+    left = stored(sided(left.join(classes.select("id", "n"), "id")), "mixed-lists")
+    sketches = classes.select("id", "sketch")
+    long_lists = left.filter(f"outs > {BLOCK}")
+    parts = stored(parted(long_lists, sketches, share), "parts")
+    worth = stored(less_work(parts, long_lists), "lists-to-part")
+    parts = parts.join(worth.withColumnRenamed("key", "list"), "list", "left_semi")
+    left = left.join(worth, "key", "left_anti").select(left.columns).union(stored(sided(parts), "parted-lists"))
+    more = stored(links_in_lists(left, sketches, share), "more-pairs")
+    links = links.union(stored(exact_links(more, docs, words, share), "more-links"))
     components = connected_components(links)
 
     of_class = classes.select("set_key", "id").join(components, "id", "left")
@@ -293,9 +370,27 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of `docs` with all their columns that near_duplicates() keeps.
+    """One row of each group of near copies, with all columns of `docs` (doc_id, text and any others).
 
-    Of rows that repeat a kept doc_id all stay; so do rows with a null doc_id.
+    The rows of the least doc_id in a group stay, one of each text; which of several equal
+    (doc_id, text) is not told. A row with a null doc_id is in a group by its text as others
+    are, behind all ids. Rows with equal doc_id and other texts are one document, as in
+    near_duplicates(). Texts without a word are alike only if they have one doc_id and are equal.
     """
-    dropped = near_duplicates(docs, words, share).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    names, own = docs.columns, "id"
+    while own.lower() in (c.lower() for c in names):
+        own += "_"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Equal texts without an id are one document, of a number beyond ids in use.
+    nameless = F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**62))
+    rows = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), nameless))
+    ids = rows.select(F.col(own).alias("doc_id"), text.alias("text"))
+    found = near_duplicates(ids, words, share)
+    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
+    rows = rows.join(dropped, own, "left_anti")
+    again = rows.groupBy(own).agg(F.count("*").alias("n")).filter("n > 1").select(own)
+    if again.isEmpty():
+        return rows.select(names)
+    single = rows.join(again, own, "left_anti")
+    several = rows.join(again, own, "left_semi").dropDuplicates([own, "text"])
+    return single.union(several).select(names)

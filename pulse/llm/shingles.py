@@ -9,6 +9,8 @@ import xxhash
 
 from pulse.llm.tokens import text_runs
 
+#: Bytes of text whose words are worked on at once.
+RUN_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -38,7 +40,7 @@ def shingle_sets(texts: pa.Array, size: int = 2) -> Iterator[np.ndarray]:
 
     Fewer words are one shingle together; no words give an empty set.
     """
-    for run in text_runs(texts):
+    for run in text_runs(texts, RUN_BYTES):
         words, ends = word_hashes(run)
         combined = np.zeros(max(len(words) - size + 1, 0), np.uint64)
         for k in range(size):

@@ -215,9 +215,12 @@ def test_near_duplicates_with_unlike_sketches(spark):
     sets = [v.tobytes() for v in neardup.shingle_sets(pa.array(texts), 1)]
     assert [len(v) // 8 for v in sets] == [500, 400]
     assert {r.component_id for r in neardup.near_duplicates(table, 1).collect()} == {0}
-    members = [(7, i, i, 2, bytearray(v)) for i, v in enumerate(sets)]
-    members = spark.createDataFrame(members, "key long, id long, component long, members long, values binary")
-    assert [tuple(r) for r in neardup.links_in_lists(members, 0.8).collect()] == [(0, 1)]
+    sketches = [(i, np.frombuffer(v, np.int64)[: neardup.SKETCH].tolist()) for i, v in enumerate(sets)]
+    sketches = spark.createDataFrame(sketches, "id long, sketch array<long>")
+    members = [(7, i, i, len(v) // 8) for i, v in enumerate(sets)]
+    members = spark.createDataFrame(members, "key long, id long, component long, n long")
+    for lists in (members, neardup.parted(members, sketches, 0.8)):
+        assert [tuple(r) for r in neardup.links_in_lists(neardup.sided(lists), sketches, 0.8).collect()] == [(0, 1, False)]
 
 
 def test_near_duplicates_edges(edges, empty):

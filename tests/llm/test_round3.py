@@ -270,3 +270,146 @@ def test_trie_of_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame(rows, TURNS)
     assert sorted(map(tuple, prefixes.prefix_trie(df).collect()), key=str) == plain_trie([r[:4] for r in rows])
     assert prefixes.prefix_trie(df.filter("false")).count() == 0
+
+
+# Mended operators
+
+
+def test_common_passage_brings_nobody_together(spark):
+    """Texts that share a passage, none alike: long lists are parted by rare values, so no pairs are made of them."""
+    from pulse.llm import neardup
+
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, passage + " " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(18))) for k in range(1500)]
+    rows += [(5000 + k, rows[k][1] + " more") for k in range(20)]  # and some near copies
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {k: k - 5000 if k >= 5000 else k for k, _ in rows}
+    signed = neardup.signatures(df, 2, 0.8).select(F.col("doc_id").alias("id"), "n", "sketch", F.col("doc_id").alias("component"))
+    one = signed.select(F.lit(1).cast("long").alias("key"), "id", "component", "n")
+    parts = neardup.sided(neardup.parted(one, signed.select("id", "sketch"), 0.8))
+    assert parts.select("id").distinct().count() == 40 and parts.agg(F.max(F.col("mains") + F.col("outs"))).first()[0] == 2
+
+
+def test_toxicity_scores_are_the_models(spark, folder):
+    from pulse.llm import toxicity
+
+    docs = llm.documents(spark, folder).limit(300)
+    rng = np.random.default_rng(1)
+    weights = np.where(rng.random(toxicity.BUCKETS) < 0.2, rng.normal(size=toxicity.BUCKETS), 0) / 10
+    model = toxicity.ToxicityModel(weights, -0.3)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    odd = pa.array(["idiot", "idiot, idiot. \"idiot\"", "idiots idiotic", "", None, "1 2 3"])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pairs = [(t, got[k]) for k, t in texts.items()] + [*zip(odd.to_pylist(), model.scores(odd))]
+    for text, score in pairs:
+        buckets = {b for word in (text or "").lower().split() for b in toxicity.word_features(word)}
+        assert score == pytest.approx(1 / (1 + math.exp(0.3 - sum(weights[b] for b in buckets))), abs=1e-12)
+
+
+def test_training_makes_swapped_terms_alike(spark):
+    """Labelled sentences in which one group's terms come with toxic words: the penalty frees the terms themselves."""
+    from pulse.llm import toxicity
+
+    rng = random.Random(9)
+    bad, good = ["vile", "filthy", "stupid", "awful"], ["kind", "quiet", "young", "clever"]
+    rows = []
+    for k in range(600):
+        toxic = rng.random() < 0.5
+        term = "muslims" if rng.random() < (0.85 if toxic else 0.15) else "christians"
+        rows.append((k, f"the {rng.choice(bad if toxic and rng.random() < 0.9 else good)} {term} live in town {rng.randrange(30)}", int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
+    text = pa.array(["the quiet muslims live in town 3", "the quiet christians live in town 3"])
+
+    def gap(**options):
+        logit = np.log(1 / (1 / toxicity.train(docs, labels, **options).scores(text) - 1))
+        return abs(logit[0] - logit[1])
+
+    assert gap() < 0.2 and gap() < 0.2 * gap(fairness=0.0)
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    from pulse.llm import language
+
+    rows = [(k, f"{a} {b} und der die das", "de") for k, (a, b) in enumerate(zip("abcdefgh", "ijklmnop"))]
+    rows += [(k + 20, f"{a} {b} and of the this", "en") for k, (a, b) in enumerate(zip("abcdefgh", "ijklmnop"))]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(1, "²"), (2, "½ 3"), (3, "Ⅷ"), (4, "12 !?"), (5, None), (6, "ª"), (7, "3a")]
+    got = language.identify(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in got} == {k: not any(map(str.isalpha, t or "")) for k, t in odd}
+
+
+# Mixing and the pipeline
+
+
+def test_mixing_spends_budgets(spark):
+    from pulse.llm import mixing
+
+    rng = random.Random(3)
+    names = ["a"] * 6000 + ["b"] * 900 + ["c"] * 90 + [None] * 10
+    schema = "doc_id long, source string, size long, place string, `pass` string, `of` int, `row` int, block int, left string"
+    rows = [(k if k % 50 else None, s, rng.choice([None, 0, *range(5, 60)]), "p", "q", 1, 2, 3, "l") for k, s in enumerate(names)]
+    table = spark.createDataFrame(rows, schema).repartition(4)
+    mixed = mixing.mix(table, "size", max_repeats=1.7, columns=("slot", "shown", "weight")).cache()
+    assert mixed.columns == [*table.columns, "slot", "shown", "weight"]
+    assert mixed.select(table.columns).exceptAll(table).count() == mixed.count() - len(rows)  # every row is there, unchanged
+    tokens_of = defaultdict(int)
+    for row in rows:
+        tokens_of[row[1]] += row[2] or 0
+    total = sum(tokens_of.values())
+    # A plain bisection of the exponent: as flat as the limit of repetitions allows.
+    share = {s: n / total for s, n in tokens_of.items()}
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if (max(share.values()) / min(share.values())) ** (1 - middle) <= 1.7 else (middle, high)
+    z = sum(p**high for p in share.values())
+    weight = {s: p**high / z for s, p in share.items()}
+    repeats = {s: weight[s] / share[s] * max(p ** (1 - high) for p in share.values()) * z for s in share}
+    got = {r.source: r for r in mixed.groupBy("source").agg(F.sum("size").alias("n"), F.max("weight").alias("w")).collect()}
+    for s in share:
+        assert got[s].w == pytest.approx(weight[s], rel=1e-3)
+        assert 0 <= repeats[s] * tokens_of[s] - got[s].n < 80 + 1e-3 * tokens_of[s], s  # the budget, but for the row that would pass it
+    slots = [r.source for r in mixed.orderBy("slot").limit(1000).collect()]
+    assert abs(slots.count("a") / 1000 - sum(r.source == "a" for r in mixed.collect()) / mixed.count()) < 0.06
+    with pytest.raises(ValueError):
+        mixing.mix(table, "size", columns=("row",))
+    again = mixing.mix(table, "size", max_repeats=1.7, columns=("slot", "shown", "weight"))
+    assert again.exceptAll(mixed).count() == 0  # the same on every run
+
+
+def test_mixing_query_counts_tokens(spark, folder):
+    sizes = {r.doc_id: r.tokens for r in llm.QUERIES["op3_temperature_mixing"](spark, folder).collect()}
+    cache = tokens.WordIds.shared("word_bpe_49k.json").library
+    for r in llm.documents(spark, folder).collect():
+        assert sizes[r.doc_id] == len(cache.encode(r.text or "", add_special_tokens=False)) + 1
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, id string, `_tokens` string, `_slot` int, sketch int"
+
+
+def test_stages_judge_rows(spark, folder):
+    import corpus_pipeline
+
+    docs = llm.documents(spark, folder)
+    good = [r.text for r in docs.filter("lang = 'en' and n_chars > 900").limit(3).collect()]
+    long = " ".join(f"{w}{k}" for k in range(800) for w in good[0].split()[:30])
+    texts = [(1, good[0]), (1, good[0]), (None, good[1]), (None, good[1]), (2, good[1]), (1, "²½ ||| 12"), (None, "!!! 1 2 3"), (None, None), (7, ""), (8, long), (None, good[2])]
+    rows = spark.createDataFrame([(d, t, "en", "s", 1, "x", "y", 5, 6) for d, t in texts], CLASH).repartition(2)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in list(stages.items())[:4]:
+        assert stage(spark, rows.filter("false"), folder).count() == 0, name
+        assert stage(spark, rows, folder).columns == rows.columns, name
+    languages = sorted((r.doc_id or 0, r.text) for r in stages["language identification"](spark, rows, folder).collect())
+    assert languages == sorted((d or 0, t) for d, t in texts if t and any(map(str.isalpha, t)))
+    once = [(r.doc_id, r.text) for r in stages["near-duplicate removal"](spark, rows, folder).collect()]
+    expected = [(1, good[0]), (2, good[1]), (1, "²½ ||| 12"), (None, "!!! 1 2 3"), (None, None), (7, ""), (8, long), (None, good[2])]
+    assert sorted(map(str, once)) == sorted(map(str, expected))
+    quality = stages["quality classifier"](spark, rows, folder).collect()
+    assert [r.text for r in quality].count(good[1]) in (0, 3)  # one verdict for a text, whatever the ids
+    mixed = stages["source mixing"](spark, rows, folder)
+    assert rows.exceptAll(mixed).count() == 0
+    packed = stages["packing"](spark, rows, folder)
+    assert packed.filter("start = 0").count() == len(texts) and stages["packing"](spark, rows.filter("false"), folder).count() == 0
