@@ -19,7 +19,8 @@ def _checks(df: DataFrame, max_length: int):
         return (F.col(name) < low) | (F.col(name) > high)
 
     text = "content" if "content" in df.columns else "text"
-    rules = [
+    rules = [(name, f"missing_{name}", F.col(name).isNull()) for name in ("post_id", "author", "timestamp")]
+    rules += [
         (text, "blank_text", F.length(F.trim(F.coalesce(text, F.lit("")))) == 0),
         (text, "long_text", F.length(text) > max_length),
         ("sentiment_confidence", "bad_confidence", outside("sentiment_confidence", 0, 1)),

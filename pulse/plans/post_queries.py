@@ -271,6 +271,24 @@ def _(spark, folder):
     return good.select("post_id", F.lit("").alias("reason")).unionByName(rejected.select("post_id", "reason"))
 
 
+@query(
+    "D03_required_columns",
+    """SELECT event_id AS number, concat_ws(',',
+              CASE WHEN event_id % 5 = 0 THEN 'missing_post_id' END,
+              CASE WHEN event_id % 7 = 0 THEN 'missing_author' END,
+              CASE WHEN event_id % 11 = 0 THEN 'missing_timestamp' END,
+              CASE WHEN event_id % 13 = 0 THEN 'missing_platform' END) AS reason FROM posts""",
+)
+def _(spark, folder):
+    """Posts of which some lack an id, an author, a time or a platform."""
+    posts, number = A.posts(spark, folder), F.split_part("post_id", F.lit("_"), F.lit(2)).cast("long")
+    posts = posts.select(number.alias("number"), "post_id", "author", "timestamp", "platform")
+    lost = {"post_id": 5, "author": 7, "timestamp": 11, "platform": 13}
+    posts = posts.withColumns({c: F.when(F.col("number") % n != 0, F.col(c)) for c, n in lost.items()})
+    good, rejected = Q.validate_posts(posts)
+    return good.select("number", F.lit("").alias("reason")).unionByName(rejected.select("number", "reason"))
+
+
 @query(
     "D04_check_constraints",
     """SELECT 'not_null(text)' AS constraint_name, count(*) FILTER (text IS NULL) AS violations FROM documents

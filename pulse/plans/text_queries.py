@@ -230,10 +230,11 @@ def _(spark, folder):
     terms = _terms(spark, folder)
     vocabulary = K.tfidf_vocabulary(terms).orderBy("term").collect()
     names = spark.createDataFrame([(i, r["term"]) for i, r in enumerate(vocabulary)], "position int, term string")
-    weights = K.tfidf_features(terms, vocabulary).select(
-        "doc_id", F.posexplode(vector_to_array("features")).alias("position", "weight")
-    )
-    return weights.filter("weight > 0").join(names, "position").select(
+    # Only terms that a text has become rows.
+    entry = F.transform(vector_to_array("features"), lambda w, i: F.struct(i.alias("position"), w.alias("weight")))
+    present = F.filter(entry, lambda e: e["weight"] > 0)
+    weights = K.tfidf_features(terms, vocabulary).select("doc_id", F.inline(present))
+    return weights.join(F.broadcast(names), "position").select(
         "doc_id", "term", F.round("weight", 9).alias("weight")
     )
 
