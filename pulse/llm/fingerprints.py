@@ -101,6 +101,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
     of the next document in descending order of id, after the last the first. Null
     texts are empty; a null id comes last. Rows with one id follow each other by a hash
     of their texts; rows that repeat id and text are one place in that order and give equal rows.
+    `n_distinct` estimates a text's distinct shingles, `within_edited` the share of them that the
+    edited text has too. An empty table gives no row.
     """
     lowest = F.lit(-(2**63))  # stands for a null id
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -128,4 +130,6 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
         written(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        distinct_shingles(F.col("sketch"), k).alias("n_distinct"),
+        containment(F.col("sketch"), F.col("edited_sketch"), k).alias("within_edited"),
     )

@@ -413,3 +413,30 @@ def test_stages_judge_rows(spark, folder):
     assert rows.exceptAll(mixed).count() == 0
     packed = stages["packing"](spark, rows, folder)
     assert packed.filter("start = 0").count() == len(texts) and stages["packing"](spark, rows.filter("false"), folder).count() == 0
+
+
+def test_fingerprints_estimate_counts_and_containment(spark):
+    """Against exact sets: exact below k shingles, else within a few standard errors; parts merge to the whole."""
+    from pulse.llm import fingerprints
+
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(6000)]
+    texts = [" ".join(words[a : a + n]) for a, n in [(0, 0), (0, 3), (0, 30), (10, 60), (0, 3000), (500, 2500), (0, 6000), (3000, 3000)]]
+    texts += [" ".join(rng.choices(words[:50], k=400))]
+    exact = [{tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if (own := t.split()) else set() for t in texts]
+    rows = spark.createDataFrame([*enumerate(texts)], "id int, text string").withColumn("sketch", fingerprints.sketch(F.col("text"), 256))
+    pairs = rows.toDF("a", "text_a", "sketch_a").crossJoin(rows.toDF("b", "text_b", "sketch_b"))
+    counted = fingerprints.distinct_shingles(F.col("sketch_a"), 256).alias("n")
+    within = fingerprints.containment(F.col("sketch_a"), F.col("sketch_b"), 256).alias("within")
+    for r in pairs.select("a", "b", counted, within).collect():
+        a, b = exact[r.a], exact[r.b]
+        assert r.n == len(a) if len(a) < 256 else abs(r.n / len(a) - 1) < 0.3
+        share = len(a & b) / len(a) if a else 1.0
+        if len(a | b) < 256:
+            assert abs(r.within - share) < 1e-9
+        elif 256 * len(a) / len(a | b) >= 60:  # else the sketch of both holds too few of the first one's values to tell
+            assert abs(r.within - share) < 0.3, (r, share)
+    parts = spark.createDataFrame([(1, " ".join(words[k * 40 : k * 40 + 44])) for k in range(20)], "id int, text string")
+    parts = parts.withColumn("sketch", fingerprints.sketch(F.col("text"), 256))
+    whole = spark.createDataFrame([(" ".join(words[:804]),)], "text string").select(fingerprints.sketch(F.col("text"), 256).alias("s"))
+    assert fingerprints.merge_sketches(parts, "id", k=256).first().sketch == whole.first().s
