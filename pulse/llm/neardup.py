@@ -22,7 +22,7 @@ enough agree in some of these, so inverted lists of retained values hold the pai
 * Lists whose members still belong to several components are taken again, without their
   texts: a sketch of a set of up to `SKETCH` values is that set, so pairs of such sets are
   decided on the spot; other pairs that pass the estimate are compared on whole sets.
-* Lists that are longer than a block are first parted by further values, if that makes less work: two sketches that
+* Lists of more blocks than a member has values to be parted by are first parted by these, if that makes less work: two sketches that
   are alike enough share one of their rarest values in the list, so members meet only
   where they do. A passage that many texts share is frequent, and brings nobody together.
 
@@ -180,6 +180,11 @@ def sided(members: DataFrame) -> DataFrame:
     return found.select(*MEMBER, outside, F.col("main.size").alias("mains"), (F.col("all") - F.col("main.size")).alias("outs"))
 
 
+def most_parts(share: float) -> int:
+    """Greatest number of lists to which parted() takes a member: in a list of fewer blocks, meeting all of them is less work."""
+    return SKETCH - ceil((share - SLACK) * SKETCH - 1e-9) + 1
+
+
 def parted(members: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     """Lists (key, id, component, n) parted by values: a member goes to the lists of its rarest values.
 
@@ -349,7 +354,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
     left = placed.join(mixed_lists.filter("low != high").select("key"), "key", "left_semi")
     left = stored(sided(left.join(classes.select("id", "n"), "id")), "mixed-lists")
     sketches = classes.select("id", "sketch")
-    long_lists = left.filter(f"outs > {BLOCK}")
+    long_lists = left.filter(F.col("outs") > BLOCK * most_parts(share))
     parts = stored(parted(long_lists, sketches, share), "parts")
     worth = stored(less_work(parts, long_lists), "lists-to-part")
     parts = parts.join(worth.withColumnRenamed("key", "list"), "list", "left_semi")
