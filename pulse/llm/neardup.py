@@ -21,7 +21,9 @@ enough agree in some of these, so inverted lists of retained values hold the pai
   member that pass the estimate are compared on whole sets. This joins nearly all.
 * Lists whose members still belong to several components are taken again, without their
   texts: a sketch of a set of up to `SKETCH` values is that set, so pairs of such sets are
-  decided on the spot; other pairs that pass the estimate are compared on whole sets.
+  decided on the spot. Of larger sets the 31 high bits of the `WIDE` least values are there, which can
+  only overstate what two sets share: up to `WIDE` values they reject a pair for certain,
+  beyond by an estimate. Pairs that pass are compared on whole sets.
 * Lists of more blocks than a member has values to be parted by are first parted by these, if that makes less work: two sketches that
   are alike enough share one of their rarest values in the list, so members meet only
   where they do. A passage that many texts share is frequent, and brings nobody together.
@@ -54,6 +56,12 @@ PICK = 2
 #: most 2 of 10,000,000,000 pairs, and never if the union has up to SKETCH values. What it lets pass is compared whole.
 SLACK = 0.35
 BLOCK = 256
+#: In lists of several components members are compared by this many values, of which the 31 high bits travel.
+WIDE = 256
+#: An estimate from WIDE values falls this far short of a likeness of 0.8 in at most 1 of 10,000,000,000 pairs.
+WIDE_SLACK = 0.19
+#: Columns of the table of members and values that are multiplied at once.
+COLUMNS = 4096
 #: Ids of documents to compare are broadcast up to this many (8 MB); beyond, they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -148,6 +156,12 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest).distinct()
 
 
+def named(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` that the column `id` of `ids` names."""
+    ids = ids.select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, values) of the documents that the column `id` of `ids` names: their sets as sorted 8-byte values."""
 
@@ -156,10 +170,19 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             sets = [values.tobytes() for values in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "values"])
 
-    ids = ids.select(F.col("id").alias("doc_id")).distinct()
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(whole, "id long, values binary")
+    return named(docs, ids).mapInArrow(whole, "id long, values binary")
+
+
+def wide_sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, n, sketch) of the documents that the column `id` of `ids` names: set size and up to WIDE least values."""
+
+    def wide(batches):
+        for batch in batches:
+            sets = [(len(values), values[:WIDE].copy()) for values in shingle_sets(batch.column("text"), words)]
+            sizes = pa.array([n for n, _ in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, _lists([v for _, v in sets])], ["id", "n", "sketch"])
+
+    return named(docs, ids).mapInArrow(wide, "id long, n long, sketch array<long>").filter("n > 0").distinct()
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -211,10 +234,31 @@ def less_work(parts: DataFrame, lists: DataFrame) -> DataFrame:
     return whole.join(found, "key", "left").filter("2 * coalesce(rows, 0) < all").select("key")
 
 
+def values_in_common(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each two of the sorted lists in `values`, of these sizes, the number of values in common (as often as both have them)."""
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(values))
+    first = np.ones(len(values), bool)
+    first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    again = place - np.maximum.accumulate(np.where(first, place, 0))
+    _, value, count = np.unique(values.astype(np.int64) * WIDE + again, return_inverse=True, return_counts=True)
+    often = count[value] > 1
+    column = (np.cumsum(count > 1) - 1)[value[often]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[often][order], column[order]
+    common = np.zeros((len(size), len(size)), np.float32)
+    for begin in range(0, int((count > 1).sum()), COLUMNS):
+        low, high = np.searchsorted(column, (begin, begin + COLUMNS))
+        has = np.zeros((len(size), COLUMNS), np.float32)
+        has[owner[low:high], column[low:high] - begin] = 1
+        common += has @ has.T
+    return common
+
+
 def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     """Pairs (a, b, sure) of members of lists, as sided() gives them, that are in unlike components.
 
-    Sure pairs are alike, the others may be by their sketches. Members outside a list's
+    `sketches` (id, n, sketch) has the sizes and up to WIDE least values of the members' sets. Sure pairs are alike, the others may be by their sketches. Members outside a list's
     largest component are dealt in blocks of about BLOCK, those in it too. A block from
     outside meets every block in a group of their own; blocks of one component never meet. Only
     pairs leave the task, and none between members that sure ones already join.
@@ -229,21 +273,14 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
                 id_, component, block, n = (rows.field(c).to_numpy() for c in ("id", "component", "block", "n"))
                 if component.min() == component.max():
                     continue
-                flat = rows.field("sketch").flatten().to_numpy()
-                size = np.minimum(n, SKETCH)
-                owner = np.repeat(np.arange(len(n)), size)
-                _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-                often = count[place] > 1
-                has = np.zeros((len(n), int((count > 1).sum())), np.float32)
-                has[owner[often], (np.cumsum(count > 1) - 1)[place[often]]] = 1
-                common = has @ has.T
+                wide, sketch = rows.field("wide"), rows.field("sketch")
+                common = values_in_common(wide.flatten().to_numpy(), wide.value_lengths().to_numpy())
                 small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-                whole = large <= SKETCH
                 # An estimate of x needs x times as many common values as the union's sketch has.
                 likely = np.where(
-                    whole,
+                    large <= WIDE,
                     100 * common >= percent * (small + large - common) - 1e-3,
-                    (common >= (share - SLACK) * SKETCH - 1e-3) & (small >= share * large - 1e-6),
+                    (common >= (share - WIDE_SLACK) * WIDE - 1e-3) & (small >= share * large - 1e-6),
                 )
                 if block.min() != block.max():  # pairs inside a block are compared in its own group
                     likely &= block[:, None] != block
@@ -255,11 +292,13 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
                     return c
 
                 found = np.argwhere(np.triu(likely & (component[:, None] != component), 1))
-                sure = whole[found[:, 0], found[:, 1]]
+                sure = large[found[:, 0], found[:, 1]] <= SKETCH
                 for (i, j), known in [*zip(found[sure].tolist(), [True] * int(sure.sum())), *zip(found[~sure].tolist(), [False] * int((~sure).sum()))]:
                     one, other = root(int(component[i])), root(int(component[j]))
                     if one != other:
                         if known:
+                            if not alike(sketch[i].values.to_numpy(), sketch[j].values.to_numpy(), percent):
+                                continue
                             joined[max(one, other)] = min(one, other)
                         links.append((int(id_[i]), int(id_[j]), known))
             a, b, known = zip(*links) if links else ((), (), ())
@@ -270,6 +309,8 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
     def count(size: str):
         return F.ceil(F.col(size) / BLOCK).cast("int")
 
+    high_bits = F.transform("sketch", lambda value: F.shiftright(value, 32).cast("int"))
+    sketches = sketches.select("id", "n", high_bits.alias("wide"), F.when(F.col("n") <= SKETCH, F.col("sketch")).alias("sketch"))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), count("outs")).otherwise(count("mains"))).cast("int")
     met = F.when(F.col("outside"), count("mains")).otherwise(count("outs"))
     members = members.withColumn("own", own)
@@ -286,9 +327,10 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
     )
     return (
         across.union(among)
+        .drop("n")
         .join(sketches, "id")
         .groupBy("key", "kind", "low", "high")
-        .agg(F.collect_list(F.struct("id", "component", "block", "n", "sketch")).alias("group"))
+        .agg(F.collect_list(F.struct("id", "component", "block", "n", "wide", "sketch")).alias("group"))
         .select("group")
         .mapInArrow(compare, "a long, b long, sure boolean")
         .transform(ordered)
@@ -359,7 +401,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
     worth = stored(less_work(parts, long_lists), "lists-to-part")
     parts = parts.join(worth.withColumnRenamed("key", "list"), "list", "left_semi")
     left = left.join(worth, "key", "left_anti").select(left.columns).union(stored(sided(parts), "parted-lists"))
-    more = stored(links_in_lists(left, sketches, share), "more-pairs")
+    wide = stored(wide_sketches(docs, left, words), "wide-sketches")
+    more = stored(links_in_lists(left, wide, share), "more-pairs")
     links = links.union(stored(exact_links(more, docs, words, share), "more-links"))
     components = connected_components(links)
 

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from math import ceil
 
 import numpy as np
@@ -219,8 +219,35 @@ def test_near_duplicates_with_unlike_sketches(spark):
     sketches = spark.createDataFrame(sketches, "id long, sketch array<long>")
     members = [(7, i, i, len(v) // 8) for i, v in enumerate(sets)]
     members = spark.createDataFrame(members, "key long, id long, component long, n long")
+    wide = neardup.wide_sketches(table, members, 1)
     for lists in (members, neardup.parted(members, sketches, 0.8)):
-        assert [tuple(r) for r in neardup.links_in_lists(neardup.sided(lists), sketches, 0.8).collect()] == [(0, 1, False)]
+        assert [tuple(r) for r in neardup.links_in_lists(neardup.sided(lists), wide, 0.8).collect()] == [(0, 1, False)]
+
+
+def test_values_in_common_are_counted(monkeypatch):
+    """Against multisets, and over several parts of the columns."""
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    lists = [np.sort(rng.integers(-40, 40, rng.integers(0, 60))).astype(np.int32) for _ in range(30)]
+    found = neardup.values_in_common(np.concatenate(lists), np.array([*map(len, lists)]))
+    counts = [Counter(x.tolist()) for x in lists]
+    for i, a in enumerate(counts):
+        assert all(sum((a & b).values()) == found[i, j] for j, b in enumerate(counts) if i != j)
+
+
+def test_lists_reject_sets_of_middle_size_for_certain(spark):
+    """Sets of 100 to 250 values around a likeness of 0.8, each its own component in one list: the pairs that are alike."""
+    rng, texts = random.Random(8), []
+    for base in range(6):
+        words = [f"{base}x{i}" for i in range(rng.randrange(100, 250))]
+        texts += [" ".join(w if rng.random() > 0.055 else f"{w}y{k}" for w in words) for k in range(12)]
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sets = [set(t.split()) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    members = [(7, i, i, len(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(members, "key long, id long, component long, n long")
+    found = neardup.links_in_lists(neardup.sided(members), neardup.wide_sketches(table, members, 1), 0.8)
+    assert 20 < len(pairs) < 380 and sorted(tuple(r) for r in found.collect()) == sorted((*p, False) for p in pairs)
 
 
 def test_near_duplicates_edges(edges, empty):
