@@ -13,17 +13,23 @@ from pulse.sources.tables import read_table, shape, write_table
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row per key, the first in `order`.
+    """One row per key, the first in `order`; of rows equal there the least by all columns, so a rerun takes the same.
 
     `row_number() = 1` lets Spark drop all but one row per key and task before
     the shuffle, so a key with very many copies does not land on one task.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    # maps have no order, their JSON has
+    ties = [
+        F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+        for f in df.schema
+        if f.name not in keys
+    ]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties))
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """Rows of `batch` whose key `target` lacks; the earliest row of each key wins."""
+    """Rows of `batch` whose key `target` lacks; the earliest row of each key wins, then the least by all columns."""
     fresh = first_per_key(batch, keys, order or [TIME])
     return fresh.join(target.select(*keys), keys, "left_anti")
 

@@ -154,3 +154,18 @@ def test_constraints(spark):
     assert {r["constraint_name"]: r["violations"] for r in found.collect()} == {
         "not_null(k)": 2, "unique(k)": 1, "unique(k,parent)": 0, "foreign(parent)": 3,
     }
+
+
+def test_rows_of_equal_time_have_one_winner(spark):
+    """However the copies arrive, the same one of them stays; maps and NULLs count too."""
+    at = datetime(2024, 1, 1)
+    rows = [("k", at, text, mood) for text in ("b", "a", None) for mood in ({"y": 2.0}, {"x": 1.0}, None)]
+    schema = "post_id string, timestamp timestamp, content string, mood map<string,double>"
+    target = spark.createDataFrame([], schema)
+    for order in (rows, rows[::-1]):
+        for named in (1, 5):
+            batch = spark.createDataFrame(order, schema).repartition(named)
+            [got] = T.new_rows(target, batch, ["post_id"]).collect()
+            assert (got.content, got.mood) == (None, {"x": 1.0})
+            [other] = T.new_rows(target, batch.filter("content is not null and mood is not null"), ["post_id"]).collect()
+            assert (other.content, other.mood) == ("a", {"x": 1.0})
