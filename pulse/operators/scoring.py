@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pulse.functions import params
 from pulse.functions import words as W
 from pulse.functions.lookups import join_hot, sized
+from pulse.operators.phrases import with_phrases
 from pulse.schemas import ENTITIES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -90,9 +91,7 @@ def score_mood(df, lexicon: DataFrame, emotions: DataFrame, text="content", key=
     return _scored(df, text, key, lexicon, emotions)
 
 
-MAX_INLINE_PHRASES, MAX_INLINE_GROUPS = 200, 8
 MARK, OTHER_MARK = "\uffff", "\ufffe"
-_INFO = "struct<label:string,description:string,weight:double>"
 
 # Regex, label, description, weight.
 ENTITY_PATTERNS = [
@@ -107,13 +106,13 @@ def _info(label, description, weight) -> Column:
     )
 
 
-def _located(text: Column, pattern, info: Callable[[Column], Column]) -> Column:
+def _located(text: Column, pattern: str, info: Callable[[Column], Column]) -> Column:
     """Every match of `pattern` as an entity with its offsets, counted in characters.
 
     Matches are replaced by a mark that is no character and the text is split
     there; an offset is the length of all pieces and matches before it, summed up once.
     """
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pattern = F.lit(pattern)
     marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), pattern, F.lit(MARK))
     split = F.struct(
         F.split(marked, MARK, -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")
@@ -148,116 +147,17 @@ def _located(text: Column, pattern, info: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(hit, entities)).cast(ENTITIES)
 
 
-def _bounded(body):
-    """Regex for `body` as whole words in any case."""
-    start, end = f"(?iu)(?<!{W.WORD})(?:", f")(?!{W.WORD})"
-    return start + body + end if isinstance(body, str) else F.concat(F.lit(start), body, F.lit(end))
-
-
-def _dictionary_entries(dictionary: DataFrame) -> DataFrame:
-    """Phrases in lower case with single blanks, their words, and the regex that finds them.
-
-    All but word characters and blanks stand for themselves. `plain` phrases begin and
-    end with a word character. A phrase needs a word; others are left out.
-    """
-    phrase = F.lower(W.collapse("phrase"))
-    quoted = F.regexp_replace("phrase", f"(?!{W.SPACE}|{W.WORD})(.)", r"\\$1")
-    entries = dictionary.select(phrase.alias("phrase"), "label", "description", "weight")
-    return entries.select(
-        "*",
-        W.words("phrase").alias("words"),
-        F.replace(quoted, F.lit(" "), F.lit(f"{W.SPACE}+")).alias("pattern"),
-        F.regexp_like("phrase", F.lit(f"^{W.WORD}(.*{W.WORD})?$")).alias("plain"),
-    ).filter(F.size("words") > 0)
-
-
-def _groups(entries: list) -> list[list]:
-    """Entries in as few groups as the greedy order gives, such that no word occurs twice in a group.
-
-    Matches in a group cannot overlap, so one regex finds all of them. Two phrases with
-    punctuation at an end could overlap there, so a group has one of them at most.
-    """
-    groups: list[tuple[set, list]] = []
-    for row in entries:
-        words = row["words"] if row["plain"] else [*row["words"], ""]
-        for used, rows in groups:
-            if used.isdisjoint(words):
-                break
-        else:
-            used, rows = set(), []
-            groups.append((used, rows))
-        used.update(words)
-        rows.append(row)
-    return [rows for _, rows in groups]
-
-
-def _inline_entities(text: Column, groups: list[list]) -> list[Column]:
-    """Entities of a short dictionary: it travels in the plan and nothing is shuffled."""
-    found = []
-    for rows in groups:
-        pattern = "|".join(row["pattern"] for row in rows)
-        about = F.create_map(
-            *[
-                part
-                for row in rows
-                for part in (F.lit(row["phrase"]), _info(row["label"], row["description"], row["weight"]))
-            ]
-        ).cast(f"map<string,{_INFO}>")
-
-        def info(match, about=about):
-            return about[F.lower(F.regexp_replace(match, f"{W.SPACE}+", " "))]
-
-        matches = _located(text, _bounded(pattern), info)
-        found.append(F.filter(matches, lambda e: e["label"].isNotNull()))
-    return found
-
-
-def _joined_entities(df: DataFrame, dictionary: DataFrame, text: str, key: str) -> DataFrame:
-    """Add `_found`, the entities of a long dictionary: its phrases' words are joined to word sequences
-    of the same lengths, then each phrase whose words a text holds is located in it."""
-    tokens = F.col("_tokens")
-    lengths = [n for n, in dictionary.select(F.size("words")).distinct().collect()]  # few: numbers of words
-
-    def sequences(n):
-        first = F.sequence(F.lit(0), F.size(tokens) - n)
-        joined = F.transform(first, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
-
-    held = F.array_distinct(F.concat(*map(sequences, lengths)))
-    candidates = df.select(key, W.words(text).alias("_tokens")).select(key, F.explode(held).alias("_words"))
-    hits = (
-        candidates.join(sized(dictionary.withColumn("_words", F.array_join("words", " "))), "_words")
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("pattern", "label", "description", "weight")).alias("_hits"))
-    )
-
-    def located(hit):
-        return _located(F.col(text), _bounded(hit["pattern"]), lambda match: hit)
-
-    none = F.array().cast("array<struct<pattern:string,label:string,description:string,weight:double>>")
-    joined = df.join(hits, key, "left").withColumn("_hits", F.coalesce("_hits", none))
-    return joined.withColumn("_found", F.flatten(F.transform("_hits", located))).drop("_hits")
-
-
 def extract_entities(df: DataFrame, dictionary: DataFrame, text="content", key="post_id") -> DataFrame:
     """Add `entities` (by start) and `entity_count`: dictionary phrases, amounts of money and dates.
 
-    A phrase is found in any case, with any space between its words, where no word
-    character precedes or follows it. A short dictionary travels in the plan, a long
-    one is joined; both follow this rule.
+    Phrases follow the rule of `with_phrases`.
     """
     body = F.col(text)
-    entries = _dictionary_entries(dictionary)
-    few = entries.limit(MAX_INLINE_PHRASES + 1).collect()
-    groups = _groups(few) if len(few) <= MAX_INLINE_PHRASES else []
     parts = [
         _located(body, pattern, lambda match, about=about: _info(*about)) for pattern, *about in ENTITY_PATTERNS
     ]
-    if len(few) <= MAX_INLINE_PHRASES and len(groups) <= MAX_INLINE_GROUPS:
-        parts += _inline_entities(body, groups)
-    else:
-        df = _joined_entities(df, entries, text, key)
-        parts.append(F.col("_found"))
+    df = with_phrases(df, dictionary, text, key, "_found")
+    parts.append(F.col("_found"))
     order = F.array_sort(
         F.concat(*parts),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])

@@ -1,5 +1,6 @@
 import math
 import re
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pulse.functions import lexicons as LX
 from pulse.functions import words as W
 from pulse.functions.lookups import join_hot
+from pulse.operators import phrases as P
 from pulse.operators import scoring as S
 from pulse.operators import text as X
 from pulse.operators import topics as K
@@ -81,9 +83,9 @@ def test_combined_scores_equal_single_scores(spark):
 TEXT = "Naïve: NEW  York, new york; newyork. Acme\nCorp paid $5 and $1250.50 on 2024-03-01! Acme, Corp"
 
 
-@pytest.mark.parametrize("inline", [200, 0])
-def test_entities_point_at_their_text(spark, inline, monkeypatch):
-    monkeypatch.setattr(S, "MAX_INLINE_PHRASES", inline)
+@pytest.mark.parametrize("carried", [200, 0])
+def test_entities_point_at_their_text(spark, carried, monkeypatch):
+    monkeypatch.setattr(P, "MAX_CARRIED_PHRASES", carried)
     row = S.extract_entities(texts(spark, TEXT, "none", "\uffff new york"), LX.entity_dictionary(spark)).orderBy("post_id").collect()
     assert [(e["start"], e["end"]) for e in row[2]["entities"]] == [(2, 10)]
     found = row[0]["entities"]
@@ -95,9 +97,9 @@ def test_entities_point_at_their_text(spark, inline, monkeypatch):
     assert S.entity_topics(spark.createDataFrame(row[:1])).first()["topics"] == ["acme\ncorp"]
 
 
-@pytest.mark.parametrize("groups", [8, 0])
-def test_overlapping_phrases_are_all_found(spark, groups, monkeypatch):
-    monkeypatch.setattr(S, "MAX_INLINE_GROUPS", groups)
+@pytest.mark.parametrize("carried", [200, 0])
+def test_overlapping_phrases_are_all_found(spark, carried, monkeypatch):
+    monkeypatch.setattr(P, "MAX_CARRIED_PHRASES", carried)
     rows = [("new york", "GPE", "", 0.9), ("york city hall", "ORG", "", 0.5), ("york", "PERSON", "", 0.1)]
     dictionary = spark.createDataFrame(rows, "phrase string, label string, description string, weight double")
     found = S.extract_entities(texts(spark, "New York City Hall on $2024-01-02"), dictionary).first()["entities"]
@@ -106,9 +108,9 @@ def test_overlapping_phrases_are_all_found(spark, groups, monkeypatch):
     ]
 
 
-@pytest.mark.parametrize("inline", [200, 0])
-def test_phrases_of_any_length_with_punctuation_are_found(spark, inline, monkeypatch):
-    monkeypatch.setattr(S, "MAX_INLINE_PHRASES", inline)
+@pytest.mark.parametrize("carried", [200, 0])
+def test_phrases_of_any_length_with_punctuation_are_found(spark, carried, monkeypatch):
+    monkeypatch.setattr(P, "MAX_CARRIED_PHRASES", carried)
     phrases = ["Bank of New England", "at&t", "c++", "u.s.", "c", "+ d", "a(b", "++"]
     rows = [(phrase, "ORG", "", 0.5) for phrase in phrases]
     dictionary = spark.createDataFrame(rows, "phrase string, label string, description string, weight double")
@@ -126,6 +128,43 @@ def test_offsets_of_many_matches(spark):
     assert [e["start"] for e in found] == list(range(0, 20000, 5))
 
 
+def by_regex(text, phrases):
+    """(start, end, phrase) of each phrase by a pattern of its own."""
+    found = []
+    for phrase in phrases:
+        body = r"\s+".join(re.escape(word) for word in phrase.split())
+        if re.search(r"\w", phrase):
+            hits = re.finditer(rf"(?i)(?<!\w)(?:{body})(?!\w)", text or "")
+            found += [(hit.start(), hit.end(), phrase) for hit in hits]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("carried", [10_000, 0])
+def test_phrases_equal_patterns_on_odd_texts(spark, carried, monkeypatch):
+    """Words that repeat, marks at either end, runs of space, over 3,000 random texts and 150 phrases."""
+    monkeypatch.setattr(P, "MAX_CARRIED_PHRASES", carried)
+    random = Random(7)
+
+    def odd(most):
+        return "".join(random.choice(["a", "B", "ab", "é", "_", "1", " ", " ", "\t", "+", "!", "$", "\u2028"]) for _ in range(random.randint(1, most)))
+
+    phrases = sorted({" ".join(odd(8).lower().split()) for _ in range(150)} | {"a a", "a b a", "b a", "a"})
+    rows = [(phrase, phrase, "", 0.5) for phrase in phrases]
+    dictionary = spark.createDataFrame(rows, "phrase string, label string, description string, weight double")
+    bodies = [odd(60) for _ in range(3000)] + ["", None, "a " * 20000]
+    found = P.with_phrases(texts(spark, *bodies), dictionary, "content", "post_id").select("content", "_found").collect()
+    assert len(found) == len(bodies)
+    for body, entities in found:
+        assert sorted((e["start"], e["end"], e["label"]) for e in entities) == by_regex(body, phrases), body
+        assert all(body[e["start"] : e["end"]] == e["text"] for e in entities)
+
+
+def test_phrases_shuffle_nothing(spark):
+    df = texts(spark, TEXT)
+    plan = S.extract_entities(df, LX.entity_dictionary(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_empty_dictionary(spark):
     dictionary = LX.entity_dictionary(spark).limit(0)
     assert S.extract_entities(texts(spark, "New York"), dictionary).first()["entity_count"] == 0
