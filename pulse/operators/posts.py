@@ -188,15 +188,19 @@ def today_stats(posts: DataFrame, as_of=None) -> DataFrame:
     )
 
 
-def user_engagement(users: DataFrame, activity: DataFrame) -> DataFrame:
-    """Every user with request totals; the log is reduced to one row per user before the join."""
-    per_day = activity.groupBy("user_id", F.to_date(TIME).alias("day")).agg(
+def activity_days(activity: DataFrame) -> DataFrame:
+    """Requests, their time and the last one, per user and day."""
+    return activity.groupBy("user_id", F.to_date(TIME).alias("day")).agg(
         F.count("*").alias("requests"),
         F.sum("processing_time_ms").alias("ms"),
         F.count("processing_time_ms").alias("timed"),
         F.max(TIME).alias("last"),
     )
-    per_user = per_day.groupBy("user_id").agg(
+
+
+def engagement_of(users: DataFrame, days: DataFrame) -> DataFrame:
+    """Every user with the totals of `activity_days`."""
+    per_user = days.groupBy("user_id").agg(
         F.sum("requests").alias("total_requests"),
         F.count("day").alias("active_days"),
         F.try_divide(F.sum("ms").cast("double"), F.sum("timed")).alias("avg_response_time"),
@@ -209,6 +213,11 @@ def user_engagement(users: DataFrame, activity: DataFrame) -> DataFrame:
     )
 
 
+def user_engagement(users: DataFrame, activity: DataFrame) -> DataFrame:
+    """Every user with request totals; the log is reduced to one row per user before the join."""
+    return engagement_of(users, activity_days(activity))
+
+
 def rollup_metrics(posts: DataFrame, sizes=(3600, 86400)) -> DataFrame:
     """Volume, engagement and sentiment per platform (NULL = all) and bucket of each size.
 

@@ -114,12 +114,22 @@ def drop_expired(spark: SparkSession, name: str, folder: str, as_of, days: int |
     if days is None:
         return []
     limit = (datetime.fromisoformat(str(as_of)) - timedelta(days=days)).date().isoformat()
-    table = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    return _remove(spark, f"{folder}/{name}", lambda day: day[:1].isdigit() and day < limit)
+
+
+def remove_days(spark: SparkSession, path: str, days) -> list[str]:
+    """Delete the folders of these days, None for rows without a time; those that there were."""
+    names = {str(day) if day else "__HIVE_DEFAULT_PARTITION__" for day in days}
+    return _remove(spark, path, names.__contains__) if names else []
+
+
+def _remove(spark: SparkSession, path: str, wanted) -> list[str]:
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = table.getFileSystem(spark._jsc.hadoopConfiguration())
     gone = []
     for entry in files.listStatus(table):  # one entry per day
         column, _, day = entry.getPath().getName().partition("=")
-        if column == "ts_date" and day[:1].isdigit() and day < limit:
+        if column == "ts_date" and wanted(day):
             files.delete(entry.getPath(), True)
             gone.append(day)
     return sorted(gone)

@@ -13,10 +13,11 @@ from pulse.functions.filters import TIME, as_of_literal, last_hours, latest
 from pulse.functions.lookups import sized
 from pulse.functions.params import SENTIMENTS
 from pulse.operators import scoring
+from pulse.operators.stored_views import refresh_views
 from pulse.operators.tables import first_per_key, merge_into, publish_snapshot, stored_yet
 from pulse.operators.text import ingest_tags
 from pulse.operators.trending import detect_trending, with_growth_of, with_related
-from pulse.sources.tables import shape
+from pulse.sources.tables import note_days, noting, shape
 
 POSTS, TRENDING, STATS = "social_posts", "trending_topics", "realtime_stats"
 #: Index of stored ids, and state of the day's statistics.
@@ -113,8 +114,9 @@ def unseen(batch: DataFrame, name: str, folder: str, buckets: int = ID_BUCKETS)
 def store(posts: DataFrame, name: str, folder: str, buckets: int = ID_BUCKETS) -> None:
     """Write posts, their ids and their part of the day's state under the batch's own folders, so a repeated batch replaces itself."""
     dated = shape(posts, POSTS).withColumn("ts_date", F.to_date(TIME)).withColumn("batch", F.lit(name))
+    noted, changed = noting(dated)
     (
-        dated.hint("rebalance", F.col("ts_date"))
+        noted.hint("rebalance", F.col("ts_date"))
         .sortWithinPartitions("ts_date", TIME)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -123,6 +125,7 @@ def store(posts: DataFrame, name: str, folder: str, buckets: int = ID_BUCKETS) -
     )
     write_ids(dated, folder, buckets)
     write_day_state(dated, folder)
+    note_days(posts.sparkSession, POSTS, folder, changed())
 
 
 def write_day_state(posts: DataFrame, folder: str) -> None:
@@ -202,6 +205,7 @@ def ingest_stream(
     trending: dict | None = None,
     trigger: dict | None = None,
     buckets: int = ID_BUCKETS,
+    views: tuple = (),
 ) -> StreamingQuery:
     """Start the ingest of a stream of posts into `folder`.
 
@@ -211,7 +215,8 @@ def ingest_stream(
     two at a time may store a post twice. Posts dated
     after the clock's time are stored too, but do not move the time that statistics
     are made for. `scorers=None` stores posts as they come. `trending` holds the
-    arguments of `refresh_trending`, None to skip.
+    arguments of `refresh_trending`, None to skip. `views` names the stored views to
+    refresh after each batch, on the days that it changed.
     """
     spark = posts.sparkSession
 
@@ -233,6 +238,7 @@ def ingest_stream(
                 fresh.unpersist()
         finally:
             batch.unpersist()
+        refresh_views(spark, folder, views)
         if as_of is None:  # only posts of the future so far
             return
         if trending is not None:
