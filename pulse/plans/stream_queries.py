@@ -181,6 +181,19 @@ def _(spark, folder):
     return _ntz(rows, "window_end")
 
 
+@query(
+    "K05_active_users",
+    """SELECT window_end, count(DISTINCT author) AS active_users
+       FROM (SELECT author, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE * unnest(range(1, 61)) AS window_end
+             FROM posts) GROUP BY 1""",
+)
+def _(spark, folder):
+    """Exact authors of each sliding hour, from the minutes that a stream saw them in."""
+    target = new_folder(spark, "authors")
+    W.update_to(W.stream_author_minutes(_posts(spark, folder)), target, new_folder(spark, "offsets")).awaitTermination()
+    return _ntz(W.sliding_active_users(W.current_rows(spark, target, ["minute", "author"])), "window_end")
+
+
 @query("K06_stream_today", TODAY_SQL, "tags")
 def _(spark, folder):
     target = _ingested(spark, _posts(spark, folder))
@@ -254,9 +267,9 @@ def _(spark, folder):
 
 @query(
     "L02_engine_realtime_stats",
-    f"""SELECT r.*, m.posts_per_minute, t.trending_topics_count
+    f"""SELECT r.*, m.posts_per_minute, m.trend, t.trending_topics_count
         FROM ({REALTIME_SQL}) r,
-             (SELECT coalesce(avg(n), 0.0) AS posts_per_minute FROM (
+             (SELECT coalesce(avg(n), 0.0) AS posts_per_minute, string_agg(n, ',' ORDER BY minute DESC) AS trend FROM (
                   SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute, count(*) AS n FROM posts
                   WHERE ts >= {{now}} - INTERVAL 10 MINUTE GROUP BY 1 ORDER BY minute DESC LIMIT 10)) m,
              (SELECT count(DISTINCT topic) AS trending_topics_count FROM trending
@@ -264,7 +277,8 @@ def _(spark, folder):
     "trending",
 )
 def _(spark, folder):
-    return _engine(spark, folder).realtime_stats().drop("trend")
+    stats = _engine(spark, folder).realtime_stats()
+    return stats.withColumn("trend", F.array_join(F.col("trend").cast("array<string>"), ","))
 
 
 @query(

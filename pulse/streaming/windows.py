@@ -1,6 +1,6 @@
 """Windowed aggregates over a stream of posts. Event time must be a TIMESTAMP column."""
 
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -78,6 +78,58 @@ def last_hour_stats(minutes: DataFrame, span: int = 60) -> DataFrame:
     )
 
 
+def stream_author_minutes(posts: DataFrame, late: str | None = None) -> DataFrame:
+    """Minutes in which each author posts (update mode), for `sliding_active_users`; `late` is that of `stream_ppm`."""
+    if late is not None:
+        posts = posts.withWatermark(TIME, late)
+    counts = posts.groupBy(F.window(TIME, "1 minute"), "author").agg(F.count("*").alias("posts"))
+    return counts.select(F.col("window.start").alias("minute"), "author", "posts")
+
+
+def sliding_active_users(seen: DataFrame, span: int = 60) -> DataFrame:
+    """(window_end, active_users): exact distinct authors of the `span` minutes before each minute's end.
+
+    `seen` has a row (minute, author) for each minute in which an author posts; repeated rows count
+    once, and posts without an author or a time count for nobody. The windows that an author is in are intervals:
+    each minute adds those after the last one that the minute before already gave. Starts and
+    ends are summed per minute, then as a running total inside a day and over the days, so an author
+    is never counted per window, and nothing wider than a day of minutes is in one task.
+    """
+    def minutes(n):
+        return F.make_dt_interval(mins=F.lit(n))
+
+    at = F.col("minute")
+    seen = seen.filter(at.isNotNull()).select("minute", "author").distinct()
+    before = F.lag("minute").over(Window.partitionBy("author").orderBy("minute"))
+    first = F.greatest(at + minutes(1), before + minutes(span + 1))  # NULL without one before, which greatest() skips
+    known = seen.filter("author IS NOT NULL").select(first.alias("start"), (at + minutes(span + 1)).alias("stop"))
+    changes = known.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("start").alias("window_end"), F.lit(1).cast("long").alias("change")),
+                F.struct(F.col("stop").alias("window_end"), F.lit(-1).cast("long").alias("change")),
+            )
+        )
+    )
+    ends = F.sequence(at + minutes(1), at + minutes(span), minutes(1))
+    asked = seen.select("minute").distinct().select(F.explode(ends).alias("window_end")).distinct()
+    steps = (
+        changes.withColumn("asked", F.lit(False))
+        .unionByName(asked.select("window_end", F.lit(0).cast("long").alias("change"), F.lit(True).alias("asked")))
+        .groupBy("window_end")
+        .agg(F.sum("change").alias("change"), F.max("asked").alias("asked"))
+        .withColumn("_day", F.to_date("window_end"))
+    )
+    upto = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = steps.groupBy("_day").agg(F.sum("change").alias("total"))  # one row per day
+    days = days.select("_day", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy("_day").orderBy("window_end")
+    running = steps.withColumn("inside", F.sum("change").over(inside)).filter("asked")
+    return running.join(F.broadcast(days), "_day").select(
+        "window_end", (F.col("inside") + F.col("_carried")).alias("active_users")
+    )
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Start an append-mode query into a Parquet folder."""
     return (

@@ -1,4 +1,6 @@
+from collections import defaultdict
 from datetime import datetime, timedelta
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,31 @@ def test_update_streams_count_everything(spark):
     assert (best["posts"], best["active_users"], best["positive_count"]) == (5, 3, 5)
 
 
+def test_sliding_authors_equal_brute_force(spark):
+    """Gaps around the span, minutes over several days, repeated rows, no author, no time."""
+    random = Random(3)
+    seen = [(f"u{random.randrange(6)}", random.choice([0, 1, 59, 60, 61, 62, 1435, 1440, 1499, 4000]) + random.randrange(4)) for _ in range(150)]
+    seen += [("u0", 0), ("u0", 60), ("u0", 121), (None, 9000)]
+    rows = [(author, T0 + timedelta(minutes=m)) for author, m in seen] + [("u1", None)]
+    df = spark.createDataFrame(rows, "author string, minute timestamp")
+    for span in (1, 5, 60):
+        expected = defaultdict(set)
+        for author, m in seen:
+            for end in range(m + 1, m + span + 1):
+                expected[T0 + timedelta(minutes=end)] |= {author} - {None}
+        found = {r["window_end"]: r["active_users"] for r in W.sliding_active_users(df, span).collect()}
+        assert found == {end: len(authors) for end, authors in expected.items()}
+    assert W.sliding_active_users(df.limit(0)).count() == 0
+
+
+def test_sketch_of_authors_is_near_the_exact_count(spark, folder):
+    posts = A.posts(spark, folder).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    sketch = W.last_hour_stats(W.stream_last_hour(posts)).select("window_end", F.col("active_users").alias("near"))
+    exact = W.sliding_active_users(W.stream_author_minutes(posts))
+    worst = exact.join(sketch, "window_end").agg(F.max(F.abs(F.col("near") - F.col("active_users")) / F.col("active_users")), F.count("*")).first()
+    assert worst[0] <= 0.05 and worst[1] == exact.count() > 0
+
+
 def test_update_streams_count_late_posts(spark):
     """The second batch is ten hours behind the first."""
     folder, minutes, parts, *offsets = (new_folder(spark, n) for n in ("late", "ppm", "last", "offsets", "offsets"))
