@@ -20,7 +20,8 @@ BOILERPLATE = re.compile(
     rb"(all rights reserved|cookie policy|privacy policy|terms (of (use|service)|and conditions)|enable javascript|"
     rb"lorem ipsum|powered by|copyright \(c\)|\xc2\xa9 ?\d{4})"
 )
-ENDS = b".!?:;,\"')]}"
+#: Marks that may close a line.
+ENDS = tuple(mark.encode() for mark in ".!?:;,\"')]}…。！？”’»")
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class Limits:
     lost: int = 30
     line_symbols: float = 0.1  # of a line's bytes
     line_marks: float = 0.3
+    open_words: int = 10  # a line of fewer words needs a closing mark
 
 
 def line_verdict(line: bytes, words: list[bytes], seen: set[bytes], limits: Limits) -> str:
@@ -54,6 +56,8 @@ def line_verdict(line: bytes, words: list[bytes], seen: set[bytes], limits: Limi
         return "punctuation"
     if len(words) > 5 and line.isupper():
         return "capitals"
+    if len(words) < limits.open_words and not line.rstrip().endswith(ENDS):
+        return "unclosed"
     return ""
 
 
@@ -111,7 +115,8 @@ def clean_documents(docs: DataFrame, limits: Limits = Limits(), with_text: bool
     """Counts, verdict and (if asked for) the cleaned whole text of each row of `docs` (doc_id, text; others are not read).
 
     Lines are judged first: a repeated line, navigation, boilerplate, too many symbols,
-    marks or only capitals remove it. Then a document goes that fails the base rules, or
+    marks or only capitals remove it, and so does a missing closing mark if the line is short,
+    as headings and link titles are. Then a document goes that fails the base rules, or
     loses more than `limits.lost` percent of its words. A null or empty text has no
     words and is not kept. Repeated rows and null ids give a row each.
     """

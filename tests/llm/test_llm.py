@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from math import ceil
@@ -288,6 +289,37 @@ def test_fingerprints_merge_and_edges(spark, edges, empty):
     assert len(set(r.sketch) & set(r.whole)) > 245 and abs(r.n - 2996) < 600
 
 
+def test_short_lines_need_a_closing_mark():
+    """Headings and link titles go, whatever closes them in Unicode stays, long lines need no mark."""
+    limits, good = rules.Limits(), "the river ran slowly past the old mill and nobody saw it go down there today"
+    for line, verdict in [
+        ("Ten great places", "unclosed"), ("Ten great places.  ", ""), ("Ten great places…", ""), ("「ten」 great 。", ""), (good, ""),
+        ("a b c d e f g h i", "unclosed"), ("a b c d e f g h i j", ""), ("said »so«", "unclosed"), ("said «so»", ""),
+    ]:
+        data = line.encode()
+        assert rules.line_verdict(data, data.split(), set(), limits) == verdict
+    titles = "\n".join(f"Story number {k} of many" for k in range(12))
+    body = "\n".join(f"{good} {k}." for k in range(12))
+    assert not rules.clean(titles)["kept"] and rules.clean(body)["kept"]
+    mixed = rules.clean(titles.split("\n")[0] + "\n" + body)
+    assert mixed["kept"] and mixed["cleaned"] == body and mixed["lost_words"] == 5
+
+
+def test_base_counts_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "b", "é", "#", "|", " ", " ", "\n", "\x0b", "\u2003", "\x1c"]) for _ in range(rng.randrange(120)))
+        words = re.findall("[^\x20\x09-\x0D]+", text)
+        lines = [line for line in text.split("\n") if re.search("[^\x20\x09-\x0D]", line)]
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        hit = {i + k for i, window in enumerate(windows) if windows.count(window) > 1 for k in range(3)}
+        found = rules.clean(text)
+        assert (found["n_words"], found["word_chars"], found["n_repeat_words"]) == (len(words), sum(map(len, words)), len(hit))
+        assert found["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text))
+        assert found["n_dup_lines"] == len(lines) - len(set(lines))
+        assert found["base_failed"] == (len(words) < 50 or 100 * len(hit) > 50 * len(words))
+
+
 def test_line_rules(edges, empty):
     rows = {r.doc_id: r for r in rules.clean_documents(edges).collect()}
     assert rules.clean_documents(empty).count() == 0 and not rows[11].kept
