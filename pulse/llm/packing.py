@@ -91,12 +91,11 @@ def pack_rest(pool: Pool) -> Iterator[tuple[int, list]]:
         yield window, fill(pool, window)
 
 
-def deal_steps(windows: list[tuple[int, list]], step_tokens: int) -> list[int]:
-    """The step of each window: about as many steps as `step_tokens` fill, of even token counts and tier mix.
+def deal_steps(windows: list[tuple[int, list]], n: int) -> list[int]:
+    """The step of each window: `n` steps of even token counts and tier mix.
 
     Longest windows first, each goes to the step with the fewest ids so far.
     """
-    n = max(1, round(sum(size for size, _ in windows) / step_tokens))
     loads = [(0, step) for step in range(n)]
     steps = [0] * len(windows)
     for k in sorted(range(len(windows)), key=lambda k: -windows[k][0]):
@@ -106,6 +105,22 @@ def deal_steps(windows: list[tuple[int, list]], step_tokens: int) -> list[int]:
     return steps
 
 
+def full_steps(windows: list[tuple[int, list]], step_tokens: int) -> tuple[int, int]:
+    """(number of steps, windows that fill them), leaving at least a step's ids for what comes later."""
+    n = sum(size for size, _ in windows) // step_tokens - 1
+    taken = total = 0
+    while total < n * step_tokens:
+        total += windows[taken][0]
+        taken += 1
+    return max(n, 0), taken
+
+
+def copied(piece):
+    """The piece with ids of its own, so that those of its batch can go."""
+    *about, ids = piece
+    return (*about, ids.copy())
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str = "word_bpe_49k.json",
@@ -119,10 +134,12 @@ def pack(
     of the longest tier are cut off first; the rest is routed to the smallest tier that
     holds it. Each tier is packed best-fit, gaps of long windows being filled from
     shorter tiers. Every task packs its own rows batch by batch, keeping less than a
-    window between batches; what it has left at its end goes to sequences of powers of
+    window and two steps between batches; what it has left at its end goes to sequences of powers of
     two, so no sequence is padded. Rows that repeat or have a null id are documents of
     their own. `sequence_id` is unique; `offset` counts ids before the piece in its
-    sequence; sequences of a `step_id` hold about `step_tokens` ids in total.
+    sequence; sequences of a `step_id` hold `step_tokens` ids in total, give or take a window. A
+    task's last two steps share what is left and hold three quarters to one and a half of that; a task with fewer ids is one step.
+    A text of any length is cut; its ids are in memory with those of its batch. An empty table has no pieces.
     """
     longest = tiers[-1]
     if list(tiers) != sorted(tiers) or any(t & (t - 1) for t in tiers):
@@ -130,11 +147,11 @@ def pack(
 
     def pack_task(batches):
         base = TaskContext.get().partitionId() << 33
-        pool, sequences, steps = Pool(), 0, 0
+        pool, waiting, sequences, steps = Pool(), [], 0, 0
 
-        def rows(windows):
+        def rows(windows, n):
             nonlocal sequences, steps
-            dealt = deal_steps(windows, step_tokens)
+            dealt = deal_steps(windows, n)
             columns = [[] for _ in range(9)]
             for (size, pieces), step in zip(windows, dealt):
                 offset = 0
@@ -144,7 +161,7 @@ def pack(
                         column.append(value)
                     offset += len(ids)
                 sequences += 1
-            steps += max(dealt, default=-1) + 1
+            steps += n
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns[:8]] + [pa.array(columns[8], pa.binary())],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_id", "ids"],
@@ -152,7 +169,7 @@ def pack(
 
         for batch in batches:
             ids, ends = token_ids(batch.column("text"), vocabulary, end)
-            windows = []
+            windows = waiting
             for doc, begin, stop in zip(batch.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 whole = (stop - begin) // longest * longest
                 for start in range(0, whole, longest):
@@ -162,13 +179,15 @@ def pack(
                     pool.add((doc, stop - begin, whole, ids[begin + whole : stop]))
             windows += pack_pool(pool, tiers)
             kept, pool = pool, Pool()
-            while kept.size:  # copies, so that the batch's ids can go
-                doc, tokens, start, own = kept.take(longest)
-                pool.add((doc, tokens, start, own.copy()))
-            if windows:
-                yield rows(windows)
-        if pool.size:
-            yield rows([*pack_rest(pool)])
+            while kept.size:
+                pool.add(copied(kept.take(longest)))
+            n, taken = full_steps(windows, step_tokens)
+            if n:
+                yield rows(windows[:taken], n)
+            waiting = [(size, [*map(copied, pieces)]) for size, pieces in windows[taken:]]
+        waiting += pack_rest(pool)
+        if waiting:
+            yield rows(waiting, max(1, round(sum(size for size, _ in waiting) / step_tokens)))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(pack_task, SCHEMA)
