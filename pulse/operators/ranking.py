@@ -1,6 +1,8 @@
 """Top rows and pages of a result."""
 
-from pyspark.sql import DataFrame
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse.functions import params
@@ -20,7 +22,7 @@ def arg_top(df: DataFrame, order: list) -> DataFrame:
 DEEP_ROWS = 100_000
 
 
-def paginate(df: DataFrame, order: list[str], page: int = 1, size: int = 20) -> DataFrame:
+def paginate(df: DataFrame, order: list[str | Column], page: int = 1, size: int = 20) -> DataFrame:
     """Rows of one page in `order`, with `row_number` in the whole result.
 
     Early pages are a distributed top-k. For a deep page the result is range
@@ -37,13 +39,11 @@ def paginate(df: DataFrame, order: list[str], page: int = 1, size: int = 20) ->
 
 
 def _number(rows: DataFrame, order, before: int) -> DataFrame:
-    from pyspark.sql import Window
-
     position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     return rows.withColumn("row_number", position + F.lit(before).cast("long"))
 
 
-def _deep_page(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+def _deep_page(df: DataFrame, order: list[str | Column], first: int, last: int) -> DataFrame:
     parted = cut_lineage(
         df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
@@ -58,6 +58,39 @@ def _deep_page(df: DataFrame, order: list[str], first: int, last: int) -> DataFr
     return _number(page, order, first - 1)
 
 
+def store_pages(df: DataFrame, order: list[str | Column], folder: str, rows_per_range: int = 100_000) -> None:
+    """Store a result that is paged often: its rows in ranges of `order`, and a table of marks, the rows of
+    each range and before it.
+
+    Spark samples the bounds of the ranges. `order` should end with a key that is unique: rows equal in all of
+    it are in no fixed order and share a range. A result without rows has no marks.
+    """
+    df.limit(0).write.mode("overwrite").parquet(f"{folder}/layout")
+    ranges = max(1, ceil(df.count() / rows_per_range))
+    parted = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    rows = parted.sortWithinPartitions("_range", *order)
+    rows.write.mode("overwrite").partitionBy("_range").parquet(f"{folder}/rows")
+    # one row per range
+    sizes = df.sparkSession.read.schema(parted.schema).parquet(f"{folder}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    marks = sizes.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    marks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks")
+
+
+def stored_page(spark: SparkSession, folder: str, order: list[str | Column], page: int = 1, size: int = 20) -> DataFrame:
+    """`paginate` of a stored result: whatever the depth, only the ranges that the marks name are read and sorted."""
+    params.between(size, 1, params.MAX_PAGE_SIZE, "page_size")
+    params.between(page, 1, 2**31, "page")
+    first, last = (page - 1) * size, page * size
+    marks = spark.read.schema("_range int, n long, before long").parquet(f"{folder}/marks")
+    held = marks.filter((F.col("before") < last) & (F.col("before") + F.col("n") > first))
+    wanted = sorted(held.select("before", "_range").collect())  # at most one range per row of the page
+    start = wanted[0][0] if wanted else first
+    layout = spark.read.parquet(f"{folder}/layout").schema.add("_range", "integer")
+    rows = spark.read.schema(layout).parquet(f"{folder}/rows").filter(F.col("_range").isin([part for _, part in wanted])).drop("_range")
+    return _number(rows.orderBy(*order).offset(first - start).limit(size), order, first)
+
+
 def page_info(df: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     pages = F.ceil(F.col("total") / size)
     return df.agg(F.count("*").alias("total")).select(

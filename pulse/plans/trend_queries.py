@@ -9,6 +9,7 @@ from pulse.operators import ranking as R
 from pulse.operators import trending as G
 from pulse.plans.post_queries import METRICS_SQL, PAST_DAY
 from pulse.plans.registry import query
+from pulse.session import new_folder
 from pulse.sources import adapters as A
 
 
@@ -125,6 +126,21 @@ def _(spark, folder):
     return R.paginate(rows, ["timestamp", "post_id"], 3, 20)
 
 
+@query(
+    "H04_stored_page",
+    """SELECT post_id, likes_count, row_number FROM (
+           SELECT post_id, likes_count, row_number() OVER (ORDER BY likes_count DESC, platform, post_id DESC) AS row_number,
+                  count(*) OVER () AS n FROM posts)
+       WHERE (row_number - 1) // 20 = n // 2 // 20""",
+)
+def _(spark, folder):
+    """The page in the middle, in mixed order, of a result stored in ranges of 500 rows."""
+    rows, target = A.posts(spark, folder).select("post_id", "likes_count", "platform"), new_folder(spark, "pages")
+    order = [F.desc("likes_count"), "platform", F.desc("post_id")]
+    R.store_pages(rows, order, target, 500)
+    return R.stored_page(spark, target, order, rows.count() // 2 // 20 + 1, 20).drop("platform")
+
+
 @query(
     "H04_page_info",
     """SELECT count(*) AS total, CAST(3 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size,

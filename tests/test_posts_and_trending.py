@@ -8,6 +8,7 @@ from pulse.operators import derived as D
 from pulse.operators import posts as P
 from pulse.operators import ranking as R
 from pulse.operators import trending as G
+from pulse.session import new_folder
 from pulse.sources import adapters as A
 
 POST = "post_id string, platform string, author string, content string, timestamp timestamp_ntz, likes_count int, shares_count int, comments_count int, hashtags array<string>, mentions array<string>, sentiment string, processing_time_ms int"
@@ -131,6 +132,22 @@ def test_deep_page_equals_shallow_page(spark, folder, monkeypatch):
     assert len(R.paginate(rows, order, 10**6, 100).collect()) == 0
 
 
+def test_stored_pages_of_any_depth(spark):
+    """Mixed order with NULLs and ties; pages inside a range, over two, the last one, and none."""
+    df = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("k"), F.lit(1).alias("_part"))
+    folder, order = new_folder(spark, "pages"), [F.desc("k"), F.col("id").desc()]
+    R.store_pages(df, order, folder, 90)
+    whole = [r["id"] for r in df.orderBy(*order).collect()]
+    for page, size in [(1, 20), (5, 20), (7, 50), (50, 20), (34, 30), (51, 20)]:
+        found = R.stored_page(spark, folder, order, page, size).orderBy("row_number").collect()
+        assert [r["id"] for r in found] == whole[(page - 1) * size : page * size]
+        assert [r["row_number"] for r in found] == list(range((page - 1) * size + 1, min(page * size, 1000) + 1))
+    plan = R.stored_page(spark, folder, order, 5, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_range" in plan or "PartitionFilters: [_range" in plan
+    R.store_pages(df.limit(0), order, folder)
+    assert R.stored_page(spark, folder, order).count() == 0
+
+
 def test_page_size_is_limited(spark):
     with pytest.raises(ValueError):
         R.paginate(make(spark, {}), ["post_id"], 1, 101)
