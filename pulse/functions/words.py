@@ -29,9 +29,24 @@ def collapse(c) -> Column:
     return F.trim(F.regexp_replace(_col(c), f"{SPACE}+", " "))
 
 
+def without_urls(c="content") -> Column:
+    return F.regexp_replace(_col(c), URL, "")
+
+
+def long_enough(c) -> Column:
+    """Text without URLs, or the fixed phrase where `cleaned` puts it. Its words are those of `cleaned`, and its whitespace stays.
+
+    `collapse` leaves 3 characters or more where two that are no space have any between them. `c` is read
+    more than once, so it should be a column.
+    """
+    some = f"[^{SPACE[1:]}"
+    fits = F.rlike(_col(c), F.lit(f"(?s){some}.+?{some}"))
+    return F.when(fits, _col(c)).when(_col(c).isNotNull(), SHORT_TEXT)
+
+
 def cleaned(c="content") -> Column:
     """Text without URLs and extra whitespace; a fixed phrase if fewer than 3 characters are left."""
-    text = collapse(F.regexp_replace(_col(c), URL, ""))
+    text = collapse(without_urls(c))
     # a pattern instead of a condition, so that the text is cleaned once
     return F.regexp_replace(text, r"(?s)\A.{0,2}\z", SHORT_TEXT)
 

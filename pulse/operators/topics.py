@@ -1,9 +1,14 @@
 """TF-IDF features, topic model, topic clusters and the combined text job."""
 
+import sys
 from dataclasses import dataclass
+from itertools import pairwise
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -17,35 +22,98 @@ from pulse.functions.lexicons import STOP_WORDS
 from pulse.operators.scoring import extract_entities, score_emotions, score_mood, score_sentiment
 from pulse.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEED = 42
 STARTS = 10
+#: About so many words are counted together before their counts are shuffled.
+COUNTED_WORDS = 1 << 20
+#: Up to so many words that a wanted pair may hold travel to the tasks; with more, all pairs are counted.
+MAX_CARRIED_WORDS = 100_000
 
 
 def with_terms(df: DataFrame, text: str = "content", stop_words=STOP_WORDS) -> DataFrame:
     """Add `terms`: words of two or more characters without stop words, then neighbouring pairs."""
-    tokens = W.without_stop_words(W.words(W.cleaned(text), 2), stop_words, lower=False)
-    return df.withColumn("_tokens", tokens).withColumn(
+    bare = df.withColumn("_bare", W.without_urls(text))
+    tokens = W.without_stop_words(W.words(W.long_enough("_bare"), 2), stop_words, lower=False)
+    return bare.withColumn("_tokens", tokens).withColumn(
         "terms", F.concat("_tokens", W.pairs(F.col("_tokens")))
-    ).drop("_tokens")
+    ).drop("_bare", "_tokens")
+
+
+def _runs(batches):
+    """(words, codes, owners) of runs of texts with about `COUNTED_WORDS` words: the distinct ones, and for each use its place there and its text."""
+    for batch in batches:
+        texts = batch.column(0)
+        sizes = texts.value_lengths().fill_null(0).to_numpy()
+        run = np.cumsum(sizes) // COUNTED_WORDS
+        borders = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        for begin, stop in pairwise(borders):
+            coded = texts.slice(begin, stop - begin).flatten().dictionary_encode(null_encoding="encode")
+            if len(coded):
+                codes = coded.indices.to_numpy().astype(np.int64)
+                yield coded.dictionary, codes, np.repeat(np.arange(stop - begin), sizes[begin:stop])
+
+
+def _counts(terms: pa.Array, codes: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    """(term, tf, df) of uses `codes` of `terms` in the texts `owners`."""
+    uses = np.sort(owners * len(terms) + codes)
+    once = uses[np.append(True, uses[1:] != uses[:-1])] % len(terms)  # each term of a text once
+    counts = [pa.array(np.bincount(found, minlength=len(terms))) for found in (codes, once)]
+    return pa.RecordBatch.from_arrays([terms, *counts], ["term", "tf", "df"])
+
+
+def _word_counts(batches):
+    for words, codes, owners in _runs(batches):
+        yield _counts(words, codes, owners)
+
+
+def _pair_counts(frequent: list | None):
+    """Function that counts the neighbouring pairs of words, of `frequent` words if that is a list."""
+
+    def count(batches):
+        for words, codes, owners in _runs(batches):
+            wanted = owners[:-1] == owners[1:]
+            if frequent is not None:
+                known = pc.is_in(words, value_set=pa.array(frequent, pa.string())).to_numpy(zero_copy_only=False)[codes]
+                wanted &= known[:-1] & known[1:]
+            if wanted.any():
+                pairs = (codes[:-1] * len(words) + codes[1:])[wanted]
+                found, places = np.unique(pairs, return_inverse=True)
+                first, second = (words.take(pa.array(part)) for part in divmod(found, len(words)))
+                yield _counts(pc.binary_join_element_wise(first, second, " "), places, owners[:-1][wanted])
+
+    return count
 
 
 def tfidf_vocabulary(df: DataFrame, max_terms=1000, min_df=2, max_df=0.8, n: int | None = None) -> DataFrame:
     """The most used terms with corpus count, document count and smoothed idf.
 
-    Every text adds all its terms and, apart, its distinct terms, so both
-    counts come from one aggregate. `n` is the number of texts if known.
+    `df` has `terms` as `with_terms` makes them. Each task counts the terms of many texts at
+    once, so that a row is shuffled for a term of a run of texts and not for each use. Words
+    are counted first. A pair is used no more than either of its words, so if there are
+    `max_terms` words to choose, only pairs of words used as often as the last of these are
+    counted: no other can be chosen. `n` is the number of texts if known.
     """
     n = df.count() if n is None else n
-    entries = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct("terms"),
-            lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-        ),
-    )
-    counts = df.select(F.inline(entries)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    tokens = df.select(F.slice("terms", F.lit(1), F.ceil(F.size("terms") / 2).cast("int")).alias("words"))
+
+    def counted(count):
+        return tokens.mapInArrow(count, "term string, tf long, df long").groupBy("term").agg(
+            F.sum("tf").alias("tf"), F.sum("df").alias("df")
+        )
+
+    def allowed(counts):
+        return counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+
+    words = cut_lineage(counted(_word_counts))
+    most = allowed(words).orderBy(F.desc("tf")).limit(max_terms)
+    chosen, least = most.agg(F.count("*"), F.min("tf")).first()
+    least = max(min_df, least if chosen and chosen == max_terms else 0)
+    frequent = [word for word, in words.filter(F.col("tf") >= least).select("term").limit(MAX_CARRIED_WORDS + 1).collect()]
+    pairs = counted(_pair_counts(frequent if len(frequent) <= MAX_CARRIED_WORDS else None))
     return (
-        counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+        allowed(words.union(pairs))
         .orderBy(F.desc("tf"), "term")
         .limit(max_terms)
         .withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)

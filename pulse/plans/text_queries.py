@@ -1,6 +1,5 @@
 """Queries for the text jobs."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pulse.functions import columns as C
@@ -230,8 +229,9 @@ def _(spark, folder):
     terms = _terms(spark, folder)
     vocabulary = K.tfidf_vocabulary(terms).orderBy("term").collect()
     names = spark.createDataFrame([(i, r["term"]) for i, r in enumerate(vocabulary)], "position int, term string")
-    # Only terms that a text has become rows.
-    entry = F.transform(vector_to_array("features"), lambda w, i: F.struct(i.alias("position"), w.alias("weight")))
+    # Only terms that a text has become rows; features are sparse.
+    vector = F.unwrap_udt("features")
+    entry = F.arrays_zip(vector["indices"].alias("position"), vector["values"].alias("weight"))
     present = F.filter(entry, lambda e: e["weight"] > 0)
     weights = K.tfidf_features(terms, vocabulary).select("doc_id", F.inline(present))
     return weights.join(F.broadcast(names), "position").select(

@@ -229,6 +229,33 @@ def test_vocabulary_against_brute_force(spark):
         assert list(row["features"]) == pytest.approx([x / norm for x in raw])
 
 
+@pytest.mark.parametrize("carried", [100, 1])
+def test_vocabulary_of_few_terms(spark, monkeypatch, carried):
+    """Terms are counted by runs of texts, and only pairs that can be chosen; the choice is that of all terms, ties by name."""
+    monkeypatch.setattr(K, "COUNTED_WORDS", 5)
+    monkeypatch.setattr(K, "MAX_CARRIED_WORDS", carried)
+    docs = ["red fox red fox", "red fox jumps", "red fox naps", "blue fox jumps", None, "", "blue hen jumps", "naps naps"]
+    df = K.with_terms(texts(spark, *docs))
+    tf, seen = {}, {}
+    for row in df.collect():
+        for term in row["terms"] or []:
+            tf[term] = tf.get(term, 0) + 1
+            seen.setdefault(term, set()).add(row["post_id"])
+    good = [t for t in tf if 2 <= len(seen[t]) <= 0.8 * len(docs)]
+    for k in (1, 2, 3, 5, 50):
+        found = K.tfidf_vocabulary(df, max_terms=k)
+        wanted = [(t, tf[t], len(seen[t])) for t in sorted(good, key=lambda t: (-tf[t], t))[:k]]
+        assert [(r["term"], r["tf"], r["df"]) for r in found.collect()] == wanted
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_long_enough_texts(spark):
+    bodies = ["", " ", "a", "ab", "a b", "a\tb ", "  ab ", None, "http://x.y ab", " ab\u0085c", "x\x1c\u3000y", "ab\n", "\U0001f600b", "ab c"]
+    df = texts(spark, *bodies).withColumn("_bare", W.without_urls("content"))
+    wanted, found = W.words(W.cleaned("content"), 2), W.words(W.long_enough("_bare"), 2)
+    assert df.filter(~wanted.eqNullSafe(found)).count() == 0
+
+
 def test_topics_separate_unlike_texts(spark):
     docs = [f"cats chase mice at night {i % 2}" for i in range(6)] + [f"stocks rise on market news {i % 2}" for i in range(6)]
     found = K.extract_topics(texts(spark, *docs), num_topics=2, starts=3)
