@@ -58,15 +58,20 @@ def _deep_page(df: DataFrame, order: list[str | Column], first: int, last: int)
     return _number(page, order, first - 1)
 
 
+#: Most ranges of a stored result. Spark holds each range's bounds and its task in the driver.
+MAX_RANGES = 1_000
+
+
 def store_pages(df: DataFrame, order: list[str | Column], folder: str, rows_per_range: int = 100_000) -> None:
     """Store a result that is paged often: its rows in ranges of `order`, and a table of marks, the rows of
     each range and before it.
 
-    Spark samples the bounds of the ranges. `order` should end with a key that is unique: rows equal in all of
+    A result of more than `MAX_RANGES` times `rows_per_range` rows has longer ranges. Spark samples their
+    bounds. `order` should end with a key that is unique: rows equal in all of
     it are in no fixed order and share a range. A result without rows has no marks.
     """
     df.limit(0).write.mode("overwrite").parquet(f"{folder}/layout")
-    ranges = max(1, ceil(df.count() / rows_per_range))
+    ranges = min(max(1, ceil(df.count() / rows_per_range)), MAX_RANGES)
     parted = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     rows = parted.sortWithinPartitions("_range", *order)
     rows.write.mode("overwrite").partitionBy("_range").parquet(f"{folder}/rows")

@@ -148,6 +148,19 @@ def test_stored_pages_of_any_depth(spark):
     assert R.stored_page(spark, folder, order).count() == 0
 
 
+def test_stored_ranges_are_bounded(spark, monkeypatch):
+    """A long result gets longer ranges, not more of them, and the same pages."""
+    monkeypatch.setattr(R, "MAX_RANGES", 4)
+    df, folder = spark.range(1000).select("id", (F.col("id") % 5).alias("k")), new_folder(spark, "pages")
+    order = [F.desc("k"), F.col("id").desc()]
+    R.store_pages(df, order, folder, 10)
+    assert spark.read.parquet(f"{folder}/marks").count() <= 4
+    whole = [r["id"] for r in df.orderBy(*order).collect()]
+    for page in (1, 13, 50, 51):
+        found = R.stored_page(spark, folder, order, page, 20).orderBy("row_number").collect()
+        assert [r["id"] for r in found] == whole[(page - 1) * 20 : page * 20]
+
+
 def test_page_size_is_limited(spark):
     with pytest.raises(ValueError):
         R.paginate(make(spark, {}), ["post_id"], 1, 101)
