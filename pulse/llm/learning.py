@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pulse.llm.tokens import text_runs
 
 
-#: Bytes of text whose words are worked on at once; tables of their n-grams take up to 100 times as much.
+#: Bytes of text worked on at once.
 RUN_BYTES = 1 << 20
+#: The same for word tables; those of their n-grams take up to 100 times as much.
+TABLE_BYTES = 1 << 18
 
 
 def fold(doc_id: str, folds: int):
@@ -52,7 +54,7 @@ def word_tables(texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.nda
 
     Words are parted by white space; empty ones stand where it begins or ends a text.
     """
-    for run in text_runs(texts, RUN_BYTES):
+    for run in text_runs(texts, TABLE_BYTES):
         lists = pc.utf8_split_whitespace(pc.utf8_lower(run))
         coded = lists.flatten().dictionary_encode()
         ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()

@@ -440,3 +440,13 @@ def test_fingerprints_estimate_counts_and_containment(spark):
     parts = parts.withColumn("sketch", fingerprints.sketch(F.col("text"), 256))
     whole = spark.createDataFrame([(" ".join(words[:804]),)], "text string").select(fingerprints.sketch(F.col("text"), 256).alias("s"))
     assert fingerprints.merge_sketches(parts, "id", k=256).first().sketch == whole.first().s
+
+
+def test_word_tables_take_short_runs():
+    """The tables of n-grams of a run take many times its bytes, so a run holds a quarter of a million of them at most."""
+    from pulse.llm.learning import word_tables
+
+    texts = pa.array([f"word{k} " * 100 for k in range(1200)])
+    runs = list(word_tables(texts))
+    assert sum(len(ends) - 1 for _, _, ends in runs) == len(texts)
+    assert max(ends[-1] for _, _, ends in runs) <= (1 << 18) // 6 + 1200
