@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.llm.components import connected_components
-from pulse.llm.shingles import GOLDEN, mixed, shingle_sets
-from pulse.session import new_folder
+from pulse.llm.shingles import GOLDEN, mixed, shingle_sets, text_batches
+from pulse.session import narrow_batches, new_folder
 
 SKETCH = 64
 RUN = 4
@@ -121,12 +121,12 @@ def signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
     """doc_id, n (set size), set_key (equal for equal sets; null if empty), sketch and list keys of each row."""
 
     def sign(batches):
-        for batch in batches:
+        for batch in text_batches(batches):
             sizes, keys, sketches, lists = [], [], [], []
             for values in shingle_sets(batch.column("text"), words):
                 sizes.append(len(values))
                 keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
-                sketches.append(values[:SKETCH])
+                sketches.append(values[:SKETCH].copy())  # a view would hold the whole set
                 lists.append(list_keys(values, share) if len(values) else values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(sketches), _lists(lists)],
@@ -166,7 +166,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, values) of the documents that the column `id` of `ids` names: their sets as sorted 8-byte values."""
 
     def whole(batches):
-        for batch in batches:
+        for batch in text_batches(batches):
             sets = [values.tobytes() for values in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "values"])
 
@@ -177,7 +177,7 @@ def wide_sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, n, sketch) of the documents that the column `id` of `ids` names: set size and up to WIDE least values."""
 
     def wide(batches):
-        for batch in batches:
+        for batch in text_batches(batches):
             sets = [(len(values), values[:WIDE].copy()) for values in shingle_sets(batch.column("text"), words)]
             sizes = pa.array([n for n, _ in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, _lists([v for _, v in sets])], ["id", "n", "sketch"])
@@ -369,7 +369,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: float = 0.8) -> Data
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         folder = new_folder(spark, f"neardup-{name}")
-        df.write.parquet(folder)
+        with narrow_batches(spark):
+            df.write.parquet(folder)
         return spark.read.parquet(folder)
 
     signed = stored(signatures(docs, words, share), "signatures")

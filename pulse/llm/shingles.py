@@ -35,6 +35,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[which][real], before[ends]
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of each batch with about `size` bytes in its column `text`, so that few sets are held at once; a longer text is a part of its own."""
+    for batch in batches:
+        row = 0
+        for run in text_runs(batch.column("text"), size):
+            yield batch.slice(row, len(run))
+            row += len(run)
+
+
 def shingle_sets(texts: pa.Array, size: int = 2) -> Iterator[np.ndarray]:
     """For each text the ascending 63-bit hashes of its distinct shingles of `size` words.
 

@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder, so that a lost executor costs no recompute."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Bytes of a batch that a task hands to Python at once, where rows are wide.
+NARROW_BATCH = 4 << 20
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession, size: int = NARROW_BATCH):
+    """Actions inside hand their rows to Python in Arrow batches of about `size` bytes at most; Spark's own bound is 64 MB, held on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
