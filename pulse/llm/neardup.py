@@ -21,9 +21,10 @@ enough agree in some of these, so inverted lists of retained values hold the pai
   member that pass the estimate are compared on whole sets. This joins nearly all.
 * Lists whose members still belong to several components are taken again, without their
   texts: a sketch of a set of up to `SKETCH` values is that set, so pairs of such sets are
-  decided on the spot. Of larger sets the 31 high bits of the `WIDE` least values are there, which can
-  only overstate what two sets share: up to `WIDE` values they reject a pair for certain,
-  beyond by an estimate. Pairs that pass are compared on whole sets.
+  decided on the spot. Of larger sets the 31 high bits of the `DEEP` least values are there, which can
+  only overstate what two sets share. All pairs are compared by the `WIDE` least of them, and those that
+  pass by all: up to `DEEP` values they reject a pair for certain, beyond by an estimate.
+  Pairs that pass this too are compared on whole sets.
 * Lists of more blocks than a member has values to be parted by are first parted by these, if that makes less work: two sketches that
   are alike enough share one of their rarest values in the list, so members meet only
   where they do. A passage that many texts share is frequent, and brings nobody together.
@@ -56,10 +57,14 @@ PICK = 2
 #: most 2 of 10,000,000,000 pairs, and never if the union has up to SKETCH values. What it lets pass is compared whole.
 SLACK = 0.35
 BLOCK = 256
-#: In lists of several components members are compared by this many values, of which the 31 high bits travel.
+#: In lists of several components members are compared by this many values.
 WIDE = 256
 #: An estimate from WIDE values falls this far short of a likeness of 0.8 in at most 1 of 10,000,000,000 pairs.
 WIDE_SLACK = 0.19
+#: Pairs that pass are compared by this many values, of which the 31 high bits travel.
+DEEP = 1024
+#: An estimate from DEEP values falls this far short of a likeness of 0.8 in at most 1 of 100,000,000,000 pairs.
+DEEP_SLACK = 0.09
 #: Columns of the table of members and values that are multiplied at once.
 COLUMNS = 4096
 #: Ids of documents to compare are broadcast up to this many (8 MB); beyond, they are joined by shuffle.
@@ -174,11 +179,11 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def wide_sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, n, sketch) of the documents that the column `id` of `ids` names: set size and up to WIDE least values."""
+    """(id, n, sketch) of the documents that the column `id` of `ids` names: set size and up to DEEP least values."""
 
     def wide(batches):
         for batch in text_batches(batches):
-            sets = [(len(values), values[:WIDE].copy()) for values in shingle_sets(batch.column("text"), words)]
+            sets = [(len(values), values[:DEEP].copy()) for values in shingle_sets(batch.column("text"), words)]
             sizes = pa.array([n for n, _ in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, _lists([v for _, v in sets])], ["id", "n", "sketch"])
 
@@ -234,14 +239,20 @@ def less_work(parts: DataFrame, lists: DataFrame) -> DataFrame:
     return whole.join(found, "key", "left").filter("2 * coalesce(rows, 0) < all").select("key")
 
 
-def values_in_common(values: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each two of the sorted lists in `values`, of these sizes, the number of values in common (as often as both have them)."""
+def numbered(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sorted lists in `values`, of these sizes, with a number for each occurrence of a value, so that no list holds one twice."""
     owner = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(values))
     first = np.ones(len(values), bool)
     first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     again = place - np.maximum.accumulate(np.where(first, place, 0))
-    _, value, count = np.unique(values.astype(np.int64) * WIDE + again, return_inverse=True, return_counts=True)
+    return values.astype(np.int64) * DEEP + again
+
+
+def values_in_common(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each two of the sorted lists in `values`, of these sizes, the number of values in common (as often as both have them)."""
+    owner = np.repeat(np.arange(len(size)), size)
+    _, value, count = np.unique(numbered(values, size), return_inverse=True, return_counts=True)
     often = count[value] > 1
     column = (np.cumsum(count > 1) - 1)[value[often]]
     order = np.argsort(column, kind="stable")
@@ -255,10 +266,19 @@ def values_in_common(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return common
 
 
+def deep_alike(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of `n` and `m` values may be alike by their DEEP least values, as numbered() gives them; no is certain if both have up to DEEP."""
+    common = np.intersect1d(a, b, assume_unique=True)
+    if max(n, m) <= DEEP:
+        return 100 * len(common) >= percent * (n + m - len(common))
+    union = np.union1d(a, b)[:DEEP]
+    return 100 * np.searchsorted(common, union[-1], "right") >= (percent - 100 * DEEP_SLACK) * len(union) - 1e-3
+
+
 def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     """Pairs (a, b, sure) of members of lists, as sided() gives them, that are in unlike components.
 
-    `sketches` (id, n, sketch) has the sizes and up to WIDE least values of the members' sets. Sure pairs are alike, the others may be by their sketches. Members outside a list's
+    `sketches` (id, n, sketch) has the sizes and up to DEEP least values of the members' sets. Sure pairs are alike, the others may be by their sketches. Members outside a list's
     largest component are dealt in blocks of about BLOCK, those in it too. A block from
     outside meets every block in a group of their own; blocks of one component never meet. Only
     pairs leave the task, and none between members that sure ones already join.
@@ -273,8 +293,12 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
                 id_, component, block, n = (rows.field(c).to_numpy() for c in ("id", "component", "block", "n"))
                 if component.min() == component.max():
                     continue
-                wide, sketch = rows.field("wide"), rows.field("sketch")
-                common = values_in_common(wide.flatten().to_numpy(), wide.value_lengths().to_numpy())
+                deep, sketch = rows.field("deep"), rows.field("sketch")
+                held = deep.value_lengths().to_numpy()
+                deep, begin = deep.flatten().to_numpy(), np.cumsum(held) - held
+                wide = np.arange(len(deep)) - np.repeat(begin, held) < WIDE
+                common = values_in_common(deep[wide], np.minimum(held, WIDE))
+                deep = np.split(numbered(deep, held), begin[1:])
                 small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
                 # An estimate of x needs x times as many common values as the union's sketch has.
                 likely = np.where(
@@ -300,6 +324,8 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
                             if not alike(sketch[i].values.to_numpy(), sketch[j].values.to_numpy(), percent):
                                 continue
                             joined[max(one, other)] = min(one, other)
+                        elif large[i, j] > WIDE and not deep_alike(deep[i], deep[j], int(n[i]), int(n[j]), percent):
+                            continue
                         links.append((int(id_[i]), int(id_[j]), known))
             a, b, known = zip(*links) if links else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -310,7 +336,7 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
         return F.ceil(F.col(size) / BLOCK).cast("int")
 
     high_bits = F.transform("sketch", lambda value: F.shiftright(value, 32).cast("int"))
-    sketches = sketches.select("id", "n", high_bits.alias("wide"), F.when(F.col("n") <= SKETCH, F.col("sketch")).alias("sketch"))
+    sketches = sketches.select("id", "n", high_bits.alias("deep"), F.when(F.col("n") <= SKETCH, F.col("sketch")).alias("sketch"))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), count("outs")).otherwise(count("mains"))).cast("int")
     met = F.when(F.col("outside"), count("mains")).otherwise(count("outs"))
     members = members.withColumn("own", own)
@@ -330,7 +356,7 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
         .drop("n")
         .join(sketches, "id")
         .groupBy("key", "kind", "low", "high")
-        .agg(F.collect_list(F.struct("id", "component", "block", "n", "wide", "sketch")).alias("group"))
+        .agg(F.collect_list(F.struct("id", "component", "block", "n", "deep", "sketch")).alias("group"))
         .select("group")
         .mapInArrow(compare, "a long, b long, sure boolean")
         .transform(ordered)

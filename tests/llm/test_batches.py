@@ -1,5 +1,7 @@
 """What a task holds at once: parts of Arrow batches by bytes of text, and batches of bounded size."""
 
+import random
+
 import pyarrow as pa
 import pytest
 
@@ -47,3 +49,30 @@ def test_narrow_batches_are_undone(spark):
         assert int(spark.conf.get(name)) < 64 << 20
         raise ZeroDivisionError
     assert spark.conf.get(name) == was
+
+
+def test_lists_reject_large_sets_of_middle_likeness(spark):
+    """Sets of 300 to 900 values in one list, alike by 0.6 to 0.9: only pairs that are alike leave the task."""
+    rng, texts = random.Random(5), []
+    for base in range(4):
+        words = [f"{base}x{i}" for i in range(rng.randrange(300, 900))]
+        texts += [" ".join(w if rng.random() > share else f"{w}y{k}" for w in words) for k, share in enumerate([0.02, 0.08, 0.12, 0.13] * 3)]
+    sets = [set(t.split()) for t in texts]
+    likeness = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(sets)) for i in range(j)}
+    pairs = sorted(p for p, share in likeness.items() if share >= 0.8)
+    assert pairs and sum(0.6 < share < 0.8 for share in likeness.values()) > 100
+    assert links_of(spark, texts, [len(s) for s in sets]) == pairs
+
+
+def test_very_large_sets_are_rejected_by_estimate(spark):
+    """Sets of 4,000 values, alike by about 0.63 and by 0.82: the first stay, the second go on to be compared whole."""
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words), " ".join(w + "y" * (i % 9 < 2) for i, w in enumerate(words)), " ".join(w + "z" * (i % 10 < 1) for i, w in enumerate(words))]
+    assert links_of(spark, texts, [4000] * 3) == [(0, 2)]
+
+
+def links_of(spark, texts, sizes):
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    members = spark.createDataFrame([(7, i, i, n) for i, n in enumerate(sizes)], "key long, id long, component long, n long")
+    found = neardup.links_in_lists(neardup.sided(members), neardup.wide_sketches(table, members, 1), 0.8)
+    return sorted((r.a, r.b) for r in found.collect())
