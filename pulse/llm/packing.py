@@ -188,6 +188,7 @@ def pack(
         waiting += pack_rest(pool)
         if waiting:
             yield rows(waiting, max(1, round(sum(size for size, _ in waiting) / step_tokens)))
+        pa.default_memory_pool().release_unused()  # the worker outlives its task
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(pack_task, SCHEMA)

@@ -184,6 +184,9 @@ def token_ids(texts: pa.Array, vocabulary: str, end: int) -> tuple[np.ndarray, n
         ids.append(flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[which] - stop + n, n)])
         sizes.append(_sums(n, ends))
     sizes = np.concatenate(sizes)
+    # A worker outlives its task: what Arrow keeps of the runs' words would stay beside the work of later stages.
+    run = words = which = None
+    pa.default_memory_pool().release_unused()
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)])
 
 

@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from pulse.llm import neardup, shingles
 from pulse.session import narrow_batches
 
@@ -76,3 +77,17 @@ def links_of(spark, texts, sizes):
     members = spark.createDataFrame([(7, i, i, n) for i, n in enumerate(sizes)], "key long, id long, component long, n long")
     found = neardup.links_in_lists(neardup.sided(members), neardup.wide_sketches(table, members, 1), 0.8)
     return sorted((r.a, r.b) for r in found.collect())
+
+
+def test_pipeline_stages_work_in_narrow_batches(spark, monkeypatch):
+    """The 10 MB of texts that a stage reads come in parts."""
+    docs = spark.range(0, 1000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 10000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    monkeypatch.setattr(corpus_pipeline, "documents", lambda session, folder: docs)
+    stages = [("sizes", lambda session, rows, folder: rows.mapInArrow(sizes, "size long")), ("last", lambda session, rows, folder: rows)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert max(row.size for row in corpus_pipeline.run(spark, "").collect()) < 8 << 20
