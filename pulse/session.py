@@ -65,3 +65,15 @@ def narrow_batches(spark: SparkSession, size: int = NARROW_BATCH):
         yield
     finally:
         spark.conf.set(name, was)
+
+
+@contextmanager
+def kept_partitions(spark: SparkSession):
+    """What is persisted inside keeps the partitions of its plan, so that a join on their key shuffles it no further."""
+    name = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)

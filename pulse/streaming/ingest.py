@@ -17,6 +17,7 @@ from pulse.operators.stored_views import refresh_views
 from pulse.operators.tables import first_per_key, merge_into, publish_snapshot, stored_yet
 from pulse.operators.text import ingest_tags
 from pulse.operators.trending import detect_trending, with_growth_of, with_related
+from pulse.session import cut_lineage, kept_partitions
 from pulse.sources.tables import note_days, noting, shape
 
 POSTS, TRENDING, STATS = "social_posts", "trending_topics", "realtime_stats"
@@ -43,18 +44,15 @@ def enrich(posts: DataFrame, scorers: Scorers) -> DataFrame:
     """Tags, sentiment, emotions, entities and topics; posts that get no score take the defaults."""
     if "hashtags" not in posts.columns:
         posts = ingest_tags(posts)
-    found = scoring.entity_topics(scoring.extract_entities(posts, scorers.dictionary)).drop("entity_count")
     mood = scoring.score_mood(posts, scorers.lexicon, scorers.emotions)
     names = ("positive", "negative", "neutral")
     scores = F.create_map(*[part for name in names for part in (F.lit(name), F.col(name))])
     mood = mood.withColumn("sentiment_scores", scores).drop(*names)
     known = ("sentiment", "sentiment_confidence", "sentiment_scores", "emotions", "processed_at")
-    joined = (
-        found.drop(*known)
-        .join(mood, "post_id", "left")
-        .withColumn("processed_at", F.current_timestamp())
-    )
-    return fill_unscored(shape(joined, POSTS))
+    # Joined first: what a Python function gives out has no known partitions, and the join would shuffle it.
+    joined = posts.drop(*known).join(mood, "post_id", "left")
+    found = scoring.entity_topics(scoring.extract_entities(joined, scorers.dictionary)).drop("entity_count")
+    return fill_unscored(shape(found.withColumn("processed_at", F.current_timestamp()), POSTS))
 
 
 def stored_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,9 +104,16 @@ def seen_ids(batch: DataFrame, name: str, folder: str, buckets: int = ID_BUCKETS
     return others.join(sized(batch.select("post_id"), MAX_BROADCAST_IDS), "post_id", "left_semi")
 
 
-def unseen(batch: DataFrame, name: str, folder: str, buckets: int = ID_BUCKETS) -> DataFrame:
-    """Posts of `batch` that no other batch stored."""
-    return batch.join(seen_ids(batch, name, folder, buckets), "post_id", "left_anti")
+def unseen(
+    batch: DataFrame, name: str, folder: str, buckets: int = ID_BUCKETS, ids: DataFrame | None = None
+) -> DataFrame:
+    """Posts of `batch` that no other batch stored. `ids` has all their ids, where that costs less than to work out `batch` for them.
+
+    The ids that were stored are written out first: Spark drops what is cached of a plan that reads a folder
+    as soon as the folder is written, and `write_ids` writes the index while the batch is still in use.
+    """
+    seen = cut_lineage(seen_ids(batch if ids is None else ids, name, folder, buckets))
+    return batch.join(seen, "post_id", "left_anti")
 
 
 def store(posts: DataFrame, name: str, folder: str, buckets: int = ID_BUCKETS) -> None:
@@ -229,7 +234,10 @@ def ingest_stream(
             as_of = max((t for t in known if t is not None), default=None)
             name = batch_name(spark, checkpoint, batch_id)
             # Enrichment reads its input along several branches and writes are three: each is worked out once.
-            fresh = unseen(first_per_key(batch, ["post_id"], [TIME]), name, folder, buckets).persist()
+            # One shuffle by id serves the first rows, the stored ids and, as its partitions are kept, the joins of enrichment.
+            fresh = unseen(first_per_key(batch, ["post_id"], [TIME]), name, folder, buckets, batch)
+            with kept_partitions(batch.sparkSession):
+                fresh = fresh.persist()
             found = (enrich(fresh, scorers) if scorers else fresh).persist()
             try:
                 store(found, name, folder, buckets)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pulse.functions import lexicons as LX
 from pulse.operators import posts as P
-from pulse.session import new_folder
+from pulse.operators import tables as T
+from pulse.session import kept_partitions, new_folder
 from pulse.sources import adapters as A
 from pulse.sources.tables import read_table
 from pulse.streaming import ingest as S
@@ -238,3 +239,35 @@ def test_trending_refresh_counts_the_hour_before_from_posts(spark):
     layout = "post_id string, platform string, timestamp timestamp, sentiment string, hashtags array<string>"
     S.refresh_trending(spark.createDataFrame(rows, layout), out, str(T0 + timedelta(minutes=75)))
     assert [(r["topic"], float(r["growth_rate"])) for r in read_table(spark, "trending_topics", out).collect()] == [("new", 2.5)]
+
+
+def test_writing_the_index_leaves_the_cached_batch(spark):
+    """Posts that are cached over a look-up of stored ids are worked out once, though a batch writes that index."""
+    out = new_folder(spark, "posts")
+    days = "timestamp'2024-03-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) AS timestamp"
+    posts = spark.range(60).selectExpr("concat('p', id) AS post_id", days, "'twitter' AS platform", "'a' AS author")
+    S.store(posts.limit(20), "s_0", out)
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(author):
+        worked.add(1)
+        return author
+
+    batch = posts.withColumn("author", counted("author"))
+    fresh = S.unseen(T.first_per_key(batch, ["post_id"], ["timestamp"]), "s_1", out, ids=posts).persist()
+    S.store(fresh, "s_1", out)
+    fresh.unpersist()
+    assert worked.value == 60
+    assert S.stored_posts(spark, out).groupBy("batch").count().orderBy("batch").collect() == [("s_0", 20), ("s_1", 40)]
+
+
+def test_enrichment_shuffles_no_text_of_a_batch_by_id(spark, scorers):
+    posts = spark.range(50).selectExpr("concat('p', id) AS post_id", "current_timestamp() AS timestamp", "'good day' AS content")
+    with kept_partitions(spark):
+        fresh = T.first_per_key(posts, ["post_id"], ["timestamp"]).persist()
+    fresh.count()
+    plan = S.enrich(fresh, scorers)._jdf.queryExecution().executedPlan().toString()
+    fresh.unpersist()
+    own = plan.replace("InMemoryRelation", "\0").split("\0")  # what made the cached table is not of interest
+    assert "Exchange hashpartitioning(post_id" not in own[0]
