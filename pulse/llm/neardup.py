@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from pulse.llm.components import connected_components
 from pulse.llm.shingles import GOLDEN, mixed, shingle_sets, text_batches
+from pulse.llm.tokens import without_words
 from pulse.session import narrow_batches, new_folder
 
 SKETCH = 64
@@ -125,6 +126,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
     """doc_id, n (set size), set_key (equal for equal sets; null if empty), sketch and list keys of each row."""
 
+    @without_words
     def sign(batches):
         for batch in text_batches(batches):
             sizes, keys, sketches, lists = [], [], [], []
@@ -170,6 +172,7 @@ def named(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, values) of the documents that the column `id` of `ids` names: their sets as sorted 8-byte values."""
 
+    @without_words
     def whole(batches):
         for batch in text_batches(batches):
             sets = [values.tobytes() for values in shingle_sets(batch.column("text"), words)]
@@ -181,6 +184,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 def wide_sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, n, sketch) of the documents that the column `id` of `ids` names: set size and up to DEEP least values."""
 
+    @without_words
     def wide(batches):
         for batch in text_batches(batches):
             sets = [(len(values), values[:DEEP].copy()) for values in shingle_sets(batch.column("text"), words)]
@@ -285,6 +289,7 @@ def links_in_lists(members: DataFrame, sketches: DataFrame, share: float) -> Dat
     """
     percent = round(share * 100)
 
+    @without_words
     def compare(batches):
         for batch in batches:
             links = []
@@ -367,6 +372,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, words: int, share: float) ->
     """Of the pairs (a, b, sure) the sure ones, and those whose whole sets have a likeness of at least `share`."""
     percent = round(share * 100)
 
+    @without_words
     def link(batches):
         for batch in batches:
             sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("values_a", "values_b"))

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.tokens import token_ids
+from pulse.llm.tokens import release_free, token_ids
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
@@ -188,7 +188,8 @@ def pack(
         waiting += pack_rest(pool)
         if waiting:
             yield rows(waiting, max(1, round(sum(size for size, _ in waiting) / step_tokens)))
-        pa.default_memory_pool().release_unused()  # the worker outlives its task
+        pool = windows = waiting = kept = None
+        release_free()  # the worker outlives its task
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(pack_task, SCHEMA)

@@ -7,10 +7,13 @@ worker has not met go to the tokenizers library. Words that hold a special token
 letters beyond the Latin blocks, go there whole, so every id is the library's own.
 """
 
+import ctypes
+import gc
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +90,34 @@ class WordCache(dict):
         return "<|" not in text and (text.isascii() or max(text) < LATIN_END)
 
 
+def release_free() -> None:
+    """Give memory that is free back to the system: a worker outlives its task, and what Arrow and the allocator keep would lie beside later work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def forget_words() -> None:
+    """Drop what this worker remembers of words; a later task that needs them begins anew."""
+    if _cached:
+        _cached.clear()
+        gc.collect()
+        release_free()
+
+
+def without_words(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that needs no vocabulary and much memory: the words that earlier tasks left in its worker go before it, and its own free memory after it."""
+
+    @wraps(work)
+    def run(batches):
+        forget_words()
+        yield from work(batches)
+        release_free()
+
+    return run
+
+
 class PieceCounts(WordCache):
     """Token counts with a byte-level vocabulary of texts between safe boundaries."""
 
@@ -185,8 +216,8 @@ def token_ids(texts: pa.Array, vocabulary: str, end: int) -> tuple[np.ndarray, n
         sizes.append(_sums(n, ends))
     sizes = np.concatenate(sizes)
     # A worker outlives its task: what Arrow keeps of the runs' words would stay beside the work of later stages.
-    run = words = which = None
-    pa.default_memory_pool().release_unused()
+    run = words = which = coded = flat = None
+    release_free()
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)])
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from pulse.llm import neardup, shingles
+from pulse.llm import neardup, shingles, tokens
 from pulse.session import narrow_batches
 
 
@@ -91,3 +91,18 @@ def test_pipeline_stages_work_in_narrow_batches(spark, monkeypatch):
     stages = [("sizes", lambda session, rows, folder: rows.mapInArrow(sizes, "size long")), ("last", lambda session, rows, folder: rows)]
     monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     assert max(row.size for row in corpus_pipeline.run(spark, "").collect()) < 8 << 20
+
+
+def test_near_duplicate_tasks_drop_the_words_that_others_left():
+    """A worker that encoded texts does not hold their words beside the sets of near-duplicate removal."""
+
+    class Docs:
+        def mapInArrow(self, work, schema):
+            return work
+
+    tokens.token_ids(pa.array(["some words of a text"]), "word_bpe_49k.json", 1)
+    assert tokens._cached
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], ["doc_id", "text"])
+    rows = [row for out in neardup.signatures(Docs(), 2, 0.8)([batch]) for row in out.to_pylist()]
+    assert [row["n"] for row in rows] == [4]
+    assert not tokens._cached
