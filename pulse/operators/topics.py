@@ -3,22 +3,21 @@
 import sys
 from dataclasses import dataclass
 from itertools import pairwise
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+from pyspark import cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pulse.functions import params
 from pulse.functions import words as W
 from pulse.functions.columns import mean, preview, sentiment_sign
 from pulse.functions.lexicons import STOP_WORDS
+from pulse.operators.clusters import assigned, best_clustering
 from pulse.operators.scoring import extract_entities, score_emotions, score_mood, score_sentiment
 from pulse.session import cut_lineage
 
@@ -32,13 +31,20 @@ COUNTED_WORDS = 1 << 20
 MAX_CARRIED_WORDS = 100_000
 
 
-def with_terms(df: DataFrame, text: str = "content", stop_words=STOP_WORDS) -> DataFrame:
-    """Add `terms`: words of two or more characters without stop words, then neighbouring pairs."""
+def _with_tokens(df: DataFrame, text: str, stop_words=STOP_WORDS) -> DataFrame:
+    """Add `_tokens`, the words of `terms`."""
     bare = df.withColumn("_bare", W.without_urls(text))
     tokens = W.without_stop_words(W.words(W.long_enough("_bare"), 2), stop_words, lower=False)
-    return bare.withColumn("_tokens", tokens).withColumn(
-        "terms", F.concat("_tokens", W.pairs(F.col("_tokens")))
-    ).drop("_bare", "_tokens")
+    return bare.withColumn("_tokens", tokens).drop("_bare")
+
+
+def _terms() -> Column:
+    return F.concat("_tokens", W.pairs(F.col("_tokens")))
+
+
+def with_terms(df: DataFrame, text: str = "content", stop_words=STOP_WORDS) -> DataFrame:
+    """Add `terms`: words of two or more characters without stop words, then neighbouring pairs."""
+    return _with_tokens(df, text, stop_words).withColumn("terms", _terms()).drop("_tokens")
 
 
 def _runs(batches):
@@ -95,25 +101,37 @@ def tfidf_vocabulary(df: DataFrame, max_terms=1000, min_df=2, max_df=0.8, n: int
     `max_terms` words to choose, only pairs of words used as often as the last of these are
     counted: no other can be chosen. `n` is the number of texts if known.
     """
-    n = df.count() if n is None else n
-    tokens = df.select(F.slice("terms", F.lit(1), F.ceil(F.size("terms") / 2).cast("int")).alias("words"))
+    words = df.select(F.slice("terms", F.lit(1), F.ceil(F.size("terms") / 2).cast("int")).alias("words"))
+    counts, found = _counted_words(words)
+    return _vocabulary(words, counts, found if n is None else n, max_terms, min_df, max_df)
 
-    def counted(count):
-        return tokens.mapInArrow(count, "term string, tf long, df long").groupBy("term").agg(
-            F.sum("tf").alias("tf"), F.sum("df").alias("df")
-        )
+
+def _counted(words: DataFrame, count) -> DataFrame:
+    return words.mapInArrow(count, "term string, tf long, df long").groupBy("term").agg(
+        F.sum("tf").alias("tf"), F.sum("df").alias("df")
+    )
+
+
+def _counted_words(words: DataFrame) -> tuple[DataFrame, int]:
+    """(term, tf, df) of the words, and the number of texts; one pass over the texts for both."""
+    texts = Observation()
+    counts = cut_lineage(_counted(words.observe(texts, F.count("*").alias("n")), _word_counts))
+    return counts, texts.get["n"] if texts._jo.getRow().length() else 0  # an empty plan observes nothing
+
+
+def _vocabulary(words: DataFrame, counts: DataFrame, n: int, max_terms: int, min_df: int, max_df: float) -> DataFrame:
+    """`tfidf_vocabulary` of texts of `words`, of which `counts` has (term, tf, df)."""
 
     def allowed(counts):
         return counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
 
-    words = cut_lineage(counted(_word_counts))
-    most = allowed(words).orderBy(F.desc("tf")).limit(max_terms)
+    most = allowed(counts).orderBy(F.desc("tf")).limit(max_terms)
     chosen, least = most.agg(F.count("*"), F.min("tf")).first()
     least = max(min_df, least if chosen and chosen == max_terms else 0)
-    frequent = [word for word, in words.filter(F.col("tf") >= least).select("term").limit(MAX_CARRIED_WORDS + 1).collect()]
-    pairs = counted(_pair_counts(frequent if len(frequent) <= MAX_CARRIED_WORDS else None))
+    frequent = [word for word, in counts.filter(F.col("tf") >= least).select("term").limit(MAX_CARRIED_WORDS + 1).collect()]
+    pairs = _counted(words, _pair_counts(frequent if len(frequent) <= MAX_CARRIED_WORDS else None))
     return (
-        allowed(words.union(pairs))
+        allowed(counts.union(pairs))
         .orderBy(F.desc("tf"), "term")
         .limit(max_terms)
         .withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
@@ -146,34 +164,28 @@ class Topics:
 
 def extract_topics(
     df: DataFrame, num_topics=5, text="content", key="post_id", max_terms=1000, min_df=2, max_df=0.8,
-    top_terms=10, sample_texts=3, starts=STARTS, parallel=4,
+    top_terms=10, sample_texts=3, starts=STARTS,
 ) -> Topics:
     """Cluster texts by tf-idf; of several starts the tightest clustering is kept."""
-    n = df.count()
+    texts = _with_tokens(df.select(key, text), text)
+    words = texts.select(F.col("_tokens").alias("words"))
+    counts, n = _counted_words(words)
     if n < 2:
         raise ValueError("need at least 2 texts")
-    texts = with_terms(df.select(key, text), text)
-    vocabulary = tfidf_vocabulary(texts, max_terms, min_df, max_df, n).orderBy("term").collect()
+    vocabulary = _vocabulary(words, counts, n, max_terms, min_df, max_df).orderBy("term").collect()
     if not vocabulary:
         raise ValueError("no terms left to tell texts apart")
-    features = tfidf_features(texts, vocabulary).select(key, "features").persist()
-    k = min(num_topics, n // 2)
+    features = tfidf_features(texts.withColumn("terms", _terms()), vocabulary).select(key, "features").persist()
     spark = df.sparkSession
-
-    def fit(i):
-        model = KMeans(k=k, seed=SEED + i).fit(features)
-        return model.summary.trainingCost, i, model
-
     try:
-        with ThreadPool(parallel) as pool:
-            best = min(pool.map(inheritable_thread_target(spark)(fit), range(starts)), key=lambda f: f[:2])[2]
+        best = best_clustering(features, min(num_topics, n // 2), [SEED + i for i in range(starts)])
         # Written while the features are held; sizes, samples and clusters read the small result.
-        assigned = cut_lineage(best.setPredictionCol("topic_id").transform(features).select(key, "topic_id"))
+        found = cut_lineage(assigned(features, best, key, "topic_id"))
     finally:
         features.unpersist()
 
     rows = []
-    for topic, centre in enumerate(best.clusterCenters()):
+    for topic, centre in enumerate(best.centres):
         heaviest = sorted(range(len(centre)), key=lambda j: (-centre[j], vocabulary[j]["term"]))
         rows += [
             (topic, rank + 1, vocabulary[j]["term"], float(centre[j]))
@@ -181,11 +193,11 @@ def extract_topics(
         ]
     terms = spark.createDataFrame(rows, "topic_id int, rank int, term string, weight double")
     first = F.row_number().over(Window.partitionBy("topic_id").orderBy(key))
-    chosen = assigned.withColumn("rank", first).filter(F.col("rank") <= sample_texts)
+    chosen = found.withColumn("rank", first).filter(F.col("rank") <= sample_texts)
     # k times sample_texts rows, so the texts need no shuffle
     samples = df.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
-    sizes = assigned.groupBy("topic_id").agg(F.count("*").alias("document_count"))
-    return Topics(terms, sizes, samples, assigned)
+    sizes = found.groupBy("topic_id").agg(F.count("*").alias("document_count"))
+    return Topics(terms, sizes, samples, found)
 
 
 def topic_clusters(posts: DataFrame, topics: Topics, key="post_id", top: int = 5) -> DataFrame:
