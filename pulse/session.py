@@ -1,5 +1,6 @@
 """Session settings and the shared folder for data that outlives a stage."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -77,3 +78,12 @@ def kept_partitions(spark: SparkSession):
         yield
     finally:
         spark.conf.set(name, was)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffled files of plans that nothing refers to any more.
+
+    It does so once the driver's JVM has collected them, which may take half an hour in a driver with free memory.
+    """
+    gc.collect()  # what Python still holds of them
+    spark._jvm.System.gc()

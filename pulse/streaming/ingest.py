@@ -17,7 +17,7 @@ from pulse.operators.stored_views import refresh_views
 from pulse.operators.tables import first_per_key, merge_into, publish_snapshot, stored_yet
 from pulse.operators.text import ingest_tags
 from pulse.operators.trending import detect_trending, with_growth_of, with_related
-from pulse.session import cut_lineage, kept_partitions
+from pulse.session import cut_lineage, drop_shuffles, kept_partitions
 from pulse.sources.tables import note_days, noting, shape
 
 POSTS, TRENDING, STATS = "social_posts", "trending_topics", "realtime_stats"
@@ -237,15 +237,23 @@ def ingest_stream(
             # One shuffle by id serves the first rows, the stored ids and, as its partitions are kept, the joins of enrichment.
             fresh = unseen(first_per_key(batch, ["post_id"], [TIME]), name, folder, buckets, batch)
             with kept_partitions(batch.sparkSession):
-                fresh = fresh.persist()
-            found = (enrich(fresh, scorers) if scorers else fresh).persist()
+                found = fresh.persist()
             try:
+                # A step's rows are held until the next one has them, so that a disk holds the texts twice and not three times.
+                found.count()
+                batch.unpersist()
+                if scorers:
+                    found = enrich(fresh, scorers).persist()
+                    found.count()
+                    fresh.unpersist()
                 store(found, name, folder, buckets)
             finally:
                 found.unpersist()
                 fresh.unpersist()
         finally:
             batch.unpersist()
+        del batch, fresh, found
+        drop_shuffles(spark)
         refresh_views(spark, folder, views)
         if as_of is None:  # only posts of the future so far
             return

@@ -271,3 +271,21 @@ def test_enrichment_shuffles_no_text_of_a_batch_by_id(spark, scorers):
     fresh.unpersist()
     own = plan.replace("InMemoryRelation", "\0").split("\0")  # what made the cached table is not of interest
     assert "Exchange hashpartitioning(post_id" not in own[0]
+
+
+def test_only_the_rows_that_are_written_are_held(spark, scorers, monkeypatch):
+    """The rows of earlier steps are let go before a batch is written: its texts were held three times then."""
+    held, stored = [], S.store
+
+    def store(found, *args):
+        here = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+        held.append(here - before)
+        stored(found, *args)
+
+    monkeypatch.setattr(S, "store", store)
+    feed, target = new_folder(spark, "feed"), new_folder(spark, "ingest")
+    write(spark, feed, [row(i, i) for i in range(20)])
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    S.ingest_stream(source(spark, feed), target, new_folder(spark, "offsets"), scorers).awaitTermination()
+    assert held == [1]
+    assert S.stored_posts(spark, target).count() == 20
