@@ -274,13 +274,12 @@ def test_enrichment_shuffles_no_text_of_a_batch_by_id(spark, scorers):
 
 
 def test_only_the_rows_that_are_written_are_held(spark, scorers, monkeypatch):
-    """The rows of earlier steps are let go before a batch is written: its texts were held three times then."""
+    """The rows of earlier steps are let go before a batch is written; its texts were held three times."""
     held, stored = [], S.store
 
     def store(found, *args):
-        here = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
-        held.append(here - before)
         stored(found, *args)
+        held.append(spark.sparkContext._jsc.sc().getPersistentRDDs().size() - before)
 
     monkeypatch.setattr(S, "store", store)
     feed, target = new_folder(spark, "feed"), new_folder(spark, "ingest")
